@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash, token_counts
+from . import ann, bpe, langid, simhash, token_counts, toxicity
 from .common import fold, table
 
 
@@ -28,9 +28,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train_toxicity_model(documents, table(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    scored = toxicity.score_toxicity(documents, model)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_langid": op4_langid, "op5_simhash": op5_simhash, "op8_token_counts": op8_token_counts}
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_langid": op4_langid, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op8_token_counts": op8_token_counts, "op10_ann": op10_ann}
 ORACLE_SQL: dict[str, str] = {}
