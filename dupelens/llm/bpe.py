@@ -25,7 +25,9 @@ from .common import blocks, bounded_batches, pack, texts_of, unpack
 
 #: Bytes of text in a block; its distinct words and positions are held at once.
 ENCODE_BLOCK = 32 << 20
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
+#: Words that are reassembled at once, one longer document excepted.
+SLICE_WORDS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -72,9 +74,10 @@ def _explode(pattern: str, buckets: int):
             yield pa.record_batch(
                 {
                     "block": pa.array([task << 32 | n], pa.int64()),
+                    "n_words": pa.array([len(order)], pa.int64()),
                     "ids": pa.array([block.column("doc_id").to_pylist()], pa.list_(block.column("doc_id").type)),
                     "lengths": pa.array([pack(lengths)], pa.binary()),
-                    "positions": pa.array([pack(flat)], pa.binary()),
+                    "positions": pa.array([[pack(x) for x in np.split(flat, np.cumsum(lengths)[:-1])]], pa.list_(pa.binary())),
                     "words": pa.array(
                         [[{"bucket": b, "places": pack(np.diff(places[b], prepend=0)), "lengths": pack(np.array([len(w) for w in parts[b]])), "bytes": b"".join(parts[b])} for b in full]],
                         pa.list_(pa.struct([("bucket", pa.int32()), ("places", pa.binary()), ("lengths", pa.binary()), ("bytes", pa.binary())])),
@@ -132,13 +135,13 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             ids = batch.column("ids").slice(row, 1).flatten()
-            lengths, positions = (unpack(batch.column(c)[row].as_py()) for c in ("lengths", "positions"))
+            lengths, positions = unpack(batch.column("lengths")[row].as_py()), batch.column("positions").slice(row, 1).flatten()
             places, counts, tokens = [], [], []
             for part in batch.column("found")[row].as_py() or ():
                 places.append(np.cumsum(unpack(part["places"])))
                 counts.append(unpack(part["counts"]))
                 tokens.append(unpack(part["tokens"]))
-            words = int(positions.max()) + 1 if len(positions) else 0
+            words = batch.column("n_words")[row].as_py()
             if sum(map(len, places)) != words:
                 raise RuntimeError("a block and its words are of different runs; the stage has to run again")
             at = np.concatenate([*places, np.empty(0, np.int64)])
@@ -147,13 +150,12 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = np.concatenate([*counts, np.empty(0, np.int64)])
             n[at], begin[at] = found, np.cumsum(found) - found
             pool = np.concatenate([*tokens, np.empty(0, np.int64)]).astype("<u4")
-            ends = np.cumsum(lengths)
-            for first in range(0, len(ids), 256):
-                last = min(first + 256, len(ids))
-                a = int(ends[first] - lengths[first])
-                some = positions[a : int(ends[last - 1])]
+            first = 0
+            while first < len(ids):
+                last = max(first + 1, int(np.searchsorted(np.cumsum(lengths[first:]), SLICE_WORDS)) + first)
+                some = unpack(b"".join(positions.slice(first, last - first).to_pylist()))
                 sequence = pool[_gather(begin[some], n[some])].tobytes()
-                stops = np.concatenate(([0], np.cumsum(n[some])))[ends[first:last] - a] * 4
+                stops = np.concatenate(([0], np.cumsum(n[some])))[np.cumsum(lengths[first:last])] * 4
                 yield pa.record_batch(
                     {
                         "doc_id": ids.slice(first, last - first),
@@ -161,6 +163,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         "ids": pa.array([sequence[x:y] for x, y in zip([0, *stops], stops, strict=False)], pa.binary()),
                     }
                 )
+                first = last
 
 
 def bpe_encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
@@ -177,12 +180,12 @@ def bpe_encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, key:
     shared = spark.sparkContext.broadcast(ranks)
     word = "struct<bucket: int, places: binary, lengths: binary, bytes: binary>"
     # one exchange by block serves both branches, so texts are split once
-    exploded = source.mapInArrow(_explode(pattern, buckets), f"block long, ids array<{kind}>, lengths binary, positions binary, words array<{word}>").repartition("block")
+    exploded = source.mapInArrow(_explode(pattern, buckets), f"block long, n_words long, ids array<{kind}>, lengths binary, positions array<binary>, words array<{word}>").repartition("block")
     words = exploded.mapInArrow(_spread, "block long, bucket int, places binary, lengths binary, bytes binary").repartition("bucket")
     encoded = words.mapInArrow(_encode(shared, pattern), "block long, places binary, counts binary, tokens binary")
     found = encoded.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "tokens")).alias("found"))
     whole = exploded.join(found.withColumnRenamed("block", "b").hint("merge"), F.col("block") == F.col("b"), "left")
-    return whole.select("ids", "lengths", "positions", "words", "found").mapInArrow(_assemble, f"doc_id {kind}, n_tokens long, ids binary")
+    return whole.select("n_words", "ids", "lengths", "positions", "words", "found").mapInArrow(_assemble, f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:

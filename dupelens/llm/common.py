@@ -66,6 +66,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = BLOCK_BYTE
 
 def pack(values: np.ndarray) -> bytes:
     """Non-negative integers below 2**32 as variable-length bytes, seven bits each, low bits first."""
+    if len(values) > 1 << 19:  # in parts, for the work space is several times the input
+        return b"".join(pack(values[k : k + (1 << 19)]) for k in range(0, len(values), 1 << 19))
     values = np.asarray(values, dtype=np.uint64)
     if not len(values):
         return b""
