@@ -180,9 +180,9 @@ def bpe_encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, key:
     shared = spark.sparkContext.broadcast(ranks)
     word = "struct<bucket: int, places: binary, lengths: binary, bytes: binary>"
     # one exchange by block serves both branches, so texts are split once
-    exploded = source.mapInArrow(_explode(pattern, buckets), f"block long, n_words long, ids array<{kind}>, lengths binary, positions array<binary>, words array<{word}>").repartition("block")
+    exploded = source.mapInArrow(_explode(pattern, buckets), f"block long not null, n_words long, ids array<{kind}>, lengths binary, positions array<binary>, words array<{word}>").repartition("block")
     words = exploded.mapInArrow(_spread, "block long, bucket int, places binary, lengths binary, bytes binary").repartition("bucket")
-    encoded = words.mapInArrow(_encode(shared, pattern), "block long, places binary, counts binary, tokens binary")
+    encoded = words.mapInArrow(_encode(shared, pattern), "block long not null, places binary, counts binary, tokens binary")
     found = encoded.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "tokens")).alias("found"))
     whole = exploded.join(found.withColumnRenamed("block", "b").hint("merge"), F.col("block") == F.col("b"), "left")
     return whole.select("n_words", "ids", "lengths", "positions", "words", "found").mapInArrow(_assemble, f"doc_id {kind}, n_tokens long, ids binary")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, simhash, token_counts, toxicity
+from . import ann, bpe, langid, lm, simhash, token_counts, toxicity
 from .common import fold, table
 
 
@@ -35,6 +35,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -43,5 +47,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_langid": op4_langid, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op8_token_counts": op8_token_counts, "op10_ann": op10_ann}
+QUERIES = {"op1_bpe": op1_bpe, "op4_langid": op4_langid, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_lm": op7_lm, "op8_token_counts": op8_token_counts, "op10_ann": op10_ann}
 ORACLE_SQL: dict[str, str] = {}
