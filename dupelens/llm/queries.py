@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, lm, simhash, token_counts, toxicity
+from . import ann, bpe, decontam, langid, lm, simhash, token_counts, toxicity
 from .common import fold, table
 
 
@@ -43,9 +43,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_langid": op4_langid, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_lm": op7_lm, "op8_token_counts": op8_token_counts, "op10_ann": op10_ann}
+QUERIES = {"op1_bpe": op1_bpe, "op4_langid": op4_langid, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_lm": op7_lm, "op8_token_counts": op8_token_counts, "op9_decontamination": op9_decontamination, "op10_ann": op10_ann}
 ORACLE_SQL: dict[str, str] = {}
