@@ -23,18 +23,41 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+def _windows(words: Column, n: int, each) -> Column:
+    """An array of each(window) for the windows of n words, or the whole sequence where it is shorter.
+
+    The words are bound once as a lambda's variable; inside the inner lambda their expression would run for each window.
+    """
+    one = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: each(F.slice(w, i, n)))
+    return F.flatten(F.transform(F.filter(F.array(words), lambda w: F.size(w) > 0), one))
+
+
 def shingle_hashes(words: Column, n: int) -> Column:
-    """A hash of each shingle; of the whole sequence where it is shorter than n words."""
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))
+    """A hash of each shingle."""
+    return _windows(words, n, F.xxhash64)
 
 
 def shingles(words: Column, n: int) -> Column:
     """The distinct shingles as text, space-joined."""
-    return F.when(F.size(words) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(_windows(words, n, lambda w: F.array_join(w, " ")))
+
+
+def row_hash(key: str, text: str) -> Column:
+    """Tells documents apart whose keys repeat or are null."""
+    return F.xxhash64(F.col(key), F.col(text))
+
+
+def clean(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of `documents` in which no item is found."""
+    name = "_row_hash"
+    while any(c.lower() == name for c in documents.columns):
+        name += "_"
+    found = contaminated(documents, benchmark, key, text, **options).select(F.col("row").alias(f"{name}found")).distinct()
+    return documents.withColumn(name, row_hash(key, text)).join(found, F.col(name) == F.col(f"{name}found"), "left_anti").drop(name)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id, item_id, n_shingles, n_found, containment of each document and item found in it.
+    """doc_id, item_id, n_shingles, n_found, containment of each document and item found in it, and row, the document's row_hash().
 
     Null and empty texts are found in nothing and hold nothing. An item or document of fewer words than a shingle is one
     shingle, its whole sequence. Items that repeat id and text count once; documents that repeat give their rows
@@ -53,7 +76,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     side = F.broadcast if small else (lambda x: x.hint("merge"))
 
     source = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
-    row = F.xxhash64("doc_id", "t").alias("row")
+    row = row_hash("doc_id", "t").alias("row")
     probes = source.select(row, words_of(F.col("t")).alias("w")).select("row", F.explode(shingle_hashes(F.col("w"), words)).alias("h")).where(F.col("h") <= F.lit(bounds["high"] if bounds["high"] is not None else -(2**63)))
     candidates = probes.join(side(sketches), F.col("h") == F.col("low")).select("row", "item").distinct()
 
@@ -61,5 +84,5 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     held = candidates.withColumnRenamed("row", "r").join(side(items.select("item", "item_id", "own")), "item")
     rows = source.select("doc_id", "t", row).join(held, F.col("row") == F.col("r"))
     found = rows.withColumn("n_found", F.size(F.array_intersect(F.col("own"), shingles(words_of(F.col("t")), words))))
-    found = found.select("doc_id", "item_id", F.size("own").alias("n_shingles"), "n_found", (F.col("n_found") / F.size("own")).alias("containment"))
+    found = found.select("doc_id", "item_id", F.size("own").alias("n_shingles"), "n_found", (F.col("n_found") / F.size("own")).alias("containment"), "row")
     return found.where(F.col("n_found") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - F.lit(1e-9)))
