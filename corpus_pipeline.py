@@ -1,0 +1,60 @@
+"""From raw documents to token ids: five stages, each over all that the one before it kept."""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dupelens.llm import bpe, decontam, langid, pii, simhash
+from dupelens.llm.common import shared_folder, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the model knows; those without a letter go, null and empty texts among them."""
+    model = langid.train_language_model(docs, F.lit(True))
+    judged = langid.predict_language(docs, model, carry=COLUMNS)
+    return judged.where("lang_pred != 'und'").select(*[F.col(f"carried_{n}").alias(c) for n, c in enumerate(COLUMNS)])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the least doc_id."""
+    return simhash.one_of_each(docs.select(*COLUMNS))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data redacted; n_chars follows the text."""
+    found = pii.find_pii(docs, pii.train_pii_model(docs), carry=("lang", "source"))
+    return pii.redact(found).select("doc_id", "text", F.col("carried_0").alias("lang"), F.col("carried_1").alias("source"), F.length("text").cast("long").alias("n_chars"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids (little-endian unsigned 32-bit integers) of each document."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    decoded = bpe.bpe_decode(bpe.bpe_encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("encode", encode)]
+
+#: SQL can express neither the classifiers nor the encoder; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents; what each keeps is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

@@ -38,6 +38,12 @@ def use_shared_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see."""
+    use_shared_folder(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def sub_batches(batch: pa.RecordBatch, text: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts hold about `limit` bytes each, a single longer text excepted."""
     if batch.num_rows == 0:

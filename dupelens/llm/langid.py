@@ -116,8 +116,8 @@ def train_language_model(documents: DataFrame, use: Column, key: str = "doc_id",
     return LanguageModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), np.log(totals / totals.sum()))
 
 
-def predict_language(documents: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of each document, over its whole text.
+def predict_language(documents: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score of each document, over its whole text, and the columns to carry as carried_<n>.
 
     A text that is null, empty or without a letter is `und` with score 0. score is the posterior of the predicted
     language, with evidence tempered by the square root of the number of n-grams, for those of one text depend on each
@@ -125,8 +125,10 @@ def predict_language(documents: DataFrame, model: LanguageModel, key: str = "doc
     """
     bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    source = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
+    more = [documents[c].alias(f"carried_{n}") for n, c in enumerate(carry)]
+    source = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"), *more)
     kind = source.schema["doc_id"].dataType.simpleString()
+    kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in source.schema[2:])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, letters = shared.value, _Letters()
@@ -145,7 +147,8 @@ def predict_language(documents: DataFrame, model: LanguageModel, key: str = "doc
                     "doc_id": block.column("doc_id"),
                     "lang_pred": pa.array([m.languages[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)], pa.string()),
                     "score": pa.array(np.where(known, score, 0.0), pa.float64()),
+                    **{f"carried_{n}": block.column(f"carried_{n}") for n in range(len(carry))},
                 }
             )
 
-    return source.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+    return source.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double{kinds}")

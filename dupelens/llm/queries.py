@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, lm, simhash, token_counts, toxicity
+from . import ann, bpe, decontam, langid, lm, pii, simhash, token_counts, toxicity
 from .common import fold, table
 
 
@@ -17,6 +18,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = pii.find_pii(documents, pii.train_pii_model(documents))
+    of_kind = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[of_kind(k) for k in pii.KINDS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = langid.train_language_model(documents, fold("doc_id", 4) != 2)
@@ -51,5 +59,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_langid": op4_langid, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_lm": op7_lm, "op8_token_counts": op8_token_counts, "op9_decontamination": op9_decontamination, "op10_ann": op10_ann}
+QUERIES = {"pipeline": corpus_pipeline.run, "op1_bpe": op1_bpe, "op2_pii": op2_pii, "op4_langid": op4_langid, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_lm": op7_lm, "op8_token_counts": op8_token_counts, "op9_decontamination": op9_decontamination, "op10_ann": op10_ann}
 ORACLE_SQL: dict[str, str] = {}

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import blocks, bounded_batches, use_shared_folder
 from .components import connected_components
@@ -202,7 +203,8 @@ def simhash_components(documents: DataFrame, key: str = "doc_id", text: str = "t
 
     Null, empty and blank texts share fingerprint 0 and link like any other. Documents of equal text are one class;
     repeated rows give a row each. A null doc_id is kept; it is never a component_id unless its class has no other id,
-    and then the class links to none. An empty table gives no rows. Other columns are ignored.
+    and then the class links to none. Documents that share a doc_id are one node. An empty table gives no rows. Other
+    columns are ignored.
     """
     use_shared_folder(documents.sparkSession)
     prints = fingerprints(documents, key, text, words).checkpoint()
@@ -210,3 +212,20 @@ def simhash_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     roots = connected_components(near_links(classes.where("node is not null"), radius))
     placed = classes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "node").alias("component_id"))
     return prints.join(placed, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of `documents` less near-duplicates: of each component the row of its least key stays.
+
+    A row without a key stands under a number made of its text, beyond all others, so that rows with keys are preferred.
+    Rows that repeat a key leave one row, that of the lowest hash of the text.
+    """
+    name = "_simhash_key"
+    while any(c.lower() == name for c in documents.columns):
+        name += "_"
+    stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61))
+    rows = documents.withColumn(name, F.coalesce(F.col(key).cast("long"), stand_in))
+    kept = simhash_components(rows, name, text, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias(f"{name}kept")).distinct()
+    rows = rows.join(kept, F.col(name) == F.col(f"{name}kept"))
+    first = Window.partitionBy(name).orderBy(F.xxhash64(text), text)
+    return rows.withColumn(f"{name}rank", F.row_number().over(first)).where(F.col(f"{name}rank") == 1).select(*[F.col(f"`{c}`") for c in documents.columns])
