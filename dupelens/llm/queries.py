@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, langid, lm, pii, simhash, token_counts, toxicity
+from . import ann, bpe, decontam, langid, lm, pii, repeats, simhash, token_counts, toxicity
 from .common import fold, table
 
 
@@ -25,6 +25,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[of_kind(k) for k in pii.KINDS], F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("found")).alias("spans"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = langid.train_language_model(documents, fold("doc_id", 4) != 2)
@@ -59,5 +64,5 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {"pipeline": corpus_pipeline.run, "op1_bpe": op1_bpe, "op2_pii": op2_pii, "op4_langid": op4_langid, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_lm": op7_lm, "op8_token_counts": op8_token_counts, "op9_decontamination": op9_decontamination, "op10_ann": op10_ann}
+QUERIES = {"pipeline": corpus_pipeline.run, "op1_bpe": op1_bpe, "op2_pii": op2_pii, "op3_repeats": op3_repeats, "op4_langid": op4_langid, "op5_simhash": op5_simhash, "op6_toxicity": op6_toxicity, "op7_lm": op7_lm, "op8_token_counts": op8_token_counts, "op9_decontamination": op9_decontamination, "op10_ann": op10_ann}
 ORACLE_SQL: dict[str, str] = {}
