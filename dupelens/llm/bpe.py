@@ -18,16 +18,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, bounded_batches, pack, texts_of, unpack
 
 #: Bytes of text in a block; its distinct words and positions are held at once.
-ENCODE_BLOCK = 32 << 20
+ENCODE_BLOCK = 16 << 20
 CACHE_ENTRIES = 300_000
-#: Words that are reassembled at once, one longer document excepted.
-SLICE_WORDS = 200_000
+#: Words that are reassembled at once, about; a longer document is one slice.
+SLICE_WORDS = 100_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -49,6 +50,7 @@ def _explode(pattern: str, buckets: int):
         from pyspark import TaskContext
 
         find, task = regex.compile(pattern).findall, TaskContext.get().partitionId()
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for n, block in enumerate(blocks(batches, "text", ENCODE_BLOCK)):
             numbers = _Numbers()
             sequences = []
@@ -57,31 +59,35 @@ def _explode(pattern: str, buckets: int):
                 sequences.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
             lengths = np.array([len(s) for s in sequences])
             flat = np.concatenate(sequences)
-            # frequent words get small numbers, which pack into a byte or two
-            order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
-            renumbered = np.empty(len(order), np.int64)
-            renumbered[order] = np.arange(len(order))
-            flat = renumbered[flat] if len(flat) else flat
             encoded = [w.encode() for w in numbers]
-            parts: list[list[bytes]] = [[] for _ in range(buckets)]
-            places: list[list[int]] = [[] for _ in range(buckets)]
-            for k in order.tolist():
-                b = zlib.crc32(encoded[k]) % buckets
-                parts[b].append(encoded[k])
-            for k, i in enumerate(order.tolist()):
-                places[zlib.crc32(encoded[i]) % buckets].append(k)
-            full = [b for b in range(buckets) if parts[b]]
+            del sequences, numbers
+            # frequent words get small numbers, which pack into a byte or two
+            order = np.argsort(-np.bincount(flat, minlength=len(encoded)), kind="stable")
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            flat = place[flat]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in encoded), np.int32, len(encoded))
+            dealt = np.lexsort((place, bucket))
+            cuts = np.searchsorted(bucket[dealt], np.arange(buckets + 1))
+            words = []
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                mine = dealt[cuts[b] : cuts[b + 1]]
+                some = [encoded[k] for k in mine.tolist()]
+                words.append({"bucket": b, "places": pack(np.diff(place[mine], prepend=0)), "lengths": pack(np.array([len(w) for w in some])), "bytes": squeeze(b"".join(some))})
+            # documents in slices of about SLICE_WORDS words
+            ends = np.cumsum(lengths)
+            last = np.flatnonzero(np.diff((ends - lengths) // SLICE_WORDS)) + 1
+            heads = np.r_[0, ends[last - 1]].astype(np.int64)
+            positions = [squeeze(pack(flat[a:z])) for a, z in zip(heads.tolist(), [*heads[1:].tolist(), len(flat)], strict=True)]
             yield pa.record_batch(
                 {
                     "block": pa.array([task << 32 | n], pa.int64()),
                     "n_words": pa.array([len(order)], pa.int64()),
                     "ids": pa.array([block.column("doc_id").to_pylist()], pa.list_(block.column("doc_id").type)),
                     "lengths": pa.array([pack(lengths)], pa.binary()),
-                    "positions": pa.array([[pack(x) for x in np.split(flat, np.cumsum(lengths)[:-1])]], pa.list_(pa.binary())),
-                    "words": pa.array(
-                        [[{"bucket": b, "places": pack(np.diff(places[b], prepend=0)), "lengths": pack(np.array([len(w) for w in parts[b]])), "bytes": b"".join(parts[b])} for b in full]],
-                        pa.list_(pa.struct([("bucket", pa.int32()), ("places", pa.binary()), ("lengths", pa.binary()), ("bytes", pa.binary())])),
-                    ),
+                    "slices": pa.array([pack(np.diff(np.r_[0, last, len(lengths)]))], pa.binary()),
+                    "positions": pa.array([positions], pa.list_(pa.binary())),
+                    "words": pa.array([words], pa.list_(pa.struct([("bucket", pa.int32()), ("places", pa.binary()), ("lengths", pa.binary()), ("bytes", pa.binary())]))),
                 }
             )
 
@@ -106,7 +112,7 @@ def _encode(ranks, pattern: str):
         for batch in batches:
             columns = batch.to_pydict()
             for row in range(batch.num_rows):
-                data, ends = columns["bytes"][row], np.cumsum(unpack(columns["lengths"][row])).tolist()
+                data, ends = zstandard.decompress(columns["bytes"][row]), np.cumsum(unpack(columns["lengths"][row])).tolist()
                 words = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
                 if len(cache) + len(words) > CACHE_ENTRIES:
                     cache.clear()
@@ -151,9 +157,9 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n[at], begin[at] = found, np.cumsum(found) - found
             pool = np.concatenate([*tokens, np.empty(0, np.int64)]).astype("<u4")
             first = 0
-            while first < len(ids):
-                last = max(first + 1, int(np.searchsorted(np.cumsum(lengths[first:]), SLICE_WORDS)) + first)
-                some = unpack(b"".join(positions.slice(first, last - first).to_pylist()))
+            for size, packed in zip(unpack(batch.column("slices")[row].as_py()).tolist(), positions, strict=True):
+                last = first + size
+                some = unpack(zstandard.decompress(packed.as_py()))
                 sequence = pool[_gather(begin[some], n[some])].tobytes()
                 stops = np.concatenate(([0], np.cumsum(n[some])))[np.cumsum(lengths[first:last])] * 4
                 yield pa.record_batch(
@@ -180,12 +186,12 @@ def bpe_encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, key:
     shared = spark.sparkContext.broadcast(ranks)
     word = "struct<bucket: int, places: binary, lengths: binary, bytes: binary>"
     # one exchange by block serves both branches, so texts are split once
-    exploded = source.mapInArrow(_explode(pattern, buckets), f"block long not null, n_words long, ids array<{kind}>, lengths binary, positions array<binary>, words array<{word}>").repartition("block")
+    exploded = source.mapInArrow(_explode(pattern, buckets), f"block long not null, n_words long, ids array<{kind}>, lengths binary, slices binary, positions array<binary>, words array<{word}>").repartition("block")
     words = exploded.mapInArrow(_spread, "block long, bucket int, places binary, lengths binary, bytes binary").repartition("bucket")
     encoded = words.mapInArrow(_encode(shared, pattern), "block long not null, places binary, counts binary, tokens binary")
     found = encoded.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "tokens")).alias("found"))
     whole = exploded.join(found.withColumnRenamed("block", "b").hint("merge"), F.col("block") == F.col("b"), "left")
-    return whole.select("n_words", "ids", "lengths", "positions", "words", "found").mapInArrow(_assemble, f"doc_id {kind}, n_tokens long, ids binary")
+    return whole.select("n_words", "ids", "lengths", "slices", "positions", "words", "found").mapInArrow(_assemble, f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
