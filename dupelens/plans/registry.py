@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .oracle import ORACLE_SQL
+from .queries import QUERIES
+
 FLAGSHIP = "recall_rates"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
