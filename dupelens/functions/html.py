@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import mark_html
 
@@ -40,7 +41,7 @@ def text_of(html: str | None) -> str | None:
     return "".join(parser.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _texts(html: pd.Series) -> pd.Series:
     return html.map(text_of)
 
