@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, use_shared_folder
+from .common import bounded_batches, lean, use_shared_folder
 
 #: Vectors that the codebooks are fitted on, about.
 SAMPLE_VECTORS = 20_000
@@ -128,7 +128,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int =
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), *batch.columns], ["cell", *batch.schema.names])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
-    entries = classes.mapInArrow(place, f"cell int, {kinds}")
+    entries = classes.mapInArrow(lean(place), f"cell int, {kinds}")
     sizes = np.zeros(len(books[0]) * len(books[1]), np.int64)
     for r in entries.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
@@ -153,7 +153,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int =
 
     element = next(f.dataType for f in classes.schema if f.name == "v")
     element = element.simpleString() if isinstance(element, T.ArrayType) else "array<double>"
-    probes = asked.mapInArrow(probe, f"cell int, slice int, class long, hash long, v {element}")
+    probes = asked.mapInArrow(lean(probe), f"cell int, slice int, class long, hash long, v {element}")
     table = spark.createDataFrame([(c, int(n)) for c, n in enumerate(slices.value[1].tolist()) if n > 1] or [(-1, 1)], "c int, n int")
     dealt = entries.join(F.broadcast(table), F.col("cell") == F.col("c"), "left").select("cell", F.pmod(F.col("hash"), F.coalesce("n", F.lit(1))).cast("int").alias("slice"), "class", "hash", "ids", "v")
 

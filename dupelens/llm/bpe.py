@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, pack, texts_of, unpack
+from .common import blocks, bounded_batches, lean, pack, texts_of, unpack
 
 #: Bytes of text in a block; its distinct words and positions are held at once.
 ENCODE_BLOCK = 16 << 20
@@ -186,12 +186,12 @@ def bpe_encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, key:
     shared = spark.sparkContext.broadcast(ranks)
     word = "struct<bucket: int, places: binary, lengths: binary, bytes: binary>"
     # one exchange by block serves both branches, so texts are split once
-    exploded = source.mapInArrow(_explode(pattern, buckets), f"block long not null, n_words long, ids array<{kind}>, lengths binary, slices binary, positions array<binary>, words array<{word}>").repartition("block")
-    words = exploded.mapInArrow(_spread, "block long, bucket int, places binary, lengths binary, bytes binary").repartition("bucket")
-    encoded = words.mapInArrow(_encode(shared, pattern), "block long not null, places binary, counts binary, tokens binary")
+    exploded = source.mapInArrow(lean(_explode(pattern, buckets)), f"block long not null, n_words long, ids array<{kind}>, lengths binary, slices binary, positions array<binary>, words array<{word}>").repartition("block")
+    words = exploded.mapInArrow(lean(_spread), "block long, bucket int, places binary, lengths binary, bytes binary").repartition("bucket")
+    encoded = words.mapInArrow(lean(_encode(shared, pattern)), "block long not null, places binary, counts binary, tokens binary")
     found = encoded.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "tokens")).alias("found"))
     whole = exploded.join(found.withColumnRenamed("block", "b").hint("merge"), F.col("block") == F.col("b"), "left")
-    return whole.select("n_words", "ids", "lengths", "slices", "positions", "words", "found").mapInArrow(_assemble, f"doc_id {kind}, n_tokens long, ids binary")
+    return whole.select("n_words", "ids", "lengths", "slices", "positions", "words", "found").mapInArrow(lean(_assemble), f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
@@ -211,4 +211,4 @@ def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(decode, f"{kinds}, decoded binary")
+    return encoded.mapInArrow(lean(decode), f"{kinds}, decoded binary")

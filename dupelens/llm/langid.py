@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, texts_of
+from .common import blocks, bounded_batches, lean, texts_of
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -108,7 +108,7 @@ def train_language_model(documents: DataFrame, use: Column, key: str = "doc_id",
         at = np.flatnonzero(sums)
         yield pa.record_batch({"cell": pa.array(at, pa.int64()), "n": pa.array(sums[at], pa.int64())})
 
-    cells = labelled.select("lang", "text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = labelled.select("lang", "text").mapInArrow(lean(count), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(len(languages) * buckets)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     counts = counts.reshape(len(languages), buckets).T + smoothing
@@ -151,4 +151,4 @@ def predict_language(documents: DataFrame, model: LanguageModel, key: str = "doc
                 }
             )
 
-    return source.mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double{kinds}")
+    return source.mapInArrow(lean(predict), f"doc_id {kind}, lang_pred string, score double{kinds}")

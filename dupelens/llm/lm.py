@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _Numbers
-from .common import blocks, bounded_batches, pack, unpack
+from .common import blocks, bounded_batches, lean, pack, unpack
 
 #: Bytes of text in a block; its n-grams are held at once.
 LM_BLOCK = 16 << 20
@@ -238,11 +238,11 @@ def score_texts(documents: DataFrame, held_out: Column, key: str = "doc_id", tex
     source = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     kind = source.schema["doc_id"].dataType.simpleString()
     # one exchange by block serves both passes over the blocks, so texts are split into words once
-    read = source.mapInArrow(_read, f"block long not null, ids array<{kind}>, held_out array<boolean>, lengths binary, words binary, hashes binary").repartition("block")
-    tallies = read.mapInArrow(_tally(buckets), "block long not null, bucket int, grams binary, counts binary, words binary")
-    totals = tallies.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_add_up, "block long not null, bucket int, totals binary, tokens long, distinct long").repartition("block")
-    sums = totals.mapInArrow(_sums, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    read = source.mapInArrow(lean(_read), f"block long not null, ids array<{kind}>, held_out array<boolean>, lengths binary, words binary, hashes binary").repartition("block")
+    tallies = read.mapInArrow(lean(_tally(buckets)), "block long not null, bucket int, grams binary, counts binary, words binary")
+    totals = tallies.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_add_up), "block long not null, bucket int, totals binary, tokens long, distinct long").repartition("block")
+    sums = totals.mapInArrow(lean(_sums), "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
     found = totals.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("bucket", "totals", "tokens", "distinct")).alias("found"))
     whole = read.join(found.hint("merge"), F.col("block") == F.col("b"), "left").withColumn("sums", sums.select(F.struct("n", "v")).scalar())
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return whole.drop("b").mapInArrow(_score(strength, buckets), schema)
+    return whole.drop("b").mapInArrow(lean(_score(strength, buckets)), schema)

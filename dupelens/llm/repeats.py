@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, texts_of
+from .common import blocks, bounded_batches, lean, texts_of
 
 LENGTH = 200
 #: Bytes of text in a block, and windows that are looked at together.
@@ -491,13 +491,13 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, key: str = "doc_i
     source = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     # one exchange by block serves all passes over the blocks
-    read = source.mapInArrow(_read, f"block long not null, ids array<{kind}>, sizes binary, text binary").repartition("block")
-    tallies = read.mapInArrow(_tally(length, buckets), "block long not null, bucket int, anchors binary, segments binary, twice binary")
-    judged = tallies.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge(many), "block long not null, bucket int, verdicts binary")
+    read = source.mapInArrow(lean(_read), f"block long not null, ids array<{kind}>, sizes binary, text binary").repartition("block")
+    tallies = read.mapInArrow(lean(_tally(length, buckets)), "block long not null, bucket int, anchors binary, segments binary, twice binary")
+    judged = tallies.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_judge(many)), "block long not null, bucket int, verdicts binary")
     judged = judged.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("bucket", "verdicts")).alias("judged"))
     known = read.join(judged.hint("merge"), F.col("block") == F.col("b"), "left")
-    sent = known.mapInArrow(_send(length, buckets), "block long not null, bucket int, widths binary, places binary, anchors binary, data binary")
-    resolved = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_resolve(length), "block long not null, bucket int, marks binary")
+    sent = known.mapInArrow(lean(_send(length, buckets)), "block long not null, bucket int, widths binary, places binary, anchors binary, data binary")
+    resolved = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_resolve(length)), "block long not null, bucket int, marks binary")
     resolved = resolved.groupBy(F.col("block").alias("c")).agg(F.collect_list(F.struct("bucket", "marks")).alias("resolved"))
     whole = known.join(resolved.hint("merge"), F.col("block") == F.col("c"), "left")
-    return whole.mapInArrow(_remove(length, buckets), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return whole.mapInArrow(lean(_remove(length, buckets)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

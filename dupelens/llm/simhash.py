@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, bounded_batches, use_shared_folder
+from .common import blocks, bounded_batches, lean, use_shared_folder
 from .components import connected_components
 
 SEED = 42
@@ -66,7 +66,7 @@ def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text",
             found = np.array([fingerprint(shingle_hashes(t.as_py() or "", words)) for t in block.column("text")], np.uint64)
             yield pa.record_batch({"doc_id": block.column("doc_id"), "fp": pa.array(found.view(np.int64), pa.int64())})
 
-    return source.mapInArrow(prints, "doc_id long, fp long")
+    return source.mapInArrow(lean(prints), "doc_id long, fp long")
 
 
 def _counts(prints: np.ndarray) -> np.ndarray:
@@ -194,8 +194,8 @@ def _meet(radius: int):
 def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     """a, b: links between the nodes of distinct fingerprints (columns fp, node) that connect all within the radius."""
     bounded_batches(prints.sparkSession, 50_000)
-    placed = prints.select("fp", "node").mapInArrow(_place(radius), "cell long, reached boolean, fp long, node long")
-    return placed.repartition("cell").sortWithinPartitions("cell", "reached").mapInArrow(_meet(radius), "a long, b long")
+    placed = prints.select("fp", "node").mapInArrow(lean(_place(radius)), "cell long, reached boolean, fp long, node long")
+    return placed.repartition("cell").sortWithinPartitions("cell", "reached").mapInArrow(lean(_meet(radius)), "a long, b long")
 
 
 def simhash_components(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:

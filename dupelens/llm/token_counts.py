@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import blocks, bounded_batches, texts_of
+from .common import blocks, bounded_batches, lean, texts_of
 
 #: The largest vocabulary whose lengths are broadcast.
 TABLE_ENTRIES = 300_000
@@ -108,4 +108,4 @@ def token_counts(documents: DataFrame, vocabulary_path: str, pattern: str, limit
                 }
             )
 
-    return source.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return source.mapInArrow(lean(count), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, texts_of
+from .common import blocks, bounded_batches, lean, texts_of
 
 #: Labelled documents that the classifier is fitted on, about; more are thinned by a hash of their key.
 SAMPLE_DOCUMENTS = 40_000
@@ -131,7 +131,7 @@ def train_toxicity_model(documents: DataFrame, labels: DataFrame, use: Column, k
         words = list(tallies[0].keys() | tallies[1].keys())
         yield pa.record_batch({"word": pa.array(["", *words], pa.string()), "n0": pa.array([sizes[0], *(tallies[0][w] for w in words)], pa.int64()), "n1": pa.array([sizes[1], *(tallies[1][w] for w in words)], pa.int64())})
 
-    counted = labelled.where("part != 0").select("text", "y").mapInArrow(count, "word string, n0 long, n1 long")
+    counted = labelled.where("part != 0").select("text", "y").mapInArrow(lean(count), "word string, n0 long, n1 long")
     table = counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(f"word = '' or n0 + n1 >= {LEAST_DOCUMENTS}").toPandas()
     totals = table[table.word == ""]
     all0, all1 = (int(totals[c].sum()) for c in ("n0", "n1"))
@@ -156,7 +156,7 @@ def train_toxicity_model(documents: DataFrame, labels: DataFrame, use: Column, k
         yield pa.record_batch({"cell": pa.array(np.arange(len(grid)), pa.int64()), "n": pa.array(sums, pa.int64())})
 
     rest = labelled.where("part = 0").select("text", "y")
-    cells = rest.where("y = 0").mapInArrow(spread, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = rest.where("y = 0").mapInArrow(lean(spread), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     p = np.zeros(len(grid))
     p[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     if p.sum() == 0:
@@ -174,10 +174,10 @@ def train_toxicity_model(documents: DataFrame, labels: DataFrame, use: Column, k
             steps = [_steps(WORD.findall(t.lower()), shared.value, drift) for t in texts_of(block, "text")]
             yield pa.record_batch({"n": pa.array([len(s) for s in steps], pa.int64()), "best": pa.array([_best(s) for s in steps], pa.float64())})
 
-    law = rest.where("y = 0").mapInArrow(features, "n long, best double").toPandas()
+    law = rest.where("y = 0").mapInArrow(lean(features), "n long, best double").toPandas()
     scale = 1 / max(float(np.mean(np.maximum(law["n"], 1) * np.exp(-rate * law["best"]))), 1e-12) if len(law) else 1.0
     first = ToxicityModel(weights, drift, rate, scale, significance, ())
-    curve = rest.mapInArrow(_curve_rows(documents.sparkSession.sparkContext.broadcast(first)), "y int, x array<double>").toPandas()
+    curve = rest.mapInArrow(lean(_curve_rows(documents.sparkSession.sparkContext.broadcast(first))), "y int, x array<double>").toPandas()
     x, y = np.array(curve["x"].tolist()).reshape(-1, 4), curve["y"].to_numpy(float)
     fitted = _fit(x, y) if len(set(y.tolist())) == 2 else np.array([np.log((share + 1e-3) / (1 - share + 1e-3)), 0, 0, 0])
     return ToxicityModel(weights, drift, rate, scale, significance, tuple(float(v) for v in fitted))
@@ -222,7 +222,7 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, key: str = "doc_i
                 passages.append(places)
             yield pa.record_batch({"doc_id": block.column("doc_id"), "score": pa.array(scores, pa.float64()), "passages": pa.array(passages, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("expected", pa.float64())])))})
 
-    return source.mapInArrow(score, f"doc_id {kind}, score double, passages array<struct<start: bigint, end: bigint, expected: double>>")
+    return source.mapInArrow(lean(score), f"doc_id {kind}, score double, passages array<struct<start: bigint, end: bigint, expected: double>>")
 
 
 def _spans_of_lowered(text: str) -> list[tuple[int, int]]:
