@@ -2,8 +2,9 @@
 
 Vectors are normalised and their halves quantised apart, each with a codebook fitted on a bounded sample; a cell is a
 pair of centroids, and every vector is in one. A query walks through the pairs by summed distance with a heap until the
-cells seen hold `candidates` vectors, and the entries of these cells are reranked by the exact cosine of the original
-vectors. Equal vectors are one entry, with the smallest of their ids that a result can need. A cell with many entries is
+cells seen hold a share of all vectors, and the entries of these cells are reranked by the exact cosine of the original
+vectors. The share is measured, not guessed: it is what sampled queries need to find `recall` of their true neighbours
+among the sampled vectors. Clustered vectors need a small share; vectors without structure need a large one. Equal vectors are one entry, with the smallest of their ids that a result can need. A cell with many entries is
 dealt into slices, all of which its queries visit.
 """
 
@@ -24,6 +25,8 @@ from .common import bounded_batches, lean, use_shared_folder
 
 #: Vectors that the codebooks are fitted on, about.
 SAMPLE_VECTORS = 20_000
+#: Sampled queries that the share of vectors to visit is measured with.
+SAMPLE_QUERIES = 200
 #: Entries in a slice of a cell, about.
 SLICE = 20_000
 #: Centroids of a half, at most; the table of cell sizes is broadcast and has the square of it.
@@ -75,6 +78,23 @@ def walk(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int)
     return cells
 
 
+def share_to_visit(units: np.ndarray, cut: int, books: list[np.ndarray], k: int, recall: float) -> float:
+    """The share of the sampled vectors that the walk has to see to find `recall` of the k true neighbours of sampled queries."""
+    cells = _distances(units[:, :cut], books[0]).argmin(1) * len(books[1]) + _distances(units[:, cut:], books[1]).argmin(1)
+    sizes = np.bincount(cells, minlength=len(books[0]) * len(books[1]))
+    needed = []
+    for q in range(0, len(units), max(1, len(units) // SAMPLE_QUERIES)):
+        near = units @ units[q]
+        near[q] = -np.inf
+        true = np.argpartition(-near, min(k, len(near) - 1))[:k]
+        sums = (_distances(units[q : q + 1, :cut], books[0])[0][:, None] + _distances(units[q : q + 1, cut:], books[1])[0]).ravel()
+        order = np.argsort(sums)
+        seen = np.empty(len(order))
+        seen[order] = np.cumsum(sizes[order])
+        needed += (seen[cells[true]] / len(units)).tolist()
+    return float(np.quantile(needed, recall))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -89,7 +109,7 @@ def valid_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return kept.where(F.size("v") == shapes[0]["d"]) if len(shapes) > 1 else kept
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int = 3000, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE_VECTORS) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.95, key: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE_VECTORS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among all rows but those of its own id.
 
     Nearness is the largest cosine in double precision; ties go to the smaller vec_id. Vectors that are null, zero or of
@@ -117,6 +137,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int =
     cut = (units.shape[1] + 1) // 2
     centroids = int(min(MOST_CENTROIDS, max(4, round((total / 50) ** 0.5))))
     books = [_codebook(units[:, :cut], centroids), _codebook(units[:, cut:], centroids) if units.shape[1] > cut else np.zeros((1, 0))]
+    enough = int(np.ceil(share_to_visit(units, cut, books, k, recall) * total)) + k
     shared = spark.sparkContext.broadcast(books)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +167,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int =
             first, second = _distances(x[:, :cut], one), _distances(x[:, cut:], two)
             at, cells, part = [], [], []
             for n in range(batch.num_rows):
-                for c in walk(first[n], second[n], held, candidates):
+                for c in walk(first[n], second[n], held, enough):
                     for s in range(int(parts[c])):
                         at.append(n), cells.append(c), part.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(part, pa.int32()), *batch.take(pa.array(at, pa.int32())).columns], ["cell", "slice", *batch.schema.names])
@@ -161,14 +182,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, candidates: int =
         columns = ["qclass", "qhash", "ids", "score"]
         if not len(asking) or not len(held):
             return pd.DataFrame({c: [] for c in columns})
-        entry = np.array([np.asarray(v, np.float64) for v in held["v"]])
+        entry = np.stack(held["v"].to_numpy()).astype(np.float64)
         norm, order = np.sqrt((entry**2).sum(1)), held["class"].to_numpy()
-        ids, out = held["ids"].tolist(), []
-        for name, tag, v in zip(asking["class"].tolist(), asking["hash"].tolist(), asking["v"], strict=True):
-            q = np.asarray(v, np.float64)
-            score = (entry * q).sum(1) / (norm * np.sqrt((q**2).sum()))
-            best = np.lexsort((order, -score))[: k + 1]
-            out += [(name, tag, ids[b], float(score[b])) for b in best.tolist()]
+        ids, names, tags = held["ids"].to_numpy(), asking["class"].to_numpy(), asking["hash"].to_numpy()
+        out = []
+        for first in range(0, len(asking), 256):
+            queries = np.stack(asking["v"].to_numpy()[first : first + 256]).astype(np.float64)
+            lengths = np.sqrt((queries**2).sum(1))
+            # the product finds who may be among the best; those are measured one by one, alike wherever they stand
+            rough = (entry @ queries.T) / np.outer(norm, lengths)
+            last = np.partition(rough, max(len(entry) - k - 1, 0), axis=0)[max(len(entry) - k - 1, 0)] - 1e-9
+            for n in range(len(queries)):
+                may = np.flatnonzero(rough[:, n] >= last[n])
+                score = (entry[may] * queries[n]).sum(1) / (norm[may] * lengths[n])
+                best = np.lexsort((order[may], -score))[: k + 1]
+                out += [(names[first + n], tags[first + n], ids[may[b]], float(score[b])) for b in best.tolist()]
         return pd.DataFrame(out, columns=columns)
 
     found = probes.groupBy("cell", "slice").cogroup(dealt.groupBy("cell", "slice")).applyInPandas(rerank, "qclass long, qhash long, ids array<long>, score double")
