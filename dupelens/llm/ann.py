@@ -4,8 +4,9 @@ Vectors are normalised and their halves quantised apart, each with a codebook fi
 pair of centroids, and every vector is in one. A query walks through the pairs by summed distance with a heap until the
 cells seen hold a share of all vectors, and the entries of these cells are reranked by the exact cosine of the original
 vectors. The share is measured, not guessed: it is what sampled queries need to find `recall` of their true neighbours
-among the sampled vectors. Clustered vectors need a small share; vectors without structure need a large one. Equal vectors are one entry, with the smallest of their ids that a result can need. A cell with many entries is
-dealt into slices, all of which its queries visit.
+among the sampled vectors. Clustered vectors need a small share; vectors without structure need a large one. Equal vectors are one entry, with the smallest of their ids
+that a result can need. Neighbouring cells make up regions of about `REGION` entries, which are what tasks work on; a
+cell with more entries is dealt over several regions, and more than `ASKING` queries go in turns.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from .common import bounded_batches, lean, use_shared_folder
 SAMPLE_VECTORS = 20_000
 #: Sampled queries that the share of vectors to visit is measured with.
 SAMPLE_QUERIES = 200
-#: Entries in a slice of a cell, about.
-SLICE = 20_000
+#: Entries in a region, about.
+REGION = 2000
+#: Queries that visit a region together, about.
+ASKING = 20_000
 #: Centroids of a half, at most; the table of cell sizes is broadcast and has the square of it.
 MOST_CENTROIDS = 512
 
@@ -95,6 +98,19 @@ def share_to_visit(units: np.ndarray, cut: int, books: list[np.ndarray], k: int,
     return float(np.quantile(needed, recall))
 
 
+def regions(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First region and number of regions of each cell. Cells in order fill regions; one with over REGION entries has its own."""
+    count = np.maximum(1, -(-sizes // REGION))
+    alone = count > 1
+    filled = np.cumsum(np.where(alone, REGION, sizes)) - np.where(alone, REGION, sizes)
+    place = filled // REGION + np.cumsum(alone) * 2  # a large cell never shares its number
+    _, first = np.unique(np.stack([place, np.cumsum(alone) * 2 - alone], 1), axis=0, return_inverse=True)
+    first = first.ravel()
+    width = np.zeros(first.max() + 1, np.int64)
+    np.maximum.at(width, first, count)
+    return (np.cumsum(width) - width)[first], count
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
@@ -153,30 +169,41 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.
     sizes = np.zeros(len(books[0]) * len(books[1]), np.int64)
     for r in entries.groupBy("cell").count().collect():
         sizes[r["cell"]] = r["count"]
-    slices = spark.sparkContext.broadcast((sizes, np.maximum(1, -(-sizes // SLICE))))
+    plan = spark.sparkContext.broadcast((sizes, *regions(sizes)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, first, count = plan.value
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            region = first[cell] + batch.column("hash").to_numpy() % count[cell]
+            yield pa.RecordBatch.from_arrays([pa.array(region, pa.int64()), *batch.columns], ["region", *batch.schema.names])
+
+    dealt = entries.mapInArrow(lean(deal), f"region long, cell int, {kinds}")
     asked = queries.select("v").distinct().withColumn("hash", F.xxhash64("v"))
     asked = asked.join(classes.select(F.col("v").alias("w"), "class"), F.col("v") == F.col("w")).select("class", "hash", "v")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = shared.value
-        held, parts = slices.value
+        held, start, count = plan.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _unit(_matrix(batch.column("v")))
             first, second = _distances(x[:, :cut], one), _distances(x[:, cut:], two)
-            at, cells, part = [], [], []
+            at, where, cells = [], [], []
             for n in range(batch.num_rows):
+                visited: dict[int, list[int]] = {}
                 for c in walk(first[n], second[n], held, enough):
-                    for s in range(int(parts[c])):
-                        at.append(n), cells.append(c), part.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(part, pa.int32()), *batch.take(pa.array(at, pa.int32())).columns], ["cell", "slice", *batch.schema.names])
+                    for r in range(int(start[c]), int(start[c] + count[c])):
+                        visited.setdefault(r, []).append(c)
+                at += [n] * len(visited)
+                where += visited
+                cells += visited.values()
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(cells, pa.list_(pa.int32())), *batch.take(pa.array(at, pa.int32())).columns], ["region", "cells", *batch.schema.names])
 
     element = next(f.dataType for f in classes.schema if f.name == "v")
     element = element.simpleString() if isinstance(element, T.ArrayType) else "array<double>"
-    probes = asked.mapInArrow(lean(probe), f"cell int, slice int, class long, hash long, v {element}")
-    table = spark.createDataFrame([(c, int(n)) for c, n in enumerate(slices.value[1].tolist()) if n > 1] or [(-1, 1)], "c int, n int")
-    dealt = entries.join(F.broadcast(table), F.col("cell") == F.col("c"), "left").select("cell", F.pmod(F.col("hash"), F.coalesce("n", F.lit(1))).cast("int").alias("slice"), "class", "hash", "ids", "v")
+    probes = asked.mapInArrow(lean(probe), f"region long, cells array<int>, class long, hash long, v {element}")
 
     def rerank(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         columns = ["qclass", "qhash", "ids", "score"]
@@ -184,6 +211,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.
             return pd.DataFrame({c: [] for c in columns})
         entry = np.stack(held["v"].to_numpy()).astype(np.float64)
         norm, order = np.sqrt((entry**2).sum(1)), held["class"].to_numpy()
+        cell = held["cell"].to_numpy()
         ids, names, tags = held["ids"].to_numpy(), asking["class"].to_numpy(), asking["hash"].to_numpy()
         out = []
         for first in range(0, len(asking), 256):
@@ -191,15 +219,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = 0.
             lengths = np.sqrt((queries**2).sum(1))
             # the product finds who may be among the best; those are measured one by one, alike wherever they stand
             rough = (entry @ queries.T) / np.outer(norm, lengths)
+            for n, mine in enumerate(asking["cells"].to_numpy()[first : first + 256]):
+                rough[~np.isin(cell, mine), n] = -np.inf
             last = np.partition(rough, max(len(entry) - k - 1, 0), axis=0)[max(len(entry) - k - 1, 0)] - 1e-9
             for n in range(len(queries)):
-                may = np.flatnonzero(rough[:, n] >= last[n])
+                may = np.flatnonzero((rough[:, n] >= last[n]) & (rough[:, n] > -np.inf))
                 score = (entry[may] * queries[n]).sum(1) / (norm[may] * lengths[n])
                 best = np.lexsort((order[may], -score))[: k + 1]
                 out += [(names[first + n], tags[first + n], ids[may[b]], float(score[b])) for b in best.tolist()]
         return pd.DataFrame(out, columns=columns)
 
-    found = probes.groupBy("cell", "slice").cogroup(dealt.groupBy("cell", "slice")).applyInPandas(rerank, "qclass long, qhash long, ids array<long>, score double")
+    turns = -(-asked.count() // ASKING)
+    probes = probes.withColumn("turn", F.pmod("hash", F.lit(max(turns, 1))).cast("int"))
+    dealt = dealt.withColumn("turn", F.explode(F.array(*[F.lit(t) for t in range(turns)])) if turns > 1 else F.lit(0))
+    found = probes.groupBy("region", "turn").cogroup(dealt.groupBy("region", "turn")).applyInPandas(rerank, "qclass long, qhash long, ids array<long>, score double")
     best = Window.partitionBy("qclass", "qhash").orderBy(F.desc("score"), F.col("ids")[0])
     found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).select("qclass", "qhash", "score", F.explode("ids").alias("vec_id"))
     named = queries.withColumn("qh", F.xxhash64("v")).join(asked.select(F.col("class").alias("c"), F.col("hash").alias("h"), F.col("v").alias("w")), (F.col("qh") == F.col("h")) & (F.col("v") == F.col("w"))).select("query_id", "c", "h")

@@ -298,3 +298,12 @@ def test_pipeline(spark, small, documents):
     texts = dict(zip(kept["redact"].doc_id, kept["redact"].text, strict=True))
     assert all(h == hashlib.sha256(texts[k].encode()).hexdigest() for k, h in zip(kept["encode"].doc_id, kept["encode"].decoded_sha256, strict=True))
     assert corpus_pipeline.run(spark, small).count() == len(kept["encode"])
+
+
+def test_regions_hold_neighbouring_cells():
+    sizes = np.array([500, 0, 900, 700, 5000, 100, 100, 1999, 2001, 3])
+    first, count = ann.regions(sizes)
+    assert count.tolist() == [1, 1, 1, 1, 3, 1, 1, 1, 2, 1]
+    spans = [set(range(f, f + c)) for f, c in zip(first, count, strict=True)]
+    assert not spans[4] & set().union(*spans[:4], *spans[5:]) and not spans[8] & set().union(*spans[:8], spans[9])
+    assert first[0] == first[1] == first[2] and first[5] == first[6]
