@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .corpus import dense_index
 from .ids import SEED, half_even, lot
 
 
@@ -53,7 +54,7 @@ def undersample(candidates: DataFrame, share: float, seed: int = SEED) -> DataFr
     true = candidates.where("is_dup")
     false = candidates.where("not is_dup")
     quota = half_even(1 / share - 1) * true.count()
-    dups = false.select("dup_id").distinct().select(F.col("dup_id").alias("q"), (F.row_number().over(Window.orderBy("dup_id")) - 1).alias("pos"))
+    dups = dense_index(false.select(F.col("dup_id").alias("q")).distinct(), "q", "pos")
     n = max(dups.count(), 1)
     parts = dups.select("q", (F.lit(quota // n) + F.when(F.col("pos") < quota % n, 1).otherwise(0)).alias("part"))
     drawn = false.withColumn("draw", F.row_number().over(Window.partitionBy("dup_id").orderBy(lot(F.concat_ws("-", "dup_id", "candidate_id"), seed), "candidate_id")))

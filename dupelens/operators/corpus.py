@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import process_html, tokens
+from .index import materialise
 
 #: Question parts that are compared.
 PARTS = ("title", "body", "tags", "title_body", "title_body_tags", "title_body_tags_answer")
@@ -32,19 +33,21 @@ def with_best_answer(questions: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def dense_index(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Rows numbered from 0 by the order of the key, without gathering them in one task.
+    """Rows with their number from 0 in the order of the key, which is unique, without gathering them in one task.
 
-    Rows are dealt by ranges of the key; a partition's first number is the count of rows before it.
+    Keys are dealt by ranges and sorted; a partition's first number is the count of keys before it. The dealt keys are
+    written once, for a range is drawn from a sample and would come out otherwise a second time.
     """
-    ranged = rows.repartitionByRange(key).sortWithinPartitions(key)
-    ranged = ranged.withColumn("_at", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = ranged.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_before")  # a row for each partition
-    return ranged.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_row")).drop("_at", "_part", "_row", "_p", "_before")
+    keys = rows.select(F.col(key).alias("_key")).repartitionByRange("_key").sortWithinPartitions("_key").withColumn("_at", F.monotonically_increasing_id())
+    keys = materialise(keys).select("_key", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
+    sizes = keys.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row for each partition
+    numbers = keys.join(F.broadcast(before), F.col("_part") == F.col("_p")).select("_key", (F.col("_before") + F.col("_row")).alias(name))
+    return rows.join(numbers, F.col(key) == F.col("_key")).drop("_key")
 
 
-def _merged(df: DataFrame, join: Column | None = None) -> DataFrame:
+def merged_parts(df: DataFrame) -> DataFrame:
+    """Title, body, tags and answer with their concatenations."""
     space = lambda *c: F.concat_ws(" ", *c)
     df = df.withColumn("title_body", space("title", "body"))
     df = df.withColumn("title_body_tags", space("title_body", "tags"))
@@ -56,7 +59,7 @@ def build_corpus(questions: DataFrame, answers: DataFrame, html: bool = True) ->
     joined = with_best_answer(questions.na.drop(), answers)
     for c in ("title", "body", "answer") if html else ():
         joined = joined.withColumn(c, process_html(F.col(c)))
-    return dense_index(_merged(joined), "id", "corpus_index").select("id", "corpus_index", "n_answers", "title", "body", "tags", "answer", *PARTS[3:])
+    return dense_index(merged_parts(joined), "id", "corpus_index").select("id", "corpus_index", "n_answers", "title", "body", "tags", "answer", *PARTS[3:])
 
 
 def tokenize(corpus: DataFrame, stop_words: list[str] | None = None) -> DataFrame:

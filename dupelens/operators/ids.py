@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .corpus import dense_index
+
 SEED = 42
 NOISE_SHARE = 0.2
 TEST_SHARE = 0.2
@@ -83,10 +85,11 @@ def sample_with_pairs(questions: DataFrame, pairs: DataFrame, n: int, seed: int
 
 
 def folds(candidates: DataFrame, k: int, seed: int = SEED) -> DataFrame:
-    """dup_id, fold (1 to k; 0: noise, always trained on). The first folds have one more where sizes differ.
-
-    Only distinct duplicates are numbered, a small table beside the candidates.
-    """
+    """dup_id, fold (1 to k; 0: noise, always trained on). The first folds have one more where sizes differ."""
     dups = candidates.groupBy("dup_id").agg(F.max("is_noise").alias("noise"))
-    real = dups.where("not noise").withColumn("fold", F.ntile(k).over(Window.orderBy(lot("dup_id", seed), "dup_id")))
-    return real.select("dup_id", "fold").union(dups.where("noise").select("dup_id", F.lit(0)))
+    real = dense_index(dups.where("not noise").select("dup_id", lot("dup_id", seed).alias("lot")), "lot", "n")
+    count = real.count()
+    size, more = count // k, count % k
+    large = F.lit(more * (size + 1))
+    fold = F.when(F.col("n") < large, F.floor(F.col("n") / (size + 1)) + 1).otherwise(F.lit(more) + F.floor((F.col("n") - large) / max(size, 1)) + 1)
+    return real.select("dup_id", fold.cast("int").alias("fold")).union(dups.where("noise").select("dup_id", F.lit(0)))

@@ -19,7 +19,7 @@ STUDY_TAGS = ["fr", "de", "src3", "SRC7"]
 def _tokenized(spark: SparkSession, d: str, part: str = PART) -> DataFrame:
     """id and the tokens of one part. The texts of documents hold no HTML, so none is taken off."""
     joined = corpus.with_best_answer(tables.questions(spark, d), tables.answers(spark, d))
-    merged = corpus._merged(joined)
+    merged = corpus.merged_parts(joined)
     return merged.select("id", text.tokens(F.col(part)).alias(part))
 
 

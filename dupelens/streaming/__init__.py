@@ -1 +1 @@
-
+"""Nothing here: the pipeline is a batch one, without windows, state or late data. Files are read and written by partition."""
