@@ -1,7 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
 Each word has a log-odds weight under Dirichlet priors, learned from the document frequencies of a bounded sample of
-labelled documents, less a drift that makes clean text fall on average. A linear-time scan finds all maximal-scoring
+labelled documents, less a drift that makes clean text fall on average. The prior of a word is what its beginning says:
+beginnings of 4, 5 and 6 letters have weights of their own, each with the shorter one as prior, and stand in for words that
+training hasn't seen. A linear-time scan finds all maximal-scoring
 segments of a text. Their scores follow an extreme-value law with parameters from the clean documents, which gives each
 segment an expected number of chance occurrences; segments below `significance` are passages. A logistic curve, fitted on
 labelled documents that took no part in the weights, turns the evidence into a probability.
@@ -27,6 +29,13 @@ SAMPLE_DOCUMENTS = 40_000
 LEAST_DOCUMENTS = 3
 #: Mass of the Dirichlet prior of a word, in documents.
 PRIOR = 10.0
+#: Lengths of beginnings, and what marks them in the table.
+BEGINNINGS = (4, 5, 6)
+MARK = "*"
+#: Words within which a repeated word counts once.
+NEAR = 8
+#: Words whose weights a worker remembers.
+REMEMBERED = 500_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -67,9 +76,65 @@ def maximal_segments(steps: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, high - low) for b, e, low, high, _ in stack]
 
 
-def _steps(words: list[str], weights: dict[str, float], drift: float) -> np.ndarray:
-    get = weights.get
-    return np.fromiter([get(w, 0.0) for w in words], np.float64, len(words)) - drift
+class _Weights(dict):
+    """Weights by word: its own, or that of its longest known beginning, or 0."""
+
+    def __init__(self, table: dict[str, float]):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, word: str) -> float:
+        found = self.table.get(word)
+        for n in reversed(BEGINNINGS):
+            if found is None and len(word) > n:
+                found = self.table.get(word[:n] + MARK)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = found or 0.0
+        return found
+
+
+def _units(words: set[str]) -> set[str]:
+    """Words and their beginnings."""
+    return words | {w[:n] + MARK for w in words for n in BEGINNINGS if len(w) > n}
+
+
+def _steps(words: list[str], weights: _Weights, drift: float) -> np.ndarray:
+    """Weights less the drift. A word that was among the NEAR words before it is no further evidence, so it isn't above 0."""
+    found = np.fromiter(map(weights.__getitem__, words), np.float64, len(words))
+    if len(found) and found.max() > 0:
+        names = np.fromiter(map(hash, words), np.int64, len(words))
+        again = np.zeros(len(words), bool)
+        for k in range(1, min(NEAR, len(words) - 1) + 1):
+            again[k:] |= names[k:] == names[:-k]
+        found[again & (found > 0)] = 0.0
+    return found - drift
+
+
+def _log_odds(table: dict[str, tuple[int, int]], share: float) -> dict[str, float]:
+    """Weights of the words and beginnings that differ from what their beginning says.
+
+    The rate of each is its toxic documents over all, with PRIOR documents at the rate of the next shorter beginning.
+    """
+    rates: dict[str, float] = {}
+    shown: dict[str, float] = {}
+    base = np.log(share / (1 - share))
+
+    def parent(unit: str) -> str | None:
+        letters = unit.rstrip(MARK)
+        lengths = [n for n in BEGINNINGS if n < len(letters) and letters[:n] + MARK in rates]
+        return letters[: lengths[-1]] + MARK if lengths else None
+
+    for unit in sorted(table, key=lambda u: (u[-1] != MARK, len(u), u)):
+        n0, n1 = table[unit]
+        above = parent(unit)
+        rates[unit] = (n1 + PRIOR * (share if above is None else rates[above])) / (n0 + n1 + PRIOR)
+        weight = float(np.log(rates[unit] / (1 - rates[unit])) - base)
+        while above is not None and above not in shown:
+            above = parent(above)
+        if abs(weight - (0.0 if above is None else shown[above])) >= 0.2:
+            shown[unit] = weight
+    return shown
 
 
 def _best(steps: np.ndarray) -> float:
@@ -126,7 +191,7 @@ def train_toxicity_model(documents: DataFrame, labels: DataFrame, use: Column, k
         tallies, sizes = (Counter(), Counter()), [0, 0]
         for block in blocks(batches, "text"):
             for t, y in zip(texts_of(block, "text"), block.column("y").to_pylist(), strict=True):
-                tallies[y > 0].update(set(WORD.findall(t.lower())))
+                tallies[y > 0].update(_units(set(WORD.findall(t.lower()))))
                 sizes[y > 0] += 1
         words = list(tallies[0].keys() | tallies[1].keys())
         yield pa.record_batch({"word": pa.array(["", *words], pa.string()), "n0": pa.array([sizes[0], *(tallies[0][w] for w in words)], pa.int64()), "n1": pa.array([sizes[1], *(tallies[1][w] for w in words)], pa.int64())})
@@ -140,19 +205,17 @@ def train_toxicity_model(documents: DataFrame, labels: DataFrame, use: Column, k
         return ToxicityModel({}, 0.1, 1.0, 1.0, significance, (float(np.log((share + 1e-3) / (1 - share + 1e-3))), 0.0, 0.0, 0.0))
     table = table[table.word != ""]
     share = all1 / (all0 + all1)
-    odds = np.log((table.n1 + PRIOR * share) / (table.n0 + PRIOR * (1 - share))) - np.log(all1 / all0)
-    keep = np.abs(odds.to_numpy()) >= 0.2
-    weights = dict(zip(table.word[keep].tolist(), odds[keep].tolist(), strict=True))
+    weights = _log_odds(dict(zip(table.word, zip(table.n0, table.n1, strict=True), strict=True)), share)
 
     # the clean documents that took no part in the weights give the drift and the law of chance segments
     shared = documents.sparkSession.sparkContext.broadcast(weights)
     grid = np.linspace(-12, 12, 481)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(len(grid), np.int64)
+        sums, w = np.zeros(len(grid), np.int64), _Weights(shared.value)
         for block in blocks(batches, "text"):
             for t in texts_of(block, "text"):
-                sums += np.bincount(np.clip(np.rint((_steps(WORD.findall(t.lower()), shared.value, 0.0) + 12) * 20), 0, 480).astype(int), minlength=len(grid))
+                sums += np.bincount(np.clip(np.rint((_steps(WORD.findall(t.lower()), w, 0.0) + 12) * 20), 0, 480).astype(int), minlength=len(grid))
         yield pa.record_batch({"cell": pa.array(np.arange(len(grid)), pa.int64()), "n": pa.array(sums, pa.int64())})
 
     rest = labelled.where("part = 0").select("text", "y")
@@ -170,8 +233,9 @@ def train_toxicity_model(documents: DataFrame, labels: DataFrame, use: Column, k
         low, high = (rate, high) if p @ np.exp(np.clip(rate * (grid - drift), -700, 50)) < 1 else (low, rate)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = _Weights(shared.value)
         for block in blocks(batches, "text"):
-            steps = [_steps(WORD.findall(t.lower()), shared.value, drift) for t in texts_of(block, "text")]
+            steps = [_steps(WORD.findall(t.lower()), w, drift) for t in texts_of(block, "text")]
             yield pa.record_batch({"n": pa.array([len(s) for s in steps], pa.int64()), "best": pa.array([_best(s) for s in steps], pa.float64())})
 
     law = rest.where("y = 0").mapInArrow(lean(features), "n long, best double").toPandas()
@@ -186,8 +250,9 @@ def train_toxicity_model(documents: DataFrame, labels: DataFrame, use: Column, k
 def _curve_rows(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        w = _Weights(m.weights)
         for block in blocks(batches, "text"):
-            found = [_evidence(_steps(WORD.findall(t.lower()), m.weights, m.drift), m.rate, m.scale, m.significance)[0].tolist() for t in texts_of(block, "text")]
+            found = [_evidence(_steps(WORD.findall(t.lower()), w, m.drift), m.rate, m.scale, m.significance)[0].tolist() for t in texts_of(block, "text")]
             yield pa.record_batch({"y": block.column("y"), "x": pa.array(found, pa.list_(pa.float64()))})
 
     return rows
@@ -206,11 +271,11 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, key: str = "doc_i
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        curve = np.array(m.curve)
+        curve, w = np.array(m.curve), _Weights(m.weights)
         for block in blocks(batches, "text", 4 << 20):
             scores, passages = [], []
             for t in texts_of(block, "text"):
-                evidence, found = _evidence(_steps(WORD.findall(t.lower()), m.weights, m.drift), m.rate, m.scale, m.significance)
+                evidence, found = _evidence(_steps(WORD.findall(t.lower()), w, m.drift), m.rate, m.scale, m.significance)
                 scores.append(1 / (1 + np.exp(-np.clip(evidence @ curve, -700, 700))))
                 places = []
                 if found:
