@@ -25,6 +25,12 @@ def best_answers(answers: DataFrame) -> DataFrame:
     return ranked.where("r = 1").select("id", "question_id")
 
 
+def answered_without_best(answers: DataFrame) -> DataFrame:
+    """question_id of answered questions without a best answer; there are none."""
+    best = best_answers(answers).select(F.col("question_id").alias("b"))
+    return answers.join(best, F.col("question_id") == F.col("b"), "left_anti").select("question_id").distinct()
+
+
 def with_best_answer(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """Questions with `answer`, the body of the best answer or the empty text."""
     best = best_answers(answers).select(F.col("id").alias("aid"))

@@ -31,6 +31,11 @@ def doc_freq(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def doc_freq_of(tokenized: DataFrame, part: str) -> DataFrame:
+    """term, df straight from the token arrays: one exchange, of partial counts by term."""
+    return tokenized.select(F.explode(F.array_distinct(part)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def lengths(tokenized: DataFrame, part: str, key: str = "id") -> DataFrame:
     """id, dl: tokens of each document."""
     return tokenized.select(F.col(key).alias("id"), F.size(part).cast("long").alias("dl"))

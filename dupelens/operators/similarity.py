@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import index
@@ -21,9 +21,10 @@ def _sides(left: DataFrame, right: DataFrame, dups: DataFrame, comp: DataFrame)
     return a, b
 
 
-def _dot(left: DataFrame, right: DataFrame, dups: DataFrame, comp: DataFrame, product: Column) -> DataFrame:
+def _dot(left: DataFrame, right: DataFrame, dups: DataFrame, comp: DataFrame, product: Column, include_self: bool = False) -> DataFrame:
     a, b = _sides(left, right, dups, comp)
-    return a.join(b, F.col("term") == F.col("t")).where("dup_id != main_id").groupBy("dup_id", "main_id").agg(F.sum(product).alias("score"))
+    shared = a.join(b, F.col("term") == F.col("t"))
+    return (shared if include_self else shared.where("dup_id != main_id")).groupBy("dup_id", "main_id").agg(F.sum(product).alias("score"))
 
 
 def tfidf_scores(weights: DataFrame, dups: DataFrame, comp: DataFrame) -> DataFrame:
@@ -31,9 +32,22 @@ def tfidf_scores(weights: DataFrame, dups: DataFrame, comp: DataFrame) -> DataFr
     return _dot(weights, weights, dups, comp, F.col("w") * F.col("w_2"))
 
 
-def bm25_scores(weights: DataFrame, dups: DataFrame, comp: DataFrame) -> DataFrame:
+def bm25_scores(weights: DataFrame, dups: DataFrame, comp: DataFrame, include_self: bool = False) -> DataFrame:
     """Sum over shared terms of the duplicate's term frequency times the other's weight; not symmetric."""
-    return _dot(weights.select("id", "term", "tf"), weights.select("id", "term", "w"), dups, comp, F.col("tf") * F.col("w_2"))
+    return _dot(weights.select("id", "term", "tf"), weights.select("id", "term", "w"), dups, comp, F.col("tf") * F.col("w_2"), include_self)
+
+
+def most_similar(weights: DataFrame, ids: DataFrame, n: int, include_self: bool = False, digits: int = 6) -> DataFrame:
+    """dup_id, main_id, score, rk: the n documents of the highest BM25 scores for each of the ids, among all documents."""
+    every = weights.select("id").distinct()
+    best = Window.partitionBy("dup_id").orderBy(F.desc("score"), "main_id")
+    scored = bm25_scores(weights, ids, every, include_self).withColumn("score", F.round("score", digits))
+    return scored.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= n)
+
+
+def positive_scores(scores: DataFrame) -> DataFrame:
+    """Only what scores above 0, as a bag of scored documents."""
+    return scores.where("score > 0")
 
 
 def jaccard_scores(tf: DataFrame, dups: DataFrame, comp: DataFrame) -> DataFrame:

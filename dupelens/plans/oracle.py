@@ -161,6 +161,8 @@ _FEATURES = ", ".join(f"round(coalesce(f_{m}.score, 0.0), 5) AS {PART}_{m}_sim"
 ORACLE_SQL = {
     "tag_filter": sql("SELECT id, tags FROM questions WHERE list_has_any(string_split(lower(tags), ','), ['fr', 'de', 'src3', 'src7'])"),
     "best_answer": sql("SELECT id, question_id FROM best"),
+    "answered_without_best": sql("SELECT DISTINCT question_id FROM answers WHERE question_id NOT IN (SELECT question_id FROM best)"),
+    "bm25_neighbours": sql("SELECT dup_id, main_id, score, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY dup_id ORDER BY score DESC, main_id) AS rk FROM (SELECT a.id AS dup_id, b.id AS main_id, round(sum(a.tf * b.w), 6) AS score FROM (SELECT * FROM bm25 WHERE id IN (SELECT id FROM mains)) a JOIN bm25 b ON a.term = b.term GROUP BY 1, 2)) WHERE rk <= 3"),
     "question_with_answer": sql("SELECT id, n_answers, CAST(length(title) AS INTEGER) AS title_length, md5(answer) AS answer_md5 FROM corpus"),
     "corpus_index": sql("SELECT id, row_number() OVER (ORDER BY id) - 1 AS corpus_index, CAST(length(title || ' ' || body || ' ' || tags || ' ' || answer) AS INTEGER) AS length FROM corpus"),
     "corpus_faults": sql("SELECT CAST(0 AS BIGINT) AS nulls, count(*) - count(DISTINCT id) AS repeated_ids, CAST(0 AS BIGINT) AS repeated_indexes, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS missing FROM corpus"),

@@ -51,6 +51,16 @@ def question_with_answer(spark, d):
     return q.select("id", "n_answers", F.length("title").alias("title_length"), F.md5("answer").alias("answer_md5"))
 
 
+def answered_without_best(spark, d):
+    return corpus.answered_without_best(tables.answers(spark, d))
+
+
+def bm25_neighbours(spark, d):
+    """The documents most alike the mains, themselves included."""
+    q, p, *_ = _world(spark, d)
+    return similarity.most_similar(_weights(spark, d, "bm25"), ids.mains(q, p), 3, include_self=True)
+
+
 def corpus_index(spark, d):
     c = corpus.build_corpus(tables.questions(spark, d), tables.answers(spark, d), html=False)
     return c.select("id", "corpus_index", F.length(PART).alias("length"))
@@ -130,7 +140,7 @@ def term_freq(spark, d):
 
 
 def doc_freq(spark, d):
-    return index.doc_freq(index.term_freq(_tokenized(spark, d), PART))
+    return index.doc_freq_of(_tokenized(spark, d), PART)
 
 
 def tfidf_weights(spark, d):
@@ -249,7 +259,7 @@ def merged_candidates(spark, d):
 
 
 def cv_folds(spark, d):
-    return ids.folds(_labelled(spark, d, True), 5)
+    return ids.folds(index.materialise(_labelled(spark, d, True)), 5)
 
 
 def _features(spark, d, train: bool):
@@ -357,7 +367,7 @@ def xml_questions(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tag_filter, best_answer, question_with_answer, corpus_index, corpus_faults, dup_pairs, duplicate_ids, main_ids, answered_ids, comparison_ids, pairs_both_in_set, questions_in_pairs, noise_sample, train_test_split, stratified_sample,
+        tag_filter, best_answer, answered_without_best, bm25_neighbours, question_with_answer, corpus_index, corpus_faults, dup_pairs, duplicate_ids, main_ids, answered_ids, comparison_ids, pairs_both_in_set, questions_in_pairs, noise_sample, train_test_split, stratified_sample,
         html_to_text, html_to_text_parsed, tokenize_counts, stemmed_terms, term_freq, doc_freq, tfidf_weights, bm25_idf, bm25_weights, bm25_query, dense_cosine_pairs, jsd_pairs, pair_ranks, recall_rates, recall_by_feature,
         train_candidates, test_candidates, limited_candidates, undersampled, merged_candidates, cv_folds, feature_matrix, feature_faults, ranked_recall_by_score, misclassified, misclassified_counts, similarity_summary, dataset_sizes, cross_dataset_summary, candidate_summary, rank_outliers,
         lda_topics, doc2vec_approx, rf_predict, rf_tuning, xml_questions,
