@@ -57,7 +57,7 @@ def _grams(texts: list[str], letters: _Letters, buckets: int) -> tuple[np.ndarra
     sizes = np.array([len(t) for t in lowered])
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = letters(points)
-    owner = np.repeat(np.arange(len(texts)), sizes)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     points = np.where(letter, points, 32).astype(np.uint64)
     found, of = [], []
     for n in ORDERS:
@@ -101,7 +101,7 @@ def train_language_model(documents: DataFrame, use: Column, key: str = "doc_id",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _Letters()
         sums = np.zeros(len(row_of) * buckets, np.int64)
-        for block in blocks(batches, "text", 4 << 20):
+        for block in blocks(batches, "text", 1 << 20):
             rows = np.array([row_of[x] for x in block.column("lang").to_pylist()])
             grams, of, _ = _grams(texts_of(block, "text"), letters, buckets)
             sums += np.bincount(rows[of] * buckets + grams, minlength=len(sums))
@@ -132,7 +132,7 @@ def predict_language(documents: DataFrame, model: LanguageModel, key: str = "doc
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, letters = shared.value, _Letters()
-        for block in blocks(batches, "text", 2 << 20):
+        for block in blocks(batches, "text", 1 << 20):
             grams, of, n_letters = _grams(texts_of(block, "text"), letters, len(m.weights))
             size = block.num_rows
             n = np.bincount(of, minlength=size)
