@@ -56,9 +56,14 @@ def bm25_idf(tf: DataFrame, n_docs: int, epsilon: float = BM25_EPSILON) -> DataF
     return raw.withColumn("idf", F.when(F.col("idf") < 0, mean * epsilon).otherwise(F.col("idf")))
 
 
+def lengths_of(tf: DataFrame) -> DataFrame:
+    """id, dl of the documents that have a token."""
+    return tf.groupBy("id").agg(F.sum("tf").alias("dl"))
+
+
 def bm25(tf: DataFrame, dl: DataFrame, n_docs: int, k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON) -> DataFrame:
     """id, term, tf, w: the score that the term gives the document."""
     idf = bm25_idf(tf, n_docs, epsilon).select(F.col("term").alias("t"), "idf")
-    mean = dl.agg(F.avg("dl")).scalar()
+    mean = dl.agg(F.sum("dl") / n_docs).scalar()  # documents without a token may be left out of dl
     rows = tf.join(idf, F.col("term") == F.col("t")).join(dl.select(F.col("id").alias("i"), "dl"), F.col("id") == F.col("i"))
     return rows.select("id", "term", "tf", (F.col("tf") * F.col("idf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / mean))).alias("w"))

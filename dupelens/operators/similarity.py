@@ -93,26 +93,19 @@ def vector_pairs(pairs: DataFrame, vectors: DataFrame, measure: Callable[[Column
     return pairs.join(one, F.col("dup_id") == F.col("i1")).join(two, F.col("main_id") == F.col("i2")).withColumn("score", measure(F.col("v1"), F.col("v2"))).drop("i1", "i2", "v1", "v2")
 
 
-#: Sparse measures by name: from (tokenized, part) to a table of weights, and from it to scores.
-def _tf(tokenized: DataFrame, part: str) -> DataFrame:
-    return index.term_freq(tokenized, part)
-
-
-def _tfidf(tokenized: DataFrame, part: str) -> DataFrame:
-    return index.tfidf(index.materialise(index.term_freq(tokenized, part)), tokenized.count())
-
-
-def _bm25(tokenized: DataFrame, part: str) -> DataFrame:
-    return index.bm25(index.materialise(index.term_freq(tokenized, part)), index.lengths(tokenized, part), tokenized.count())
-
-
-SPARSE: dict[str, tuple[Callable, Callable]] = {"jaccard": (_tf, jaccard_scores), "tfidf": (_tfidf, tfidf_scores), "bm25": (_bm25, bm25_scores)}
+#: Sparse measures by name: from term frequencies and the number of documents to a table of weights, and from it to scores.
+SPARSE: dict[str, tuple[Callable, Callable]] = {
+    "jaccard": (lambda tf, n: tf, jaccard_scores),
+    "tfidf": (index.tfidf, tfidf_scores),
+    "bm25": (lambda tf, n: index.bm25(tf, index.lengths_of(tf), n), bm25_scores),
+}
 DENSE: dict[str, Callable[[Column, Column], Column]] = {"topic": cosine, "topic_jsd": jensen_shannon, "doc2vec": cosine, "dense": cosine}
 
 
-def represent(tokenized: DataFrame, measure: str, part: str) -> DataFrame:
-    """The table that a sparse measure compares, computed once."""
-    return index.materialise(SPARSE[measure][0](tokenized, part))
+def represent(tokenized: DataFrame, part: str, *measures: str) -> list[DataFrame]:
+    """The tables that sparse measures compare, each computed once, from term frequencies that they share."""
+    tf, n = index.materialise(index.term_freq(tokenized, part)), tokenized.count()
+    return [tf if m == "jaccard" else index.materialise(SPARSE[m][0](tf, n)) for m in measures]
 
 
 def score_all(weights: DataFrame, measure: str, dups: DataFrame, comp: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates, corpus, features, ids, ml, ranking, reports, similarity
+from ..operators import candidates, corpus, features, ids, index, ml, ranking, reports, similarity
 from ..sources.catalog import Catalog
 
 
@@ -90,8 +90,9 @@ class Study:
         tokenized = self.read("corpus_tokenized", dataset=ds)
         makers = {"topic": ml.topics, "doc2vec": ml.document_vectors}
         for part in self.settings.parts:
+            tf, n = index.materialise(index.term_freq(tokenized, part)), tokenized.count()
             for m in self.settings.measures:
-                self.write(similarity.SPARSE[m][0](tokenized, part), "embedding", dataset=ds, model=m, col=part)
+                self.write(similarity.SPARSE[m][0](tf, n), "embedding", dataset=ds, model=m, col=part)
             for m in self.settings.dense:
                 self.write(makers[m](tokenized, part), "embedding", dataset=ds, model=m, col=part)
 

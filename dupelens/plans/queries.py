@@ -30,7 +30,7 @@ def _world(spark: SparkSession, d: str):
 
 
 def _weights(spark: SparkSession, d: str, measure: str) -> DataFrame:
-    return similarity.represent(_tokenized(spark, d), measure, PART)
+    return similarity.represent(_tokenized(spark, d), PART, measure)[0]
 
 
 def _scores(spark: SparkSession, d: str, measure: str) -> DataFrame:
@@ -211,9 +211,10 @@ def recall_rates(spark, d):
 
 
 def _all_ranks(spark, d, measures=("jaccard", "tfidf", "bm25")):
+    _, p, dups, comp = _world(spark, d)
     out = None
-    for m in measures:
-        r = _ranks(spark, d, m).withColumn("feature", F.lit(m))
+    for m, w in zip(measures, similarity.represent(_tokenized(spark, d), PART, *measures), strict=True):
+        r = ranking.pair_ranks(similarity.score_all(w, m, dups, comp), p, comp).withColumn("feature", F.lit(m))
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -264,8 +265,7 @@ def cv_folds(spark, d):
 
 def _features(spark, d, train: bool):
     cands = index.materialise(_labelled(spark, d, train))
-    t = index.materialise(_tokenized(spark, d))
-    return cands, features.merge_features(cands, *[features.feature_table(t, cands, m, (PART,)) for m in ("jaccard", "tfidf", "bm25")])
+    return cands, features.merge_features(cands, *features.feature_tables(_tokenized(spark, d), cands, ("jaccard", "tfidf", "bm25"), (PART,)))
 
 
 def feature_matrix(spark, d):
