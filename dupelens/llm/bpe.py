@@ -197,10 +197,9 @@ def bpe_encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, key:
 def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
     """The columns of `encoded` and `decoded`, the bytes that its ids stand for; null ids give null.
 
-    An id that the vocabulary lacks is an error.
+    A column named decoded is replaced. An id that the vocabulary lacks is an error.
     """
-    if any(c.lower() == "decoded" for c in encoded.columns):
-        raise ValueError("the input has a column named decoded")
+    encoded = encoded.drop(*[c for c in encoded.columns if c.lower() == "decoded"])
     bounded_batches(encoded.sparkSession)
     table = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
 
