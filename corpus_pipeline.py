@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dupelens.llm import bpe, decontam, langid, pii, simhash
-from dupelens.llm.common import shared_folder, table
+from dupelens.llm.common import drop, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -51,10 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; what each keeps is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages applied to documents; what each keeps is written to the shared folder and read again. Only the last stays there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            drop(spark, before)
+        before = path
     return docs
