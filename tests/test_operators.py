@@ -135,3 +135,13 @@ def test_classifier_and_search(spark):
     found = ml.search(pairs, 2, 3, grid={"numTrees": (2, 3), "maxDepth": (2,)})
     assert found.count() == 2 and "numTrees" in ml.best_params(found)
     assert features.feature_faults(pairs, pairs).first().asDict() == {"self_pairs": 0, "repeated": 0, "nulls": 0, "missing": 0}
+
+
+def test_topics_take_every_term_and_every_document(spark):
+    n = 270_000  # more than the library's own bound of 1 << 18
+    tokenized = spark.range(270).select("id", F.transform(F.sequence(F.col("id") * 1000, F.col("id") * 1000 + 999), lambda x: F.concat(F.lit("t"), x.cast("string"))).alias("toks"))
+    model, counts = ml.topic_model(tokenized, "toks", k=2, iterations=1)
+    assert model.vocabSize() == n and all(r["counts"].numNonzeros() == 1000 for r in counts.limit(3).collect())
+    assert model.getSubsamplingRate() == 1.0
+    found = ml.topics(tokenized.limit(5), "toks", k=2, iterations=1).collect()
+    assert len(found) == 5 and all(sum(r["v"]) == pytest.approx(1) for r in found)
