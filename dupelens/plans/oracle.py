@@ -154,6 +154,7 @@ _MISSED = """SELECT dup_id, coalesce(true_main, first_main) AS main_id, top_rank
 _URL = "'https://stackoverflow.com/questions/' || {0} || '/' AS {0}_url"
 _VECTORS = "FROM (SELECT e.vec_id AS dup_id, f.main_id, e.embedding AS v1, g.embedding AS v2 FROM embeddings e JOIN (SELECT label, min(vec_id) AS main_id FROM embeddings GROUP BY 1) f ON e.label = f.label JOIN embeddings g ON g.vec_id = f.main_id WHERE e.vec_id <> f.main_id)"
 _D = "list_transform({0}, lambda x: CAST(x AS DOUBLE))"
+_EVERY_VECTOR = f"SELECT dup_id, main_id, h.vec_id AS candidate_id, round(list_cosine_similarity({_D.format('v1')}, {_D.format('h.embedding')}), 6) AS score {_VECTORS} p JOIN embeddings h ON h.vec_id <> dup_id"
 _NORMED = "list_transform({0}, lambda x: abs(CAST(x AS DOUBLE)) / list_sum(list_transform({0}, lambda y: abs(CAST(y AS DOUBLE)))))"
 _HALF = "CASE WHEN z[{0}] > 0 THEN z[{0}] * ln(z[{0}] / ((z[1] + z[2]) / 2)) ELSE 0.0 END"
 _FEATURES = ", ".join(f"round(coalesce(f_{m}.score, 0.0), 5) AS {PART}_{m}_sim" for m in ("bm25", "jaccard", "tfidf"))
@@ -190,6 +191,8 @@ ORACLE_SQL = {
     "tfidf_topk": sql(_top("tfidf")),
     "bm25_most_similar": sql(_top("bm25")),
     "dense_cosine_pairs": f"SELECT dup_id, main_id, round(list_cosine_similarity({_D.format('v1')}, {_D.format('v2')}), 5) AS score {_VECTORS}",
+    "dense_cosine_topk": f"SELECT dup_id, candidate_id, score, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY dup_id ORDER BY score DESC, candidate_id) AS INTEGER) AS rk FROM ({_EVERY_VECTOR})) WHERE rk <= 20",
+    "dense_pair_ranks": f"SELECT dup_id, main_id, score, rank FROM (SELECT *, rank() OVER (PARTITION BY dup_id ORDER BY score DESC) + (count(*) OVER (PARTITION BY dup_id, score) - 1) / 2.0 AS rank FROM ({_EVERY_VECTOR})) WHERE candidate_id = main_id",
     "jsd_pairs": f"SELECT dup_id, main_id, round(1 - sqrt(greatest(list_sum(list_transform(list_zip({_NORMED.format('v1')}, {_NORMED.format('v2')}), lambda z: ({_HALF.format(1)} + {_HALF.format(2)}) / 2)), 0.0)), 5) AS score {_VECTORS}",
     "pair_ranks": sql(_ranks("tfidf")),
     "recall_rates": sql(_RATES.format("", "ranks_t"), ranks_t=_ranks("tfidf")),

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates, corpus, features, ids, index, ml, ranking, reports, similarity
+from ..operators import candidates, corpus, dense, features, ids, index, ml, ranking, reports, similarity
 from ..sources.catalog import Catalog
 
 
@@ -102,10 +102,11 @@ class Study:
     def ranks(self, ds: str) -> DataFrame:
         p, comp, dups = (self.read(x, dataset=ds) for x in ("dup_pairs", "comparison_question_ids", "duplicate_question_ids"))
         rates = None
-        for m in self.settings.measures:
+        for m in (*self.settings.measures, *self.settings.dense):
             for part in self.settings.parts:
-                scores = similarity.score_all(self._weights(ds, m, part), m, dups, comp)
-                ranked = self.write(ranking.pair_ranks(scores, p, comp), "pair_ranks", dataset=ds, feature=m, col=part)
+                w = self._weights(ds, m, part)
+                ranked = ranking.pair_ranks(similarity.score_all(w, m, dups, comp), p, comp) if m in similarity.SPARSE else dense.pair_ranks(w, m, p, comp)
+                ranked = self.write(ranked, "pair_ranks", dataset=ds, feature=m, col=part)
                 row = ranking.recall_rates(ranked).select(F.lit(m).alias("feature"), F.lit(part).alias("col"), "*")
                 rates = row if rates is None else rates.unionByName(row)
         return self.write(rates, "all_pair_ranks", dataset=ds)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, porter, text
-from ..operators import candidates, corpus, features, ids, index, ml, ranking, reports, similarity
+from ..operators import candidates, corpus, dense, features, ids, index, ml, ranking, reports, similarity
 from ..sources import tables, xml
 
 PART = "title_body_tags_answer"
@@ -191,6 +191,18 @@ def dense_cosine_pairs(spark, d):
     return similarity.vector_pairs(pairs, v, similarity.cosine).withColumn("score", F.round("score", 5))
 
 
+def dense_cosine_topk(spark, d):
+    """The vectors most alike those that are not the first of their label, among all."""
+    pairs, v = _vector_pairs(spark, d)
+    return dense.top_candidates(v, "dense", pairs.select(F.col("dup_id").alias("id")), v, TOP)
+
+
+def dense_pair_ranks(spark, d):
+    """Ranks of the first vector of a label among all."""
+    pairs, v = _vector_pairs(spark, d)
+    return dense.pair_ranks(v, "dense", pairs, v)
+
+
 def jsd_pairs(spark, d):
     pairs, v = _vector_pairs(spark, d)
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x.cast("double")))
@@ -368,7 +380,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tag_filter, best_answer, answered_without_best, bm25_neighbours, question_with_answer, corpus_index, corpus_faults, dup_pairs, duplicate_ids, main_ids, answered_ids, comparison_ids, pairs_both_in_set, questions_in_pairs, noise_sample, train_test_split, stratified_sample,
-        html_to_text, html_to_text_parsed, tokenize_counts, stemmed_terms, term_freq, doc_freq, tfidf_weights, bm25_idf, bm25_weights, bm25_query, dense_cosine_pairs, jsd_pairs, pair_ranks, recall_rates, recall_by_feature,
+        html_to_text, html_to_text_parsed, tokenize_counts, stemmed_terms, term_freq, doc_freq, tfidf_weights, bm25_idf, bm25_weights, bm25_query, dense_cosine_pairs, dense_cosine_topk, dense_pair_ranks, jsd_pairs, pair_ranks, recall_rates, recall_by_feature,
         train_candidates, test_candidates, limited_candidates, undersampled, merged_candidates, cv_folds, feature_matrix, feature_faults, ranked_recall_by_score, misclassified, misclassified_counts, similarity_summary, dataset_sizes, cross_dataset_summary, candidate_summary, rank_outliers,
         lda_topics, doc2vec_approx, rf_predict, rf_tuning, xml_questions,
     )

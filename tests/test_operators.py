@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from dupelens.operators import candidates, corpus, features, ids, index, ml, ranking, reports, similarity
+from dupelens.operators import candidates, corpus, dense, features, ids, index, ml, ranking, reports, similarity
 
 
 def rows(df):
@@ -145,3 +145,24 @@ def test_topics_take_every_term_and_every_document(spark):
     assert model.getSubsamplingRate() == 1.0
     found = ml.topics(tokenized.limit(5), "toks", k=2, iterations=1).collect()
     assert len(found) == 5 and all(sum(r["v"]) == pytest.approx(1) for r in found)
+
+
+@pytest.mark.parametrize("measure", ["dense", "topic_jsd"])
+def test_dense_ranks_and_best_are_those_of_a_complete_table(spark, measure, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK", 7)
+    # 40 vectors, with equal ones and one of zeros
+    v = spark.createDataFrame([(k, [float(k % 5), float(k % 3 + 1), float(k % 4)]) for k in range(40)] + [(40, [0.0, 0.0, 0.0])], "id long, v array<double>")
+    if measure == "topic_jsd":
+        v = v.where("id < 40").select("id", F.transform("v", lambda x: x / F.aggregate("v", F.lit(0.0), lambda s, y: s + y)).alias("v"))
+    pairs = spark.createDataFrame([(1, 0), (2, 0), (2, 9), (5, 33), (6, 6), (7, 99)], "dup_id long, main_id long")
+    dups, comp = pairs.selectExpr("dup_id id").distinct(), v.select("id")
+    every = dups.selectExpr("id dup_id").crossJoin(comp.selectExpr("id main_id")).where("dup_id != main_id")
+    scores = similarity.vector_pairs(every, v, similarity.DENSE[measure])
+    mine = rows(dense.pair_ranks(v, measure, pairs, comp))
+    assert len(mine) == 4
+    for a, b in zip(mine, rows(ranking.pair_ranks(scores, pairs, comp)), strict=True):
+        assert a == pytest.approx(b)
+    best = sorted(((r["dup_id"], -round(r["score"], 6), r["main_id"]) for r in scores.collect()))
+    want = [(d, m) for d in sorted({x[0] for x in best}) for m in [x[2] for x in best if x[0] == d][:10]]
+    got = dense.top_candidates(v, measure, dups, comp, 10).orderBy("dup_id", "rk").collect()
+    assert [(r["dup_id"], r["candidate_id"]) for r in got] == want

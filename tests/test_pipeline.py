@@ -15,3 +15,17 @@ def test_study_from_texts_to_evaluation(spark, small, tmp_path):
     assert sorted(r["candidates"] for r in evaluated) == [5, 20] and all(0 <= r["rr_20"] <= 1 for r in evaluated)
     assert study.read("cross_dataset_performance").count() == 1
     assert "top_ranked_url" in study.read("misclassified_duplicates", dataset="all").columns
+
+
+def test_dense_measures_are_ranked(spark, tmp_path):
+    study = Study(spark, str(tmp_path), Settings(measures=(), dense=("doc2vec",), parts=("title",)))
+    for name, rows, schema in (
+        ("dup_pairs", [(2, 1)], "dup_id long, main_id long"),
+        ("comparison_question_ids", [(1,), (2,), (3,)], "id long"),
+        ("duplicate_question_ids", [(2,)], "id long"),
+    ):
+        study.write(spark.createDataFrame(rows, schema), name, dataset="x")
+    vectors = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "id long, v array<double>")
+    study.write(vectors, "embedding", dataset="x", model="doc2vec", col="title")
+    assert [(r["feature"], r["col"], r["recall_5"]) for r in study.ranks("x").collect()] == [("doc2vec", "title", 1.0)]
+    assert study.read("pair_ranks", dataset="x", feature="doc2vec", col="title").first()["rank"] == 1.0
