@@ -166,3 +166,9 @@ def test_dense_ranks_and_best_are_those_of_a_complete_table(spark, measure, monk
     want = [(d, m) for d in sorted({x[0] for x in best}) for m in [x[2] for x in best if x[0] == d][:10]]
     got = dense.top_candidates(v, measure, dups, comp, 10).orderBy("dup_id", "rk").collect()
     assert [(r["dup_id"], r["candidate_id"]) for r in got] == want
+
+
+def test_document_vectors_take_25_passes(spark):
+    tokenized = spark.createDataFrame([(k, [f"w{(k + j) % 7}" for j in range(12)]) for k in range(20)], "id long, toks array<string>")
+    found, named, one = (dict(rows(ml.document_vectors(tokenized, "toks", size=4, **more))) for more in ({}, {"iterations": 25}, {"iterations": 1}))
+    assert found == named != one
