@@ -6,8 +6,8 @@ of segments; of two vectors within the radius, one group is within distance 1. E
 bit-count vectors: a fingerprint lives in its own cell and reaches the cells one count up, so every link meets in some
 cell. Pairs that meet are held against the Manhattan bound over coarser segments and then verified exactly.
 
-Only distinct fingerprints take part, and a worker puts out the links that join two sets it had not joined yet, so
-thousands of copies do not become all their pairs.
+Only distinct fingerprints take part, as the nodes of the graph of links, and a worker puts out the links that join two
+sets it had not joined yet, so thousands of copies do not become all their pairs.
 """
 
 from __future__ import annotations
@@ -18,9 +18,8 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import blocks, bounded_batches, lean, use_shared_folder
 from .components import connected_components
@@ -57,16 +56,21 @@ def shingle_hashes(text: str, words: int) -> np.ndarray:
 
 
 def fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """doc_id and fp, the 64 bits as a signed long. A null, empty or blank text has fingerprint 0."""
+    """doc_id, digest of the text, and fp, the 64 bits as a signed long. A null, empty or blank text has fingerprint 0."""
     bounded_batches(documents.sparkSession)
-    source = documents.select(documents[key].cast("long").alias("doc_id"), documents[text].alias("text"))
+    source = documents.select(documents[key].cast("long").alias("doc_id"), digest_of(documents[text]).alias("digest"), documents[text].alias("text"))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             found = np.array([fingerprint(shingle_hashes(t.as_py() or "", words)) for t in block.column("text")], np.uint64)
-            yield pa.record_batch({"doc_id": block.column("doc_id"), "fp": pa.array(found.view(np.int64), pa.int64())})
+            yield pa.record_batch({"doc_id": block.column("doc_id"), "digest": block.column("digest"), "fp": pa.array(found.view(np.int64), pa.int64())})
 
-    return source.mapInArrow(lean(prints), "doc_id long, fp long")
+    return source.mapInArrow(lean(prints), "doc_id long, digest string, fp long")
+
+
+def digest_of(text: Column) -> Column:
+    """Tells texts apart; a null text is none of them."""
+    return F.coalesce(F.md5(text.cast("binary")), F.lit(""))
 
 
 def _counts(prints: np.ndarray) -> np.ndarray:
@@ -104,7 +108,6 @@ def _place(radius: int):
                             "cell": pa.array((np.concatenate(cells) | tag).view(np.int64), pa.int64()),
                             "reached": pa.array(np.arange(len(at)) >= len(home), pa.bool_()),
                             "fp": part.column("fp").take(pa.array(at)),
-                            "node": part.column("node").take(pa.array(at)),
                         }
                     )
 
@@ -133,7 +136,7 @@ class _Forest:
         return a != b
 
 
-def _verify(fp: np.ndarray, node: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, forest: _Forest) -> list[tuple[int, int]]:
+def _verify(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, forest: _Forest) -> list[tuple[int, int]]:
     x, y = fp[left], fp[right]
     bound = np.zeros(len(x), np.int16)
     for k in range(4):
@@ -141,7 +144,8 @@ def _verify(fp: np.ndarray, node: np.ndarray, left: np.ndarray, right: np.ndarra
         bound += np.abs(np.bitwise_count(x & mask).astype(np.int16) - np.bitwise_count(y & mask).astype(np.int16))
     near = np.flatnonzero(bound <= radius)
     near = near[np.bitwise_count(x[near] ^ y[near]) <= radius]
-    return [(a, b) for a, b in zip(node[left[near]].tolist(), node[right[near]].tolist(), strict=True) if a != b and forest.join(a, b)]
+    x, y = x[near].view(np.int64), y[near].view(np.int64)
+    return [(a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True) if a != b and forest.join(a, b)]
 
 
 def _meet(radius: int):
@@ -150,7 +154,7 @@ def _meet(radius: int):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
 
-        def links(cell, reached, fp, node) -> Iterator[pa.RecordBatch]:
+        def links(cell, reached, fp) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
             sizes = np.diff(np.r_[starts, len(cell)])
             homes = np.add.reduceat((~reached).astype(np.int64), starts)
@@ -169,7 +173,7 @@ def _meet(radius: int):
                     if len(left):
                         ends = np.cumsum(n)
                         right = np.repeat(begin[row:stop] + part - (ends - n), n) + np.arange(len(left))
-                        edges += _verify(fp, node, left, right, radius, forest)
+                        edges += _verify(fp, left, right, radius, forest)
                 row = stop
             if edges:
                 a, b = zip(*edges, strict=True)
@@ -177,7 +181,7 @@ def _meet(radius: int):
 
         held = None
         for batch in batches:
-            new = [batch.column("cell").to_numpy(), batch.column("reached").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy().view(np.uint64), batch.column("node").to_numpy()]
+            new = [batch.column("cell").to_numpy(), batch.column("reached").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy().view(np.uint64)]
             rows = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(rows[0]):
                 continue
@@ -192,40 +196,60 @@ def _meet(radius: int):
 
 
 def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """a, b: links between the nodes of distinct fingerprints (columns fp, node) that connect all within the radius."""
+    """a, b: links between the distinct fingerprints (column fp) that connect all within the radius."""
     bounded_batches(prints.sparkSession, 50_000)
-    placed = prints.select("fp", "node").mapInArrow(lean(_place(radius)), "cell long, reached boolean, fp long, node long")
+    placed = prints.select("fp").mapInArrow(lean(_place(radius)), "cell long, reached boolean, fp long")
     return placed.repartition("cell").sortWithinPartitions("cell", "reached").mapInArrow(lean(_meet(radius)), "a long, b long")
 
 
+def _components(prints: DataFrame, radius: int) -> DataFrame:
+    """f, root, least of each fingerprint: its component, named by a fingerprint, and the component's least document.
+
+    Fingerprints are the nodes, so documents that share an id are neither linked nor parted by that. `least` is
+    (no_id, doc_id, digest) of the document of the least id, ids before nulls, and of the least digest among equal ids.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("least")
+    classes = prints.groupBy("fp").agg(first).checkpoint()
+    roots = connected_components(near_links(classes, radius))
+    return classes.join(roots, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "fp").alias("root"), "least")
+
+
 def simhash_components(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp, component_id (the least doc_id reachable by links) of each document.
 
     Null, empty and blank texts share fingerprint 0 and link like any other. Documents of equal text are one class;
-    repeated rows give a row each. A null doc_id is kept; it is never a component_id unless its class has no other id,
-    and then the class links to none. Documents that share a doc_id are one node. An empty table gives no rows. Other
-    columns are ignored.
+    repeated rows give a row each. A document without a doc_id links like any other; it names its component only if
+    that has no id at all, and then component_id is null. Documents that share a doc_id are linked by their fingerprints
+    only, so their components may have that id in common. An empty table gives no rows. Other columns are ignored.
     """
     use_shared_folder(documents.sparkSession)
     prints = fingerprints(documents, key, text, words).checkpoint()
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    roots = connected_components(near_links(classes.where("node is not null"), radius))
-    placed = classes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(F.col("fp").alias("f"), F.coalesce("root", "node").alias("component_id"))
-    return prints.join(placed, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    placed = _components(prints, radius)
+    names = placed.groupBy(F.col("root").alias("r")).agg(F.min("least.doc_id").alias("component_id"))
+    named = placed.join(names, F.col("root") == F.col("r")).select("f", "component_id")
+    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+
+
+def _row_name(key: Column, digest: Column, *names: str) -> tuple[Column, Column]:
+    """Key and digest as two columns without nulls, which joins and aggregates can share an exchange on."""
+    return F.coalesce(key, F.lit(0)).alias(names[0]), F.concat(F.when(key.isNull(), "-").otherwise("+"), digest).alias(names[1])
 
 
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of `documents` less near-duplicates: of each component the row of its least key stays.
+    """The rows of `documents` less near-duplicates: of each component, one row stays.
+
+    It is the row of the least key; rows with a key are preferred, and of rows that share the key the text of the least
+    digest. Of rows equal in key and text one stays, that of the least hash of the row. A row goes only if a row of its
+    own component stays, whatever keys they have. Null, empty and blank texts are one component. An empty table gives no
+    rows.
 
-    A row without a key stands under a number made of its text, beyond all others, so that rows with keys are preferred.
-    Rows that repeat a key leave one row, that of the lowest hash of the text.
+    Components and their winners are found on keys and digests. Texts are moved once, to the winners; rows that are equal
+    in key and text are merged before they are moved.
     """
-    name = "_simhash_key"
-    while any(c.lower() == name for c in documents.columns):
-        name += "_"
-    stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61))
-    rows = documents.withColumn(name, F.coalesce(F.col(key).cast("long"), stand_in))
-    kept = simhash_components(rows, name, text, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias(f"{name}kept")).distinct()
-    rows = rows.join(kept, F.col(name) == F.col(f"{name}kept"))
-    first = Window.partitionBy(name).orderBy(F.xxhash64(text), text)
-    return rows.withColumn(f"{name}rank", F.row_number().over(first)).where(F.col(f"{name}rank") == 1).select(*[F.col(f"`{c}`") for c in documents.columns])
+    use_shared_folder(documents.sparkSession)
+    prints = fingerprints(documents, key, text, words).checkpoint()
+    winners = _components(prints, radius).groupBy("root").agg(F.min("least").alias("w")).select(*_row_name(F.col("w.doc_id"), F.col("w.digest"), "k", "d"))
+    hashable = [F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = documents.select(*_row_name(F.col(f"`{key}`").cast("long"), digest_of(F.col(f"`{text}`")), "k0", "d0"), F.xxhash64(*hashable).alias("h0"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    rows = rows.groupBy("k0", "d0").agg(F.min_by("row", "h0").alias("row"))
+    return rows.join(winners, (F.col("k0") == F.col("k")) & (F.col("d0") == F.col("d")), "left_semi").select("row.*")

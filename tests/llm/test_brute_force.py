@@ -167,12 +167,43 @@ def test_near_links_lose_none(spark):
             for _ in range(rng.randint(1, 5)):
                 base ^= 1 << rng.randrange(64)
     prints = sorted(prints | {0, 2**64 - 1, 1, 15, 31})
-    want = components_of(range(len(prints)), [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
-    df = spark.createDataFrame([(p - 2**64 if p >> 63 else p, k) for k, p in enumerate(prints)], "fp long, node long")
+    signed = [p - 2**64 if p >> 63 else p for p in prints]
+    want = components_of(signed, [(signed[i], signed[j]) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
     got = {r["node"]: r["root"] for r in components.connected_components(simhash.near_links(df)).collect()}
     assert all(got.get(k, k) == v for k, v in want.items())
 
 
+def test_one_of_each_keeps_a_row_of_every_component(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(12)] + [None, "", " "]
+    near = [t.replace(t.split()[-1], word()) if t and t.strip() else t for t in texts]
+    keys = [None, 1, 2, 3, 5, 7]
+    rows = [(5, texts[0], 0), (5, texts[1], 0), (7, texts[1], 0), (5, texts[0], 1)] + [(rng.choice(keys), rng.choice(texts + near), rng.randrange(2)) for _ in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k0 int").repartition(5)
+    fps = [simhash.fingerprint(simhash.shingle_hashes(t or "", 4)) for _, t, _ in rows]
+    roots = components_of(sorted(set(fps)), [(a, b) for a in set(fps) for b in set(fps) if a < b and (a ^ b).bit_count() <= 4])
+    groups = defaultdict(list)
+    for (k, t, n), f in zip(rows, fps, strict=True):
+        groups[roots[f]].append((k is None, k or 0, hashlib.md5(t.encode()).hexdigest() if t is not None else "", t, n))
+    kept = [(r["doc_id"], r["text"], r["k0"]) for r in simhash.one_of_each(df).collect()]
+    assert len(kept) == len(groups)
+    for k, t, n in kept:
+        mine = groups[roots[simhash.fingerprint(simhash.shingle_hashes(t or "", 4))]]
+        assert (k is None, k or 0, t) == min(mine, key=lambda x: x[:3])[:2] + (min(mine, key=lambda x: x[:3])[3],) and any(x[3:] == (t, n) for x in mine)
+    names = {r["fp"] & (2**64 - 1): r["component_id"] for r in simhash.simhash_components(df).collect()}
+    assert names == {f: min((k for no, k, *_ in groups[roots[f]] if not no), default=None) for f in set(fps)}
+
+
+def test_unrelated_texts_of_one_id_both_stay(spark):
+    a, b = ("one two three four five six seven eight", "completely other words stand here in this line of text")
+    for rows in ([(1, a), (5, a), (5, b), (7, b)], [(5, a), (5, b), (7, b)]):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(r["text"] for r in simhash.one_of_each(df).collect()) == sorted([a, b])
+        assert {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(df).collect()} == {(k, min(i for i, u in rows if u == t)) for k, t in rows}
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 500), (None, 3), (900, 901)], "a long, b long")
     got = {r["node"]: r["root"] for r in components.connected_components(links).collect()}
