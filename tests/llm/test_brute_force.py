@@ -79,6 +79,107 @@ def test_pii_query(spark, small, documents):
         assert set(shown) <= set(r["spans"].split(",")) if shown else True
 
 
+def tree_value(lines, x):
+    line = lines.pop(0).strip()
+    if line.startswith("Predict"):
+        return float(line.split(":")[1])
+    feature, bound = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
+    low = tree_value(lines, x)
+    lines.pop(0)
+    high = tree_value(lines, x)
+    return low if x[int(feature)] <= float(bound) else high
+
+
+def plain_features(kind, m, before, after):
+    import regex
+
+    d = re.sub("[^0-9]", "", m)
+    parts = [p.lstrip("0") for p in re.sub("[^0-9.]", "", m).split(".")]
+    touches = bool(regex.search(r"[\p{L}\p{N}=/_.+-]$", before)) + bool(regex.search(r"^[\p{L}\p{N}=/_@-]", after))
+    counts = [sum(c in set_ for c in m) for set_ in ("0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", " ", ".", "-", "()[]")]
+    octets = all(len(p) <= 3 and int(p or 0) <= 255 for p in parts)
+    return [float(x) for x in (pii.KINDS.index(kind), len(m), *counts, bool(d) and luhn(d), octets, max(map(len, re.split("[^0-9]+", m))), touches, bool(re.search(pii.CONTEXT, before)))]
+
+
+def plain_found(text, model):
+    """Spans of the rules and of the model, each proposal against each other."""
+    import regex
+
+    base, judged = list(base_spans(text)), []
+    for k in pii.KINDS:
+        at = [(0, 0)] + [m.span() for m in regex.finditer(pii.PROPOSE[k], text)] + [(len(text), len(text))]
+        for (_, e0), (s, e), (s1, _) in zip(at, at[1:], at[2:], strict=False):
+            if k in model["thresholds"] and not any(s < y and x < e for _, x, y in base):
+                x = plain_features(k, text[s:e], text[max(e0, s - pii.AROUND) : s], text[e : min(s1, e + pii.AROUND)])
+                p = 1 / (1 + math.exp(-2 * sum(w * tree_value(list(lines), x) for w, lines in model["trees"])))
+                if p >= model["thresholds"][k]:
+                    judged.append((k, s, e, p))
+    order = pii.KINDS.index
+    better = lambda a, b: a[3] > b[3] or (a[3] == b[3] and order(a[0]) < order(b[0]))
+    added = [a[:3] for a in judged if not any(a[1] < b[2] and b[1] < a[2] and better(b, a) for b in judged)]
+    return sorted(base + added, key=lambda x: (order(x[0]), x[1], x[2]))
+
+
+def plain_redacted(text, found):
+    out, at = "", 0
+    for k, s, e in sorted(found, key=lambda x: (x[1], -x[2], x[0])):
+        if s >= at:
+            out, at = out + text[at:s] + f"[{k.upper()}]", e
+        at = max(at, e)
+    return out + text[at:]
+
+
+HIDDEN = {"email": ["jane.roe (at) firm (dot) org", "sales[at]shop[dot]example[dot]net", "kim @ mail . example . com"], "ip": ["10 . 20 . 30 . 40", "192. 168. 7. 9"], "card": ["4111.1111.1111.1111", "5500--0000--0000--0004", "3782  8224  6310  0051  7"], "phone": ["(988) 555-2485", "1 (212) 555-7788", "415.555.2671"]}
+NOTHING = ["v1.2.3", "2021-03-04", "12/05/2020", "1990-1995", "5 @ 2.99", "4111.1111.1111.1112", "3fa9c0a5302762f37969011b69180d", "300 . 400 . 500 . 600", "12345678", "1,234,567.89"]
+
+
+@pytest.fixture(scope="module")
+def pii_model(spark):
+    return pii.train_pii_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_pii_adds_what_the_rules_miss(spark, small, documents, pii_model):
+    assert set(pii_model["thresholds"]) == set(pii.KINDS)
+    rng = random.Random(8)
+    words = [w for t in documents.text[:60] for w in t.split() if w.isalpha()]
+    say = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 9)))
+    texts, planted = [], []
+    for _ in range(300):
+        parts, mine, text = [say()], [], ""
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice([*HIDDEN, None])
+            parts.append((kind, rng.choice(HIDDEN[kind] if kind else NOTHING)))
+            parts.append(say())
+        for p in parts:
+            text += " " if text else ""
+            if isinstance(p, tuple):
+                mine.append((p[0], len(text), len(text) + len(p[1])))
+                p = p[1]
+            text += p
+        texts.append(text), planted.append(mine)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(x) for x in r["found"]] for r in pii.find_pii(rows, pii_model).collect()}
+    want = {(k, *x) for k, mine in enumerate(planted) for x in mine if x[0]}
+    added = {(k, *x) for k, found in got.items() for x in found if x not in list(base_spans(texts[k]))}
+    right = len(added & want)
+    print("precision", right / len(added), "recall", right / len(want))
+    assert right / len(added) > 0.95 and right / len(want) > 0.8
+    assert all(got[k] == plain_found(t, pii_model) for k, t in enumerate(texts))
+
+
+def test_pii_beside_plain_versions(spark, documents, pii_model):
+    rng = random.Random(9)
+    pieces = [x for v in HIDDEN.values() for x in v] + NOTHING + ["a@b.co", "+1 (988) 555-2485", "8.8.8.8", "4111111111111111", " ", "é🎉", "(", ".", "-", " at ", "tel "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 40))) for _ in range(150)] + documents.text.tolist()[:60] + [None, "", "x (at) y (dot) zz, 1.2.3.4 " * 700]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find_pii(rows, pii_model)
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(found).collect()}
+    for r in found.collect():
+        mine = [tuple(x) for x in r["found"]]
+        assert mine == plain_found(r["text"] or "", pii_model)
+        assert redacted[r["doc_id"]] == (plain_redacted(r["text"], mine) if r["text"] is not None else None)
+
+
 def test_trees_are_written_out_right(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler

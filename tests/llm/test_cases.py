@@ -111,6 +111,12 @@ def test_pii(spark, docs, empty):
     assert all(not r["base"] for r in found.collect())
     redacted = pii.redact(pii.find_pii(docs, model))
     assert sorted((r["text"] or "" for r in redacted.collect())) == sorted(t or "" for _, t in ROWS)
+    assert pii.redact(pii.find_pii(empty, model)).count() == 0
+    personal = "a@b.c; 1.2.3.4; +1 (988) 555-2485; 4111111111111111; "
+    rows = docs.limit(1).select(F.explode(F.array(F.lit(personal), F.lit(personal), F.lit(personal * 3000))).alias("text"), F.lit(None).cast("long").alias("doc_id"), F.lit(1).alias("base"))
+    got = pii.find_pii(rows, model).collect()
+    assert sorted(len(r["base"]) for r in got) == [4, 4, 12000] and {r["doc_id"] for r in got} == {None}
+    assert sorted(r["text"] for r in pii.redact(pii.find_pii(rows, model)).collect())[:2] == ["[EMAIL]; [IP]; [PHONE]; [CARD]; "] * 2
 
 
 def test_repeats(docs, empty):
