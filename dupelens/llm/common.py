@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker holds at once, one long text excepted.
 BLOCK_BYTES = 8 << 20
 
+#: Bytes of stored input that a bucket of words or strings stands for, and the fewest buckets.
+BUCKET_BYTES = 8 << 20
+LEAST_BUCKETS = 16
+
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches small: texts may be long, so 10,000 of them may not fit a worker."""
@@ -56,9 +60,11 @@ def fold(key: Column | str, modulus: int) -> Column:
 
 
 def use_shared_folder(spark: SparkSession) -> None:
-    """checkpoint() goes to the folder in spark.checkpoint.dir; only where none is set (tests), to a temporary one."""
+    """checkpoint() goes to the folder in spark.checkpoint.dir; where none is set, to a temporary one in local mode, and nowhere on a cluster."""
     context = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
 
 
@@ -68,6 +74,42 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Bytes of the table as the optimizer takes them from its files; None where it doesn't know."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 55 else None
+
+
+def bucket_number(df: DataFrame, each: int = BUCKET_BYTES) -> int:
+    """Buckets that the words or strings of the table are dealt to, so that one holds what about `each` bytes of input hold.
+
+    Where the size isn't known, partitions stand for it. A worker holds one bucket at a time, whatever the number of
+    tasks is.
+    """
+    spark = df.sparkSession
+    size = estimated_bytes(df)
+    return max(LEAST_BUCKETS, -(-size // each) if size is not None else 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def runs(rows: Iterator[dict], key: str) -> Iterator[list[dict]]:
+    """Successive rows of equal key."""
+    held: list[dict] = []
+    for row in rows:
+        if held and held[0][key] != row[key]:
+            yield held
+            held = []
+        held.append(row)
+    if held:
+        yield held
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows one by one: some are large, so a batch isn't turned as a whole."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a folder, in whatever store it is."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

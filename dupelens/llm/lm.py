@@ -1,14 +1,18 @@
 """Language-model scoring by a weighted backoff automaton.
 
-The model is a smoothed bigram model: p(w | h) = (c(hw) + strength * p(w)) / (c(h) + strength), with add-one unigrams. As
-an automaton, every word that was seen is a state, its seen successors are arcs that carry log10 p(w | h), and a failure
-arc of weight log10(strength / (c(h) + strength)) leads to the root, whose arcs carry log10 p(w). One traversal from left
-to right carries the state and adds up the weights.
+The model is a smoothed trigram model: p(w | h) = (c(hw) + strength * p(w | h')) / (c(h) + strength), where h' is h less
+its first word, down to add-one unigrams. As an automaton, the contexts that were seen are states: pairs of words, words
+and the root. The arcs of a state carry log10 p(w | h) for the successors that were seen, and lead to the state of the
+longest context that goes on from there; for any other word a failure arc of weight log10(strength / (c(h) + strength))
+leads from a pair to its last word and from a word to the root, whose arcs carry log10 p(w). One traversal from left to
+right carries the state, follows failure arcs as far as needed, and adds up the weights.
 
 The corpus counts cover all training documents and are never gathered in one place: blocks of documents tally their own
 n-grams, the tallies travel to the bucket of their hash, are added up there, and the totals go back to the blocks that
-hold the n-gram. Each block then has the part of the automaton that its documents can reach. N-grams travel as 64-bit
-hashes; a block sends one entry for an n-gram however often it occurs.
+hold the n-gram. Each block then has the part of the automaton that its documents can reach. A block sends one entry for
+an n-gram however often it occurs, and the number of buckets follows the input, so a bucket doesn't grow with it. Words
+travel as 128-bit hashes, so word counts are exact but for one case in 2**128. Longer n-grams travel as hashes of 22 bits more than the bytes of
+the input need (64 at most), sorted, as differences: about one in ten million counts is of two n-grams taken for one.
 """
 
 from __future__ import annotations
@@ -23,12 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _Numbers
-from .common import blocks, bounded_batches, lean, pack, unpack
+from .common import blocks, bounded_batches, bucket_number, estimated_bytes, lean, pack, rows_of, runs, unpack
 
 #: Bytes of text in a block; its n-grams are held at once.
-LM_BLOCK = 16 << 20
-#: Pseudo-count that the unigram distribution has in each context.
+LM_BLOCK = 8 << 20
+#: Pseudo-count that the shorter context's distribution has in each context.
 STRENGTH = 100.0
+#: Tokens that are scored in one go; what is longer is cut, for a state depends on no more than the two tokens before.
+LANE = 512
+#: Bits of an n-gram's hash beyond those that number the bytes of the input.
+SPARE_BITS = 22
 _END, _BEGIN = 0, 1
 
 
@@ -47,7 +55,7 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks: hashes of the distinct words, and each document as the sequence of their numbers, its end included."""
+    """Blocks: hashes of the distinct words, and each document as the sequence of their numbers."""
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId()
@@ -63,15 +71,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.r_[[_END, _BEGIN], 2 + np.argsort(-counts[2:], kind="stable")]
         renumbered = np.empty(len(order), np.int64)
         renumbered[order] = np.arange(len(order))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, numbers), np.uint64, len(numbers))[order]
+        digests = b"".join(map(xxhash.xxh3_128_digest, numbers))
+        hashes = np.frombuffer(digests, "V16")[order].tobytes()
+        words = b"".join(pack(renumbered[s]) for s in sequences)
         yield pa.record_batch(
             {
                 "block": pa.array([task << 32 | n], pa.int64()),
+                "digest": pa.array([xxhash.xxh3_64_intdigest(hashes + words) >> 1], pa.int64()),
                 "ids": pa.array([block.column("doc_id").to_pylist()], pa.list_(block.column("doc_id").type)),
                 "held_out": pa.array([block.column("held_out").to_pylist()], pa.list_(pa.bool_())),
                 "lengths": pa.array([pack(np.array(lengths))], pa.binary()),
-                "words": pa.array([b"".join(pack(renumbered[s]) for s in sequences)], pa.binary()),
-                "hashes": pa.array([hashes.tobytes()], pa.binary()),
+                "words": pa.array([words], pa.binary()),
+                "hashes": pa.array([hashes], pa.binary()),
             }
         )
 
@@ -79,10 +90,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Block:
     """A block's n-grams, in an order that both passes over it share."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, bits: int, buckets: int):
         self.ids, self.held_out = row["ids"], np.array(row["held_out"], bool)
         lengths = unpack(row["lengths"])
-        self.hashes = np.frombuffer(row["hashes"], np.uint64)
+        self.hashes = np.frombuffer(row["hashes"], np.uint64).reshape(-1, 2)
         words = unpack(row["words"]).astype(np.int32)
         self.sizes = lengths + 1
         ends = np.cumsum(self.sizes) - 1
@@ -90,74 +101,108 @@ class _Block:
         body = np.ones(len(self.tokens), bool)
         body[ends] = False
         self.tokens[body] = words
-        self.contexts = np.empty_like(self.tokens)
-        self.contexts[1:] = self.tokens[:-1]
         self.starts = ends - self.sizes + 1
-        self.contexts[self.starts] = _BEGIN
-        self.learned = ~np.repeat(self.held_out, self.sizes)
-        pairs, self.pair = np.unique(self.contexts.astype(np.int64) * len(self.hashes) + self.tokens, return_inverse=True)
-        self.before, self.after = pairs // len(self.hashes), pairs % len(self.hashes)
-        self.grams = np.concatenate((self.hashes, _mix(self.hashes[self.before], self.hashes[self.after])))
-
-    def tallies(self) -> np.ndarray:
-        unigrams = np.bincount(self.tokens[self.learned], minlength=len(self.hashes))
+        contexts = np.empty_like(self.tokens)
+        contexts[1:] = self.tokens[:-1]
+        contexts[self.starts] = _BEGIN
+        learned = ~np.repeat(self.held_out, self.sizes)
+        size = np.int64(len(self.hashes))
+        pairs, self.pair = np.unique(contexts * size + self.tokens, return_inverse=True)
+        self.before, self.after = pairs // size, pairs % size
+        # a document's first token has no pair before it
+        self.inner = np.flatnonzero(contexts != _BEGIN)
+        triples, triple = np.unique(self.pair[self.inner - 1] * size + self.tokens[self.inner], return_inverse=True)
+        self.triple = np.full(len(self.tokens), -1, np.int64)
+        self.triple[self.inner] = triple
+        self.history, self.last = triples // size, triples % size
+        short = self.hashes[:, 0]
+        two = _mix(short[self.before], short[self.after])
+        grams = np.concatenate((two, _mix(two[self.history] + np.uint64(3), short[self.last]))) >> np.uint64(64 - bits)
+        unigrams = np.bincount(self.tokens[learned], minlength=len(self.hashes))
         unigrams[_BEGIN] = (~self.held_out).sum()  # a context, never a token
-        return np.concatenate((unigrams, np.bincount(self.pair[self.learned], minlength=len(self.before))))
+        self.tallies = unigrams, np.concatenate((np.bincount(self.pair[learned], minlength=len(pairs)), np.bincount(triple[learned[self.inner]], minlength=len(triples))))
+        # both kinds sorted by hash, which is by bucket too
+        self.order = np.argsort(self.hashes[:, 1], kind="stable"), np.argsort(grams, kind="stable")
+        self.grams = self.hashes[self.order[0]], grams[self.order[1]]
+        scale = np.uint64(buckets)
+        self.bucket = ((self.grams[0][:, 1] >> np.uint64(32)) * scale >> np.uint64(32)).astype(np.int64), ((self.grams[1] >> np.uint64(bits - 32)) * scale >> np.uint64(32)).astype(np.int64)
 
-    def order(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """N-grams sorted by bucket, and where the buckets begin."""
-        bucket = (self.grams >> np.uint64(20)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    def cuts(self) -> Iterator[tuple[int, slice, slice]]:
+        """The buckets that have something, and where it is in either order."""
+        for b in np.unique(np.concatenate(self.bucket)).tolist():
+            yield b, *(slice(*np.searchsorted(x, (b, b + 1))) for x in self.bucket)
 
 
-def _tally(buckets: int):
+def _tally(bits: int, buckets: int):
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                block = _Block(batch.slice(k, 1).to_pylist()[0])
-                order, cuts = block.order(buckets)
-                grams, counts = block.grams[order], block.tallies()[order]
-                words = order < len(block.hashes)
-                words[np.flatnonzero(order == _BEGIN)] = False
-                for b in range(buckets):
-                    a, z = cuts[b], cuts[b + 1]
-                    if a < z:
-                        yield pa.record_batch({"block": batch.column("block").slice(k, 1), "bucket": pa.array([b], pa.int32()), "grams": pa.array([grams[a:z].tobytes()], pa.binary()), "counts": pa.array([pack(counts[a:z])], pa.binary()), "words": pa.array([np.packbits(words[a:z]).tobytes()], pa.binary())})
+        for row in rows_of(batches):
+            block = _Block(row, bits, buckets)
+            counts = [c[o] for c, o in zip(block.tallies, block.order, strict=True)]
+            for b, one, more in block.cuts():
+                steps = np.diff(block.grams[1][more], prepend=np.uint64(0))
+                yield pa.record_batch(
+                    {
+                        "block": pa.array([row["block"]], pa.int64()),
+                        "digest": pa.array([row["digest"]], pa.int64()),
+                        "bucket": pa.array([b], pa.int32()),
+                        "words": pa.array([block.grams[0][one].tobytes()], pa.binary()),
+                        "word_counts": pa.array([pack(counts[0][one])], pa.binary()),
+                        "begin": pa.array([_place(block.order[0][one])], pa.int32()),
+                        "low": pa.array([steps.astype(np.uint32).tobytes()], pa.binary()),
+                        "high": pa.array([pack(steps >> np.uint64(32))], pa.binary()),
+                        "counts": pa.array([pack(counts[1][more])], pa.binary()),
+                    }
+                )
 
     return tally
 
 
+def _place(order: np.ndarray) -> int:
+    """Where the mark of a beginning stands among words, or -1."""
+    at = np.flatnonzero(order == _BEGIN)
+    return int(at[0]) if len(at) else -1
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The total count of each key, at its places."""
+    every, at = np.unique(keys, return_inverse=True)
+    return np.bincount(at, counts, len(every)).astype(np.int64)[at]
+
+
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Totals of the n-grams of each bucket, for each of its blocks; the first row of a bucket has its tokens and distinct words.
 
     The rows of a partition come sorted by bucket, so one bucket is held at a time.
     """
-
-    def totals(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-        grams = [np.frombuffer(r["grams"], np.uint64) for r in rows]
-        every, at = np.unique(np.concatenate(grams), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([unpack(r["counts"]) for r in rows]), len(every)).astype(np.int64)
-        word = np.zeros(len(every), bool)
-        word[at[np.concatenate([np.unpackbits(np.frombuffer(r["words"], np.uint8), count=len(g)).astype(bool) for r, g in zip(rows, grams, strict=True)])]] = True
-        tokens, distinct = int(counts[word].sum()), int((counts[word] > 0).sum())
-        ends = np.cumsum([len(g) for g in grams])
+    for rows in runs(rows_of(batches), "bucket"):
+        words = np.concatenate([np.frombuffer(r["words"], np.uint64).reshape(-1, 2) for r in rows])
+        order = np.lexsort((words[:, 0], words[:, 1]))
+        new = np.r_[True, (words[order][1:] != words[order][:-1]).any(axis=1)] if len(order) else np.empty(0, bool)
+        name = np.empty(len(order), np.int64)
+        name[order] = np.cumsum(new) - 1
+        sizes = [len(r["words"]) // 16 for r in rows]
+        ends = np.cumsum(sizes)
+        one = np.concatenate([unpack(r["word_counts"]) for r in rows])
+        total = np.bincount(name, one, int(new.sum())).astype(np.int64)
+        token = np.ones(len(total), bool)
+        token[[name[e - n + r["begin"]] for r, e, n in zip(rows, ends, sizes, strict=True) if r["begin"] >= 0]] = False
+        grams = [np.cumsum(np.frombuffer(r["low"], np.uint32).astype(np.uint64) + (unpack(r["high"]).astype(np.uint64) << np.uint64(32)), dtype=np.uint64) for r in rows]
+        more = _added(np.concatenate(grams), np.concatenate([unpack(r["counts"]) for r in rows]))
+        stops = np.cumsum([len(g) for g in grams])
+        if max(total.max(initial=0), more.max(initial=0)) >= 1 << 32:
+            raise OverflowError("an n-gram occurs over 2**32 times")
         for k, r in enumerate(rows):
-            mine = counts[at[ends[k] - len(grams[k]) : ends[k]]]
-            if mine.max() >= 1 << 32:
-                raise OverflowError("an n-gram occurs over 2**32 times")
-            yield pa.record_batch({"block": pa.array([r["block"]], pa.int64()), "bucket": pa.array([r["bucket"]], pa.int32()), "totals": pa.array([pack(mine)], pa.binary()), "tokens": pa.array([0 if k else tokens], pa.int64()), "distinct": pa.array([0 if k else distinct], pa.int64())})
-
-    held: list[dict] = []
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
-            if held and held[0]["bucket"] != row["bucket"]:
-                yield from totals(held)
-                held = []
-            held.append(row)
-    if held:
-        yield from totals(held)
+            yield pa.record_batch(
+                {
+                    "block": pa.array([r["block"]], pa.int64()),
+                    "digest": pa.array([r["digest"]], pa.int64()),
+                    "bucket": pa.array([r["bucket"]], pa.int32()),
+                    "word_totals": pa.array([pack(total[name[ends[k] - sizes[k] : ends[k]]])], pa.binary()),
+                    "totals": pa.array([pack(more[stops[k] - len(grams[k]) : stops[k]])], pa.binary()),
+                    "tokens": pa.array([0 if k else int(total[token].sum())], pa.int64()),
+                    "distinct": pa.array([0 if k else int((total[token] > 0).sum())], pa.int64()),
+                }
+            )
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,45 +215,97 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Automaton:
-    """The states and arcs that a block can reach. State 0 is the root; state w + 1 is the context of word w, if it was seen."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, before: np.ndarray, after: np.ndarray, tokens: int, distinct: int, strength: float):
-        unigram = (words + 1.0) / (tokens + distinct + 1.0)
-        self.root = np.log10(unigram)
-        context = words[before].astype(np.float64)
-        self.state = np.where(words > 0, np.arange(len(words)) + 1, 0)
-        self.failure = np.r_[0.0, np.log10(strength / (words + strength))]
-        self.seen = pairs > 0
-        self.arc = np.log10((pairs + strength * unigram[after]) / (context + strength))
-
-    def traverse(self, tokens: np.ndarray, contexts: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """log10 weights of each step: the arc of the state that is carried, or its failure arc and then the root's."""
-        state = self.state[contexts]
-        return np.where(self.seen[pair], self.arc[pair], self.failure[state] + self.root[tokens])
+    """The states and arcs that a block can reach.
 
+    State 0 is the root, state 1 + w the context of word w, state 1 + V + p that of pair p. Arcs are named by what they
+    complete: a pair's arc by the triple, a word's by the pair, the root's by the word.
+    """
 
-def _score(strength: float, buckets: int):
+    def __init__(self, counts: tuple[np.ndarray, np.ndarray, np.ndarray], before: np.ndarray, after: np.ndarray, history: np.ndarray, last: np.ndarray, tokens: int, distinct: int, strength: float):
+        words, pairs, triples = counts
+        unigram = (words + 1.0) / (tokens + distinct + 1.0)
+        bigram = (pairs + strength * unigram[after]) / (words[before] + strength)
+        # the pair of a triple's last two words
+        self.root, self.arc = np.log10(unigram), np.log10(bigram)
+        self.seen, self.seen_long = pairs > 0, triples > 0
+        place = np.searchsorted(before * len(words) + after, after[history] * len(words) + last)
+        self.arc_long = np.log10((triples + strength * bigram[place]) / (pairs[history] + strength))
+        self.first = 1 + len(words)
+        #: Where failure arcs lead, and what they weigh.
+        self.shorter = np.concatenate(([0], np.zeros(len(words), np.int64), 1 + after))
+        self.failure = np.log10(strength / (np.concatenate(([0], words, pairs)) + strength))
+        #: The state after each arc: that of the pair if it was seen, of the word if it was, or the root.
+        self.by_word = np.where(words > 0, 1 + np.arange(len(words)), 0)
+        self.begin = int(self.by_word[_BEGIN])
+
+    def step(self, state: np.ndarray, token: np.ndarray, pair: np.ndarray, triple: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after a token each, and the weights of the arcs that led there."""
+        weight = np.zeros(len(state))
+        to = 1 + len(self.by_word) + pair
+        open_ = state >= self.first
+        hit = open_ & self.seen_long[triple] if len(self.seen_long) else np.zeros(len(state), bool)
+        weight[hit] = self.arc_long[triple[hit]]
+        fails = open_ & ~hit
+        weight[fails] += self.failure[state[fails]]
+        state = np.where(fails, self.shorter[state], state)
+        open_ = ~hit & (state > 0)
+        short = open_ & self.seen[pair]
+        weight[short] += self.arc[pair[short]]
+        fails = open_ & ~short
+        weight[fails] += self.failure[state[fails]]
+        root = ~hit & ~short
+        weight[root] += self.root[token[root]]
+        return np.where(root, self.by_word[token], to), weight
+
+    def traverse(self, tokens: np.ndarray, pair: np.ndarray, triple: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The weight of each token's step, documents being read from left to right.
+
+        Documents are read side by side, in lanes of LANE tokens. A lane that goes on within a document first reads the two
+        tokens before it from the root, which leads to the state that the document is in there.
+        """
+        parts = -(-sizes // LANE)
+        document = np.repeat(np.arange(len(sizes)), parts)
+        number = np.arange(len(document)) - np.repeat(np.cumsum(parts) - parts, parts)
+        at = starts[document] + number * LANE
+        left = np.minimum(sizes[document] - number * LANE, LANE)
+        state = np.where(number == 0, self.begin, 0)
+        out = np.empty(len(tokens))
+        on = np.flatnonzero(number > 0)
+        for back in (2, 1):
+            k = at[on] - back
+            state[on] = self.step(state[on], tokens[k], pair[k], triple[k])[0]
+        # lanes by falling length, so those that go on are the first
+        lanes = np.argsort(-left, kind="stable")
+        at, left, state = at[lanes], left[lanes], state[lanes]
+        going = np.searchsorted(-left, -np.arange(1, LANE + 1), "right")
+        for k in range(LANE):
+            n = int(going[k])
+            if not n:
+                break
+            here = at[:n] + k
+            state[:n], out[here] = self.step(state[:n], tokens[here], pair[here], triple[here])
+        return out
+
+
+def _score(strength: float, bits: int, buckets: int):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.schema.field("ids").type.value_type
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                block = _Block(row)
-                order, cuts = block.order(buckets)
-                counts = np.zeros(len(order), np.int64)
-                got = 0
-                for part in row["found"] or ():
-                    a, z = cuts[part["bucket"]], cuts[part["bucket"] + 1]
-                    totals = unpack(part["totals"])
-                    if len(totals) != z - a:
+            for row in rows_of([batch]):
+                block = _Block(row, bits, buckets)
+                counts = [np.full(len(o), -1, np.int64) for o in block.order]
+                found = {p["bucket"]: p for p in row["found"] or ()}
+                for b, *places in block.cuts():
+                    part = found.pop(b, None)
+                    if part is None or part["digest"] != row["digest"]:
                         raise RuntimeError("a block and its counts are of different runs; the stage has to run again")
-                    counts[order[a:z]] = totals
-                    got += len(totals)
-                if got != len(order):
-                    raise RuntimeError("a block misses counts; the stage has to run again")
-                words, pairs = counts[: len(block.hashes)], counts[len(block.hashes) :]
+                    for c, o, place, totals in zip(counts, block.order, places, (part["word_totals"], part["totals"]), strict=True):
+                        c[o[place]] = unpack(totals)
+                if found:
+                    raise RuntimeError("a block has counts of another one; the stage has to run again")
+                words, longer = counts
                 n, v = int(row["sums"]["n"]), int(row["sums"]["v"])
-                machine = Automaton(words, pairs, block.before, block.after, n, v, strength)
+                machine = Automaton((words, longer[: len(block.before)], longer[len(block.before) :]), block.before, block.after, block.history, block.last, n, v, strength)
                 add = lambda x: np.add.reduceat(x, block.starts)  # noqa: B023, E731
                 yield pa.record_batch(
                     {
@@ -218,7 +315,7 @@ def _score(strength: float, buckets: int):
                         "n_known": pa.array(add((words[block.tokens] > 0).astype(np.int64)), pa.int64()),
                         "train_tokens": pa.array(np.full(len(block.sizes), n), pa.int64()),
                         "base_score": pa.array(add(machine.root[block.tokens]), pa.float64()),
-                        "score": pa.array(add(machine.traverse(block.tokens, block.contexts, block.pair)), pa.float64()),
+                        "score": pa.array(add(machine.traverse(block.tokens, block.pair, block.triple, block.starts, block.sizes)), pa.float64()),
                     }
                 )
 
@@ -234,15 +331,17 @@ def score_texts(documents: DataFrame, held_out: Column, key: str = "doc_id", tex
     """
     spark = documents.sparkSession
     bounded_batches(spark)
-    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    buckets = buckets or bucket_number(documents)
+    size = estimated_bytes(documents)
+    bits = 64 if size is None else min(64, max(40, size.bit_length() + SPARE_BITS))
     kind = source.schema["doc_id"].dataType.simpleString()
     # one exchange by block serves both passes over the blocks, so texts are split into words once
-    read = source.mapInArrow(lean(_read), f"block long not null, ids array<{kind}>, held_out array<boolean>, lengths binary, words binary, hashes binary").repartition("block")
-    tallies = read.mapInArrow(lean(_tally(buckets)), "block long not null, bucket int, grams binary, counts binary, words binary")
-    totals = tallies.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_add_up), "block long not null, bucket int, totals binary, tokens long, distinct long").repartition("block")
+    read = source.mapInArrow(lean(_read), f"block long not null, digest long, ids array<{kind}>, held_out array<boolean>, lengths binary, words binary, hashes binary").repartition("block")
+    tallies = read.mapInArrow(lean(_tally(bits, buckets)), "block long not null, digest long, bucket int, words binary, word_counts binary, begin int, low binary, high binary, counts binary")
+    totals = tallies.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_add_up), "block long not null, digest long, bucket int, word_totals binary, totals binary, tokens long, distinct long").repartition("block")
     sums = totals.mapInArrow(lean(_sums), "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
-    found = totals.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("bucket", "totals", "tokens", "distinct")).alias("found"))
+    found = totals.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("digest", "bucket", "word_totals", "totals", "tokens", "distinct")).alias("found"))
     whole = read.join(found.hint("merge"), F.col("block") == F.col("b"), "left").withColumn("sums", sums.select(F.struct("n", "v")).scalar())
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return whole.drop("b").mapInArrow(lean(_score(strength, buckets)), schema)
+    return whole.drop("b").mapInArrow(lean(_score(strength, bits, buckets)), schema)

@@ -345,22 +345,64 @@ def test_toxicity_on_held_out_documents(spark):
 
 
 def test_lm(spark, small, documents):
-    c1, c2, contexts, n, tokens = Counter(), Counter(), Counter(), 0, {}
+    from dupelens.llm.lm import STRENGTH
+
+    c1, c2, c3, docs, n, tokens = Counter(), Counter(), Counter(), 0, 0, {}
     for k, t in zip(documents.doc_id, documents.text, strict=True):
         w = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if x] + ["</s>"]
         tokens[k] = w
         if fold(k, 7) != 2:
-            c1.update(w), c2.update(zip(["<s>"] + w[:-1], w, strict=True)), contexts.update(["<s>"] + w[:-1])
-            n += len(w)
-    p = lambda x: (c1[x] + 1) / (n + len(c1) + 1)
-    from dupelens.llm.lm import STRENGTH
-
-    got = queries.op7_lm(spark, small).collect()
+            h = ["<s>", *w]
+            c1.update(w), c2.update(zip(h, w, strict=False)), c3.update(zip(h, w, w[1:], strict=False))
+            docs, n = docs + 1, n + len(w)
+    one = lambda x: (c1[x] + 1) / (n + len(c1) + 1)
+    two = lambda h, x: (c2[h, x] + STRENGTH * one(x)) / ((docs if h == "<s>" else c1[h]) + STRENGTH)
+    three = lambda g, h, x: (c3[g, h, x] + STRENGTH * two(h, x)) / (c2[g, h] + STRENGTH)
+    got, gain = queries.op7_lm(spark, small).collect(), 0.0
     for r in got:
         w = tokens[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (fold(r["doc_id"], 7) == 2, len(w), sum(c1[x] > 0 for x in w), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10(p(x)) for x in w), rel=1e-12)
-        assert r["score"] == pytest.approx(sum(math.log10((c2[h, x] + STRENGTH * p(x)) / (contexts[h] + STRENGTH)) for h, x in zip(["<s>"] + w[:-1], w, strict=True)), rel=1e-12)
+        assert r["base_score"] == pytest.approx(sum(math.log10(one(x)) for x in w), rel=1e-12)
+        h = ["<s>", *w]
+        assert r["score"] == pytest.approx(math.log10(two("<s>", w[0])) + sum(math.log10(three(*x)) for x in zip(h, w, w[1:], strict=False)), rel=1e-12)
+        gain += (r["score"] - r["base_score"]) * r["held_out"]
+    assert gain > 0
+
+
+def test_the_automaton_follows_chains_of_failures(monkeypatch):
+    from dupelens.llm import lm
+    from dupelens.llm.common import pack
+
+    monkeypatch.setattr(lm, "LANE", 7)
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 2, 5, 40, 100, 7, 13, 14]
+    texts = [rng.integers(2, 8, n) for n in sizes]
+    row = {"ids": list(range(9)), "held_out": [k % 2 == 0 for k in range(9)], "lengths": pack(np.array(sizes)), "words": b"".join(pack(t) for t in texts), "hashes": rng.bytes(16 * 8)}
+    block = lm._Block(row, 64, 16)
+    words, longer = block.tallies
+    pairs, triples = longer[: len(block.before)], longer[len(block.before) :]
+    machine = lm.Automaton((words, pairs, triples), block.before, block.after, block.history, block.last, 100, 6, 3.0)
+    got = machine.traverse(block.tokens, block.pair, block.triple, block.starts, block.sizes)
+
+    # states as tuples, arcs and failures as dictionaries, one token at a time
+    unigram = (words + 1.0) / (100 + 6 + 1.0)
+    count = {(int(w),): int(c) for w, c in enumerate(words)} | {p: int(c) for p, c in zip(zip(block.before.tolist(), block.after.tolist(), strict=True), pairs, strict=True)}
+    count |= {(int(block.before[h]), int(block.after[h]), int(x)): int(c) for h, x, c in zip(block.history, block.last, triples, strict=True)}
+    p = lambda h, x: unigram[x] if not h else (count.get((*h, x), 0) + 3.0 * p(h[1:], x)) / (count.get(h, 0) + 3.0)
+    chains, want = Counter(), []
+    for t in texts:
+        state = (1,) if words[1] else ()
+        for x in [*t.tolist(), 0]:
+            weight, failures = 0.0, 0
+            while state and not count.get((*state, x)):
+                weight += math.log10(3.0 / (count[state] + 3.0))
+                state, failures = state[1:], failures + 1
+            chains[failures] += 1
+            want.append(weight + math.log10(p(state, x)))
+            state = (*state, x)[-2:]
+            while state and not count.get(state):
+                state = state[1:]
+    assert chains[1] and chains[2] and got == pytest.approx(np.array(want), rel=1e-12)
 
 
 def test_contamination(spark, small, documents):
