@@ -1,10 +1,11 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 Documents are exploded into pre-tokens with their positions, block by block: a block lists its distinct words and, for
-each document, the sequence of their numbers. The words travel to the bucket of their hash, where each distinct word is
-encoded once; the ids are joined back to the blocks, which reassemble their documents by position. No row stands for a
-single occurrence, so a word that is half of the corpus costs one entry a block. Decoding joins ids with the table of
-token bytes, whose size is that of the vocabulary.
+each document, the sequence of their numbers. The words travel to the bucket of their hash, where the lists of all blocks
+meet and each distinct word of the corpus is encoded once; the ids are joined back to the blocks, which reassemble their
+documents by position. No row stands for a single occurrence, so a word that is half of the corpus costs one entry a
+block. The number of buckets follows the input, so that a worker holds a bucket of bounded size at a time. Decoding joins
+ids with the table of token bytes, whose size is that of the vocabulary, on the map side.
 """
 
 from __future__ import annotations
@@ -18,15 +19,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, lean, pack, texts_of, unpack
+from .common import blocks, bounded_batches, bucket_number, lean, pack, rows_of, runs, unpack
 
 #: Bytes of text in a block; its distinct words and positions are held at once.
 ENCODE_BLOCK = 16 << 20
-CACHE_ENTRIES = 300_000
 #: Words that are reassembled at once, about; a longer document is one slice.
 SLICE_WORDS = 100_000
 
@@ -68,10 +69,9 @@ def _explode(pattern: str, buckets: int):
             flat = place[flat]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in encoded), np.int32, len(encoded))
             dealt = np.lexsort((place, bucket))
-            cuts = np.searchsorted(bucket[dealt], np.arange(buckets + 1))
+            there, cuts = np.unique(bucket[dealt], return_index=True)
             words = []
-            for b in np.flatnonzero(np.diff(cuts)).tolist():
-                mine = dealt[cuts[b] : cuts[b + 1]]
+            for b, mine in zip(there.tolist(), np.split(dealt, cuts[1:]), strict=False):
                 some = [encoded[k] for k in mine.tolist()]
                 words.append({"bucket": b, "places": pack(np.diff(place[mine], prepend=0)), "lengths": pack(np.array([len(w) for w in some])), "bytes": squeeze(b"".join(some))})
             # documents in slices of about SLICE_WORDS words
@@ -82,6 +82,7 @@ def _explode(pattern: str, buckets: int):
             yield pa.record_batch(
                 {
                     "block": pa.array([task << 32 | n], pa.int64()),
+                    "digest": pa.array([xxhash.xxh3_64_intdigest(b"".join([pack(lengths), *positions, *[w["bytes"] for w in words]])) >> 1], pa.int64()),
                     "n_words": pa.array([len(order)], pa.int64()),
                     "ids": pa.array([block.column("doc_id").to_pylist()], pa.list_(block.column("doc_id").type)),
                     "lengths": pa.array([pack(lengths)], pa.binary()),
@@ -98,33 +99,34 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each block and bucket. It takes whole rows, for the exchange below it serves both branches only if neither prunes it."""
     for batch in batches:
         words = batch.column("words")
-        owner = pc.take(batch.column("block"), pc.list_parent_indices(words))
+        of = pc.list_parent_indices(words)
         parts = pc.list_flatten(words)
-        yield pa.record_batch([owner, *parts.flatten()], ["block", "bucket", "places", "lengths", "bytes"])
+        yield pa.record_batch([pc.take(batch.column("block"), of), pc.take(batch.column("digest"), of), *parts.flatten()], ["block", "digest", "bucket", "places", "lengths", "bytes"])
 
 
 def _encode(ranks, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a partition come sorted by bucket. All lists of a bucket are held, so that a word is encoded once for all blocks."""
         import tiktoken
 
         coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
-        cache: dict[bytes, list[int]] = {}
-        for batch in batches:
-            columns = batch.to_pydict()
-            for row in range(batch.num_rows):
-                data, ends = zstandard.decompress(columns["bytes"][row]), np.cumsum(unpack(columns["lengths"][row])).tolist()
-                words = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-                if len(cache) + len(words) > CACHE_ENTRIES:
-                    cache.clear()
-                new = [w for w in words if w not in cache]
-                cache.update(zip(new, coder.encode_ordinary_batch([w.decode() for w in new], num_threads=1), strict=True))
-                found = [cache[w] for w in words]
+        for rows in runs(rows_of(batches), "bucket"):
+            numbers, lists = _Numbers(), []
+            for row in rows:
+                data, ends = zstandard.decompress(row["bytes"]), np.cumsum(unpack(row["lengths"])).tolist()
+                lists.append(np.fromiter((numbers[data[a:b]] for a, b in zip([0, *ends], ends, strict=False)), np.int32, len(ends)))
+            found = coder.encode_ordinary_batch([w.decode() for w in numbers], num_threads=1)
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            pool = np.fromiter(chain.from_iterable(found), np.int64)
+            begin = np.cumsum(counts) - counts
+            for row, mine in zip(rows, lists, strict=True):
                 yield pa.record_batch(
                     {
-                        "block": pa.array([columns["block"][row]], pa.int64()),
-                        "places": pa.array([columns["places"][row]], pa.binary()),
-                        "counts": pa.array([pack(np.fromiter(map(len, found), np.int64, len(found)))], pa.binary()),
-                        "tokens": pa.array([pack(np.fromiter(chain.from_iterable(found), np.int64))], pa.binary()),
+                        "block": pa.array([row["block"]], pa.int64()),
+                        "digest": pa.array([row["digest"]], pa.int64()),
+                        "places": pa.array([row["places"]], pa.binary()),
+                        "counts": pa.array([pack(counts[mine])], pa.binary()),
+                        "tokens": pa.array([pack(pool[_gather(begin[mine], counts[mine])])], pa.binary()),
                     }
                 )
 
@@ -143,13 +145,16 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = batch.column("ids").slice(row, 1).flatten()
             lengths, positions = unpack(batch.column("lengths")[row].as_py()), batch.column("positions").slice(row, 1).flatten()
             places, counts, tokens = [], [], []
+            digest = batch.column("digest")[row].as_py()
             for part in batch.column("found")[row].as_py() or ():
+                if part["digest"] != digest:
+                    raise RuntimeError("a block and its words are of different runs; the stage has to run again")
                 places.append(np.cumsum(unpack(part["places"])))
                 counts.append(unpack(part["counts"]))
                 tokens.append(unpack(part["tokens"]))
             words = batch.column("n_words")[row].as_py()
             if sum(map(len, places)) != words:
-                raise RuntimeError("a block and its words are of different runs; the stage has to run again")
+                raise RuntimeError("a block misses words; the stage has to run again")
             at = np.concatenate([*places, np.empty(0, np.int64)])
             n = np.zeros(words, np.int64)
             begin = np.zeros(words, np.int64)
@@ -180,18 +185,18 @@ def bpe_encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, key:
     """
     spark = documents.sparkSession
     bounded_batches(spark)
-    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or bucket_number(documents)
     source = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(ranks)
     word = "struct<bucket: int, places: binary, lengths: binary, bytes: binary>"
     # one exchange by block serves both branches, so texts are split once
-    exploded = source.mapInArrow(lean(_explode(pattern, buckets)), f"block long not null, n_words long, ids array<{kind}>, lengths binary, slices binary, positions array<binary>, words array<{word}>").repartition("block")
-    words = exploded.mapInArrow(lean(_spread), "block long, bucket int, places binary, lengths binary, bytes binary").repartition("bucket")
-    encoded = words.mapInArrow(lean(_encode(shared, pattern)), "block long not null, places binary, counts binary, tokens binary")
-    found = encoded.groupBy("block").agg(F.collect_list(F.struct("places", "counts", "tokens")).alias("found"))
+    exploded = source.mapInArrow(lean(_explode(pattern, buckets)), f"block long not null, digest long, n_words long, ids array<{kind}>, lengths binary, slices binary, positions array<binary>, words array<{word}>").repartition("block")
+    words = exploded.mapInArrow(lean(_spread), "block long, digest long, bucket int, places binary, lengths binary, bytes binary").repartition("bucket").sortWithinPartitions("bucket")
+    encoded = words.mapInArrow(lean(_encode(shared, pattern)), "block long not null, digest long, places binary, counts binary, tokens binary")
+    found = encoded.groupBy("block").agg(F.collect_list(F.struct("digest", "places", "counts", "tokens")).alias("found"))
     whole = exploded.join(found.withColumnRenamed("block", "b").hint("merge"), F.col("block") == F.col("b"), "left")
-    return whole.select("n_words", "ids", "lengths", "slices", "positions", "words", "found").mapInArrow(lean(_assemble), f"doc_id {kind}, n_tokens long, ids binary")
+    return whole.select("digest", "n_words", "ids", "lengths", "slices", "positions", "words", "found").mapInArrow(lean(_assemble), f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
@@ -201,13 +206,21 @@ def bpe_decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") ->
     """
     encoded = encoded.drop(*[c for c in encoded.columns if c.lower() == "decoded"])
     bounded_batches(encoded.sparkSession)
-    table = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    of_id = {rank: token for token, rank in ranks.items()}
+    table = encoded.sparkSession.sparkContext.broadcast([of_id.get(k) for k in range(max(of_id, default=-1) + 1)])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = table.value.__getitem__
+        tokens = pa.array(table.value, pa.binary())
         for batch in batches:
-            out = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            column = batch.column(ids)
+            flat = np.frombuffer(b"".join([x.as_buffer() for x in column if x.is_valid]), "<u4")
+            ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy() // 4)))
+            found = tokens.take(pa.array(flat, pa.uint32()))
+            if found.null_count:
+                raise KeyError("an id that the vocabulary lacks")
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found), b"")
+            joined = pc.if_else(column.is_valid(), joined, pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined], [*batch.schema.names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(lean(decode), f"{kinds}, decoded binary")
