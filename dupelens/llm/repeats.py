@@ -5,16 +5,19 @@ suffix of the corpus would move far more than the corpus, so suffixes are first
 
 1.  Every window has an anchor, the lowest-hashed `gram` of bytes in it. Successive windows with one anchor are a
     segment. Equal windows have equal anchors at equal places, so only segments of one anchor can share a window.
-2.  Blocks of documents send the pair of hashes (anchor, segment) of their distinct segments to the bucket of the
-    anchor. A segment that occurs twice is a repeat as a whole. A segment that occurs once is undecided only if its
-    anchor has other segments; that is where repeats begin and end.
+2.  Blocks of documents send digests of their distinct segments to the bucket of the segment's hash, and each of their
+    anchors, with what its only segment is or how many it has, to the bucket of the anchor. A segment that occurs twice
+    is a repeat as a whole. A segment that occurs once is undecided only if its anchor has other segments; that is where
+    repeats begin and end. Within a block, equal hashes are verified by the bytes; between blocks, segments are equal
+    only if independent 128-bit digests of their bytes are. A collision of hashes makes segments rivals, no repeats.
 3.  Undecided segments and one copy of their rivals meet as text. Their windows are the suffixes that are sorted, those
     of one anchor and place by themselves: a merge sort whose comparisons find the common extension of two suffixes by
     binary search over prefix polynomial hashes and then look at one byte. Neighbours that extend over a whole window
     are repeats, once their bytes are verified.
 
-An anchor of many segments isn't kept together in step 3: its windows are dealt out one by one by their content, after
-each block has merged those it holds twice.
+No key gathers what grows: an anchor or segment sends one entry a block, however often it occurs in it. An anchor of many
+segments isn't kept together in step 3: its windows are dealt out one by one by their content, after each block has merged
+those it holds twice. The number of buckets follows the input, and a worker holds one bucket at a time.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, lean, texts_of
+from .common import blocks, bounded_batches, bucket_number, lean, pack, rows_of, runs, texts_of, unpack
 
 LENGTH = 200
 #: Bytes of text in a block, and windows that are looked at together.
@@ -127,6 +131,8 @@ class _Block:
         self.sizes = np.frombuffer(row["sizes"], np.int64)
         self.raw = np.frombuffer(zstandard.decompress(row["text"], max_output_size=int(self.sizes.sum())) if self.sizes.sum() else b"", np.uint8)
         self.found = Segments(self.raw, self.sizes, length)
+        self.text = self.raw.tobytes()
+        self.end = self.found.start + self.found.width + length - 1
         #: Distinct segments as the first of each, what each segment is of them, and how often it occurs.
         order = np.lexsort((self.found.segment, self.found.anchor))
         a, g = self.found.anchor[order], self.found.segment[order]
@@ -134,25 +140,45 @@ class _Block:
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
         self.first = order[new]
+        self._verify()
         self.times = np.bincount(self.of, minlength=len(self.first))
-        bucket = (self.found.anchor[self.first] % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
-
-    def verdicts(self, parts: list[dict]) -> np.ndarray:
+        #: Distinct anchors, and the anchor of each distinct segment.
+        self.anchors, self.anchor_of = np.unique(self.found.anchor[self.first], return_inverse=True)
+        self.places = [self._dealt(self.anchors, 0), self._dealt(self.found.segment[self.first], buckets)]
+
+    def _verify(self) -> None:
+        """Segments of equal hashes are parted where their bytes differ."""
+        start, end, text = self.found.start.tolist(), self.end.tolist(), self.text
+        again = np.flatnonzero(self.first[self.of] != np.arange(len(self.of)))
+        bad = {g for k, g, f in zip(again.tolist(), self.of[again].tolist(), self.first[self.of[again]].tolist(), strict=True) if text[start[k] : end[k]] != text[start[f] : end[f]]}
+        for g in sorted(bad):
+            names: dict[bytes, int] = {}
+            for k in np.flatnonzero(self.of == g).tolist():
+                self.of[k] = names.setdefault(text[start[k] : end[k]], g if not names else len(self.first) + len(names) - 1)
+            members = [int(np.flatnonzero(self.of == n)[0]) for n in names.values()]
+            self.first[g] = members[0]
+            self.first = np.concatenate((self.first, np.array(members[1:], self.first.dtype)))
+
+    def _dealt(self, keys: np.ndarray, offset: int) -> list[tuple[int, np.ndarray]]:
+        """The buckets that have a key, and the keys of each."""
+        return _by_bucket((keys % np.uint64(self.buckets)).astype(np.int64) + offset)
+
+    def names(self) -> np.ndarray:
+        """Digests of the distinct segments."""
+        return np.frombuffer(b"".join([xxhash.xxh3_128_digest(self.text[s:e]) for s, e in zip(self.found.start[self.first].tolist(), self.end[self.first].tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+
+    def verdicts(self, row: dict) -> np.ndarray:
         """The verdict on each distinct segment."""
-        out = np.zeros(len(self.first), np.uint8)
-        got = 0
-        for p in parts or ():
-            a, z = self.cuts[p["bucket"]], self.cuts[p["bucket"] + 1]
-            v = np.frombuffer(p["verdicts"], np.uint8)
-            if len(v) != z - a:
-                raise RuntimeError("a block and its verdicts are of different runs; the stage has to run again")
-            out[self.order[a:z]] = v
-            got += len(v)
-        if got != len(out):
-            raise RuntimeError("a block misses verdicts; the stage has to run again")
-        return out
+        replies = _replies(row, "judged")
+        found = []
+        for places, size in zip(self.places, (len(self.anchors), len(self.first)), strict=True):
+            out = np.zeros(size, np.uint8)
+            for b, mine in places:
+                out[mine] = _of_length(np.frombuffer(replies.pop(b, b""), np.uint8), len(mine))
+            found.append(out)
+        rivals, times = found[0][self.anchor_of], found[1]
+        once = np.choose(rivals, (_UNIQUE, _OPEN, _OPEN_MANY))
+        return np.where(times == 0, once, np.where((times == 1) | (rivals == 0), _REPEAT, np.where(rivals == 1, _RIVAL, _RIVAL_MANY))).astype(np.uint8)
 
     def details(self, verdicts: np.ndarray) -> dict[str, np.ndarray]:
         """What is sent to be sorted: bucket, start, width, place and anchor of texts of width + length - 1 bytes.
@@ -176,46 +202,40 @@ class _Block:
             window = np.arange(len(which)) - np.repeat(np.cumsum(width) - width, width)
             start = f.start[at][which] + window
             names: dict[bytes, list[int]] = {}
-            text = self.raw.tobytes()
             for k, s in enumerate(start.tolist()):
-                names.setdefault(text[s : s + self.length], []).append(k)
+                names.setdefault(self.text[s : s + self.length], []).append(k)
             shown = np.array([x[0] for x in names.values()])
             more = [k for x in names.values() if len(x) > 1 for k in x]
             twice = (many[which[more]], window[more])
-            digest = np.array([hash_of(t) for t in names], np.uint64)
+            digest = np.array([xxhash.xxh64_intdigest(t) for t in names], np.uint64)
             alone = np.array([len(x) == 1 for x in names.values()])
             extra = {
                 "bucket": (digest % np.uint64(self.buckets)).astype(np.int64), "start": start[shown], "width": np.ones(len(shown), np.int64), "place": f.place[at][which[shown]] - window[shown], "anchor": f.anchor[at][which[shown]],
                 "segment": many[which[shown]], "window": window[shown], "needs": alone & (verdicts[many[which[shown]]] == _OPEN_MANY),
             }
             parts = {k: np.concatenate((v, extra[k])) for k, v in parts.items()}
-        order = np.argsort(parts["bucket"], kind="stable")
-        parts = {k: v[order] for k, v in parts.items()}
-        return parts | {"twice": twice, "cuts": np.searchsorted(parts["bucket"], np.arange(self.buckets + 1))}
-
+        return parts | {"twice": twice, "places": _by_bucket(parts["bucket"])}
 
-def hash_of(data: bytes) -> int:
-    import xxhash
 
-    return xxhash.xxh64_intdigest(data)
+def _by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The buckets in order, and where each occurs."""
+    order = np.argsort(bucket, kind="stable")
+    there, heads = np.unique(bucket[order], return_index=True)
+    return list(zip(there.tolist(), np.split(order, heads[1:]), strict=False))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield batch.slice(k, 1).to_pylist()[0]
+def _replies(row: dict, column: str) -> dict[int, bytes]:
+    """A block's replies by bucket, all of them of this very block."""
+    parts = row[column] or ()
+    if any(p["digest"] != row["digest"] for p in parts):
+        raise RuntimeError("a block and its replies are of different runs; the stage has to run again")
+    return {p["bucket"]: p["reply"] for p in parts}
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of each bucket; partitions come sorted by bucket."""
-    held: list[dict] = []
-    for row in _rows(batches):
-        if held and held[0]["bucket"] != row["bucket"]:
-            yield held
-            held = []
-        held.append(row)
-    if held:
-        yield held
+def _of_length(reply: np.ndarray, n: int) -> np.ndarray:
+    if len(reply) != n:
+        raise RuntimeError("a block misses replies; the stage has to run again")
+    return reply
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,53 +245,87 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3).compress
     for n, block in enumerate(blocks(batches, "text", REPEAT_BLOCK)):
         texts = [t.encode() for t in texts_of(block, "text")]
+        whole = b"".join(texts)
         yield pa.record_batch(
             {
                 "block": pa.array([task << 32 | n], pa.int64()),
+                "digest": pa.array([xxhash.xxh3_64_intdigest(whole, seed=len(texts)) >> 1], pa.int64()),
                 "ids": pa.array([block.column("doc_id").to_pylist()], pa.list_(block.column("doc_id").type)),
                 "sizes": pa.array([np.array([len(t) for t in texts], np.int64).tobytes()], pa.binary()),
-                "text": pa.array([squeeze(b"".join(texts))], pa.binary()),
+                "text": pa.array([squeeze(whole)], pa.binary()),
             }
         )
 
 
 def _tally(length: int, buckets: int):
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows_of(batches):
             block = _Block(row, length, buckets)
-            at = block.first[block.order]
-            anchors, segments, twice = block.found.anchor[at], block.found.segment[at], block.times[block.order] > 1
-            for b in range(buckets):
-                a, z = block.cuts[b], block.cuts[b + 1]
-                if a < z:
-                    yield pa.record_batch({"block": pa.array([row["block"]], pa.int64()), "bucket": pa.array([b], pa.int32()), "anchors": pa.array([anchors[a:z].tobytes()], pa.binary()), "segments": pa.array([segments[a:z].tobytes()], pa.binary()), "twice": pa.array([np.packbits(twice[a:z]).tobytes()], pa.binary())})
+            names = block.names()
+            counts = np.bincount(block.anchor_of, minlength=len(block.anchors))
+            only = np.zeros((len(block.anchors), 2), np.uint64)
+            only[block.anchor_of] = names
+            only[counts > 1] = 0
+            for side, places in enumerate(block.places):
+                for b, mine in places:
+                    yield pa.record_batch(
+                        {
+                            "block": pa.array([row["block"]], pa.int64()),
+                            "digest": pa.array([row["digest"]], pa.int64()),
+                            "bucket": pa.array([b], pa.int64()),
+                            "anchors": pa.array([b"" if side else block.anchors[mine].tobytes()], pa.binary()),
+                            "names": pa.array([(names if side else only)[mine].tobytes()], pa.binary()),
+                            "counts": pa.array([pack(np.minimum(block.times[mine], 2) if side else counts[mine])], pa.binary()),
+                        }
+                    )
 
     return tally
 
 
-def _judge(many: int):
+def _group(keys: np.ndarray) -> np.ndarray:
+    """The number of each row's group of equal rows."""
+    order = np.lexsort(keys.T)
+    new = np.r_[True, (keys[order][1:] != keys[order][:-1]).any(axis=1)] if len(order) else np.empty(0, bool)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return of
+
+
+def _of_anchors(anchors: np.ndarray, names: np.ndarray, counts: np.ndarray, many: int) -> np.ndarray:
+    """Whether each anchor has one segment (0), several (1) or over `many` (2). A segment of several blocks may count repeatedly where it isn't its anchor's only one."""
+    of = _group(anchors[:, None])
+    single = counts == 1
+    pair = _group(np.column_stack((anchors, names)))
+    first = np.zeros(len(pair), bool)
+    first[np.unique(pair, return_index=True)[1]] = True
+    total = np.bincount(of, np.where(single, first, counts))[of]
+    return ((total > 1).astype(np.uint8) + (total > many)).astype(np.uint8)
+
+
+def _of_segments(names: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether each segment occurs once (0), or repeatedly (1); of the latter one in all is 2."""
+    of = _group(names)
+    total = np.bincount(of, counts)[of]
+    out = (total > 1).astype(np.uint8)
+    heads = np.unique(of, return_index=True)[1]
+    out[heads] *= 2
+    return out
+
+
+def _judge(many: int, buckets: int):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A verdict on each block's segments, from the segments of all blocks."""
-        for rows in _buckets(batches):
-            sizes = [len(r["anchors"]) // 8 for r in rows]
-            anchors, segments = (np.concatenate([np.frombuffer(r[c], np.uint64) for r in rows]) for c in ("anchors", "segments"))
-            times = 1 + np.concatenate([np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=n) for r, n in zip(rows, sizes, strict=True)]).astype(np.int64)
-            order = np.lexsort((segments, anchors))
-            a, g = anchors[order], segments[order]
-            new = np.r_[True, (a[1:] != a[:-1]) | (g[1:] != g[:-1])]
-            heads = np.flatnonzero(new)
-            total = np.add.reduceat(times[order], heads)
-            other = np.r_[True, a[heads][1:] != a[heads][:-1]]
-            rivals = np.diff(np.r_[np.flatnonzero(other), len(heads)])[np.cumsum(other) - 1]
-            verdict = np.where(total > 1, _REPEAT, np.where(rivals == 1, _UNIQUE, np.where(rivals > many, _OPEN_MANY, _OPEN))).astype(np.uint8)
-            out = np.empty(len(order), np.uint8)
-            out[order] = verdict[np.cumsum(new) - 1]
-            # of a repeated segment with rivals, one copy is sent to be sorted with them
-            sends = (total > 1) & (rivals > 1)
-            out[order[heads[sends]]] = np.where(rivals[sends] > many, _RIVAL_MANY, _RIVAL)
+        """Replies to each block on its anchors and segments, from those of all blocks. The rows of a partition come sorted by bucket."""
+        for rows in runs(rows_of(batches), "bucket"):
+            names = np.concatenate([np.frombuffer(r["names"], np.uint64) for r in rows]).reshape(-1, 2)
+            counts = np.concatenate([unpack(r["counts"]) for r in rows])
+            if rows[0]["bucket"] < buckets:
+                out = _of_anchors(np.concatenate([np.frombuffer(r["anchors"], np.uint64) for r in rows]), names, counts, many)
+            else:
+                out = _of_segments(names, counts)
             end = 0
-            for r, n in zip(rows, sizes, strict=True):
-                yield pa.record_batch({"block": pa.array([r["block"]], pa.int64()), "bucket": pa.array([r["bucket"]], pa.int32()), "verdicts": pa.array([out[end : end + n].tobytes()], pa.binary())})
+            for r in rows:
+                n = len(r["names"]) // 16
+                yield pa.record_batch({"block": pa.array([r["block"]], pa.int64()), "digest": pa.array([r["digest"]], pa.int64()), "bucket": pa.array([r["bucket"]], pa.int64()), "reply": pa.array([out[end : end + n].tobytes()], pa.binary())})
                 end += n
 
     return judge
@@ -279,24 +333,21 @@ def _judge(many: int):
 
 def _send(length: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
+        for row in rows_of(batches):
             block = _Block(row, length, buckets)
-            d = block.details(block.verdicts(row["judged"]))
-            text = block.raw.tobytes()
-            for b in range(buckets):
-                a, z = d["cuts"][b], d["cuts"][b + 1]
-                if a < z:
-                    data = b"".join([text[s : s + w + length - 1] for s, w in zip(d["start"][a:z].tolist(), d["width"][a:z].tolist(), strict=True)])
-                    yield pa.record_batch(
-                        {
-                            "block": pa.array([row["block"]], pa.int64()),
-                            "bucket": pa.array([b], pa.int32()),
-                            "widths": pa.array([d["width"][a:z].astype(np.int32).tobytes()], pa.binary()),
-                            "places": pa.array([d["place"][a:z].astype(np.int32).tobytes()], pa.binary()),
-                            "anchors": pa.array([d["anchor"][a:z].tobytes()], pa.binary()),
-                            "data": pa.array([data], pa.binary()),
-                        }
-                    )
+            d = block.details(block.verdicts(row))
+            for b, mine in d["places"]:
+                yield pa.record_batch(
+                    {
+                        "block": pa.array([row["block"]], pa.int64()),
+                        "digest": pa.array([row["digest"]], pa.int64()),
+                        "bucket": pa.array([b], pa.int64()),
+                        "widths": pa.array([d["width"][mine].astype(np.int32).tobytes()], pa.binary()),
+                        "places": pa.array([d["place"][mine].astype(np.int32).tobytes()], pa.binary()),
+                        "anchors": pa.array([d["anchor"][mine].tobytes()], pa.binary()),
+                        "data": pa.array([b"".join([block.text[s : s + w + length - 1] for s, w in zip(d["start"][mine].tolist(), d["width"][mine].tolist(), strict=True)])], pa.binary()),
+                    }
+                )
 
     return send
 
@@ -389,7 +440,7 @@ def repeated(raw: np.ndarray, suffixes: np.ndarray, group: np.ndarray, length: i
 
 def _resolve(length: int):
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _buckets(batches):
+        for rows in runs(rows_of(batches), "bucket"):
             widths = np.concatenate([np.frombuffer(r["widths"], np.int32) for r in rows]).astype(np.int64)
             places = np.concatenate([np.frombuffer(r["places"], np.int32) for r in rows]).astype(np.int64)
             anchors = np.concatenate([np.frombuffer(r["anchors"], np.uint64) for r in rows])
@@ -419,7 +470,7 @@ def _resolve(length: int):
             end = 0
             for r in rows:
                 n = int(np.frombuffer(r["widths"], np.int32).sum())
-                yield pa.record_batch({"block": pa.array([r["block"]], pa.int64()), "bucket": pa.array([r["bucket"]], pa.int32()), "marks": pa.array([np.packbits(out[end : end + n]).tobytes()], pa.binary())})
+                yield pa.record_batch({"block": pa.array([r["block"]], pa.int64()), "digest": pa.array([r["digest"]], pa.int64()), "bucket": pa.array([r["bucket"]], pa.int64()), "reply": pa.array([np.packbits(out[end : end + n]).tobytes()], pa.binary())})
                 end += n
 
     return resolve
@@ -429,15 +480,18 @@ def _remove(length: int, buckets: int):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kind = batch.schema.field("ids").type.value_type
-            for row in _rows([batch]):
+            for row in rows_of([batch]):
                 block = _Block(row, length, buckets)
-                verdicts = block.verdicts(row["judged"])
+                verdicts = block.verdicts(row)
                 d = block.details(verdicts)
                 marks = np.zeros(int(d["width"].sum()), bool)
                 ends = np.r_[0, np.cumsum(d["width"])]
-                for p in row["resolved"] or ():
-                    a, z = ends[d["cuts"][p["bucket"]]], ends[d["cuts"][p["bucket"] + 1]]
-                    marks[a:z] = np.unpackbits(np.frombuffer(p["marks"], np.uint8), count=z - a)
+                replies = _replies(row, "resolved")
+                for b, mine in d["places"]:
+                    n = d["width"][mine]
+                    reply = _of_length(np.frombuffer(replies.pop(b, b""), np.uint8), -(-int(n.sum()) // 8))
+                    at = np.repeat(ends[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                    marks[at] = np.unpackbits(reply, count=len(at))
                 # coverage as the sum of steps up and down
                 steps = np.zeros(len(block.raw) + 1, np.int32)
                 f = block.found
@@ -487,17 +541,17 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, key: str = "doc_i
         raise ValueError("length must be from 16 to 255")
     spark = documents.sparkSession
     bounded_batches(spark)
-    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or bucket_number(documents)
     source = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
+    reply = "block long not null, digest long, bucket long, reply binary"
+    gathered = lambda df, of, name: df.groupBy(F.col("block").alias(of)).agg(F.collect_list(F.struct("digest", "bucket", "reply")).alias(name))
     # one exchange by block serves all passes over the blocks
-    read = source.mapInArrow(lean(_read), f"block long not null, ids array<{kind}>, sizes binary, text binary").repartition("block")
-    tallies = read.mapInArrow(lean(_tally(length, buckets)), "block long not null, bucket int, anchors binary, segments binary, twice binary")
-    judged = tallies.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_judge(many)), "block long not null, bucket int, verdicts binary")
-    judged = judged.groupBy(F.col("block").alias("b")).agg(F.collect_list(F.struct("bucket", "verdicts")).alias("judged"))
+    read = source.mapInArrow(lean(_read), f"block long not null, digest long, ids array<{kind}>, sizes binary, text binary").repartition("block")
+    tallies = read.mapInArrow(lean(_tally(length, buckets)), "block long not null, digest long, bucket long, anchors binary, names binary, counts binary")
+    judged = gathered(tallies.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_judge(many, buckets)), reply), "b", "judged")
     known = read.join(judged.hint("merge"), F.col("block") == F.col("b"), "left")
-    sent = known.mapInArrow(lean(_send(length, buckets)), "block long not null, bucket int, widths binary, places binary, anchors binary, data binary")
-    resolved = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_resolve(length)), "block long not null, bucket int, marks binary")
-    resolved = resolved.groupBy(F.col("block").alias("c")).agg(F.collect_list(F.struct("bucket", "marks")).alias("resolved"))
+    sent = known.mapInArrow(lean(_send(length, buckets)), "block long not null, digest long, bucket long, widths binary, places binary, anchors binary, data binary")
+    resolved = gathered(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_resolve(length)), reply), "c", "resolved")
     whole = known.join(resolved.hint("merge"), F.col("block") == F.col("c"), "left")
     return whole.mapInArrow(lean(_remove(length, buckets)), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")

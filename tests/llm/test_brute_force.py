@@ -196,25 +196,69 @@ def test_trees_are_written_out_right(spark):
         assert r["x"] == pytest.approx(r["y"])
 
 
-@pytest.mark.parametrize("many", [1000, 1])
-def test_repeats(spark, documents, many):
-    rng = random.Random(2)
+def plain_repeats(texts, length=200):
+    """n_bytes, n_removed, n_spans and what is kept of each text."""
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(b[k : k + length] for b in raw for k in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b) + 1, bool)
+        for k in range(len(b) - length + 1):
+            if count[b[k : k + length]] > 1:
+                gone[k : k + length] = True
+        runs = int((gone[:-1] & ~np.r_[False, gone[:-1]][: len(b)]).sum()) if len(b) else 0
+        out.append((len(b), int(gone.sum()), runs, bytes(x for x, g in zip(b, gone, strict=False) if not g)))
+    return out
+
+
+def texts_with_repeats(rng):
     word = lambda n: "".join(rng.choice("klmnop é") for _ in range(n))
     p = word(260)
     odd = [None, "", "x" * 199, "x" * 200, "x" * 201, "y" * 3000, "ab" * 400, word(300) + p + word(100), word(50) + p[:205] + word(300), word(50) + p[30:231] + word(9), p[10:209], word(5) + p[60:], "é" * 150]
-    odd += [word(150) + p + word(150) for _ in range(30)]
-    texts = dict(enumerate(odd + documents.text.tolist()[:60]))
-    count = Counter(b[k : k + 200] for t in texts.values() for b in [(t or "").encode()] for k in range(len(b) - 199))
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    for r in repeats.remove_repeats(df, many=many).collect():
-        b = (texts[r["doc_id"]] or "").encode()
-        gone = np.zeros(len(b) + 1, bool)
-        for k in range(len(b) - 199):
-            if count[b[k : k + 200]] > 1:
-                gone[k : k + 200] = True
-        runs = int((gone[:-1] & ~np.r_[False, gone[:-1]][: len(b)]).sum()) if len(b) else 0
-        assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(b), int(gone.sum()), runs)
-        assert bytes(r["kept"]) == bytes(x for x, g in zip(b, gone, strict=False) if not g)
+    return odd + [word(150) + p + word(150) for _ in range(30)]
+
+
+@pytest.mark.parametrize("many", [1000, 1])
+def test_repeats(spark, documents, many):
+    texts = texts_with_repeats(random.Random(2)) + documents.text.tolist()[:60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(df, many=many).collect()}
+    assert [got[k] for k in range(len(texts))] == plain_repeats(texts)
+
+
+@pytest.mark.parametrize("many", [1000, 3])
+def test_repeats_where_hashes_collide(monkeypatch, many):
+    """The passes by hand, with hashes of eight bits: collisions are everywhere, in and between blocks."""
+    import pyarrow as pa
+    import zstandard
+
+    stir = repeats._stir
+    monkeypatch.setattr(repeats, "_stir", lambda h: stir(h) & np.uint64(0xFF << 56))
+    rng, buckets, length = random.Random(5), 3, 200
+    texts = texts_with_repeats(rng)[:24]
+    dealt = [[k for k in range(len(texts)) if k % 3 == b] for b in range(3)]
+    blocks = []
+    for n, keys in enumerate(dealt):
+        raw = [(texts[k] or "").encode() for k in keys]
+        blocks.append({"block": n, "digest": 7 + n, "ids": keys, "sizes": np.array([len(x) for x in raw], np.int64).tobytes(), "text": zstandard.compress(b"".join(raw))})
+
+    def run(function, rows):
+        batches = [pa.RecordBatch.from_pylist([r]) for r in rows]
+        return [r for b in function(iter(batches)) for r in b.to_pylist()]
+
+    def answered(rows, function, column):
+        replies = run(function, sorted(rows, key=lambda r: r["bucket"]))
+        return [b | {column: [r for r in replies if r["block"] == b["block"]]} for b in blocks]
+
+    blocks = answered(run(repeats._tally(length, buckets), blocks), repeats._judge(many, buckets), "judged")
+    blocks = answered(run(repeats._send(length, buckets), blocks), repeats._resolve(length), "resolved")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in run(repeats._remove(length, buckets), blocks)}
+    assert [got[k] for k in range(len(texts))] == plain_repeats(texts)
+    for lost in ("judged", "resolved"):
+        with pytest.raises(RuntimeError):
+            run(repeats._remove(length, buckets), [b | {lost: b[lost][1:]} for b in blocks])
+        with pytest.raises(RuntimeError):
+            run(repeats._remove(length, buckets), [b | {"digest": 1} for b in blocks])
 
 
 def test_suffix_sort_orders_like_the_bytes():
