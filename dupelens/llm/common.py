@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker holds at once, one long text excepted.
 BLOCK_BYTES = 8 << 20
 
-#: Bytes of stored input that a bucket of words or strings stands for, and the fewest buckets.
-BUCKET_BYTES = 8 << 20
+#: Bytes of stored input that a bucket of words or strings stands for, the fewest buckets and the most. With more of them a
+#: block would send rows of a few entries; beyond 256 GB of input buckets grow instead, to those of 1.6 GB of input at 100 TB.
+BUCKET_BYTES = 4 << 20
 LEAST_BUCKETS = 16
+MOST_BUCKETS = 1 << 16
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -88,7 +90,8 @@ def bucket_number(df: DataFrame, each: int = BUCKET_BYTES) -> int:
     """
     spark = df.sparkSession
     size = estimated_bytes(df)
-    return max(LEAST_BUCKETS, -(-size // each) if size is not None else 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = -(-size // each) if size is not None else 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(LEAST_BUCKETS, wanted), MOST_BUCKETS)
 
 
 def runs(rows: Iterator[dict], key: str) -> Iterator[list[dict]]:
@@ -159,6 +162,16 @@ def pack(values: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def pack_parts(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """pack() of each part of the values; cuts has the parts' starts and the end of the last."""
+    sizes = np.ones(len(values), np.int8)
+    for shift in (7, 14, 21, 28):
+        sizes += values >= (1 << shift)
+    at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[cuts].tolist()
+    data = pack(values)
+    return [data[a:z] for a, z in zip(at, at[1:], strict=False)]
+
+
 def unpack(data: bytes) -> np.ndarray:
     """The integers that pack() has packed."""
     raw = np.frombuffer(data, dtype=np.uint8)

@@ -11,8 +11,9 @@ The corpus counts cover all training documents and are never gathered in one pla
 n-grams, the tallies travel to the bucket of their hash, are added up there, and the totals go back to the blocks that
 hold the n-gram. Each block then has the part of the automaton that its documents can reach. A block sends one entry for
 an n-gram however often it occurs, and the number of buckets follows the input, so a bucket doesn't grow with it. Words
-travel as 128-bit hashes, so word counts are exact but for one case in 2**128. Longer n-grams travel as hashes of 22 bits more than the bytes of
-the input need (64 at most), sorted, as differences: about one in ten million counts is of two n-grams taken for one.
+travel as 96-bit hashes: two of ten billion distinct words are taken for one in one corpus out of a billion, so word counts
+are exact. Longer n-grams travel as hashes of 22 bits more than the bytes of the input need (64 at most), sorted, as
+differences: about one in ten million of their counts is of two n-grams taken for one.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _Numbers
-from .common import blocks, bounded_batches, bucket_number, estimated_bytes, lean, pack, rows_of, runs, unpack
+from .common import blocks, bounded_batches, bucket_number, estimated_bytes, lean, pack, pack_parts, rows_of, runs, unpack
 
 #: Bytes of text in a block; its n-grams are held at once.
 LM_BLOCK = 8 << 20
@@ -37,9 +39,27 @@ STRENGTH = 100.0
 LANE = 512
 #: Bits of an n-gram's hash beyond those that number the bytes of the input.
 SPARE_BITS = 22
+#: Bytes of a word's hash.
+HASH_BYTES = 12
 _END, _BEGIN = 0, 1
 
 
+def _squeezer():
+    return zstandard.ZstdCompressor(level=1).compress
+
+
+def _unsqueezed(parts: list[bytes]) -> np.ndarray:
+    """The packed integers of all parts."""
+    expand = zstandard.ZstdDecompressor().decompress
+    return unpack(b"".join(map(expand, parts)))
+
+
+def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words as their first eight bytes and the other four."""
+    raw = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
+    return raw[:, :8].copy().view(np.uint64).ravel(), raw[:, 8:].copy().view(np.uint32).ravel()
+
+
 def words_of(text: str) -> list[bytes]:
     """The words of a text, A-Z in lower case; words are runs without space, tab, line feed, vertical tab, form feed, return."""
     return text.encode().lower().split()
@@ -58,7 +78,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks: hashes of the distinct words, and each document as the sequence of their numbers."""
     from pyspark import TaskContext
 
-    task = TaskContext.get().partitionId()
+    task, squeeze = TaskContext.get().partitionId(), _squeezer()
     for n, block in enumerate(blocks(batches, "text", LM_BLOCK)):
         numbers = _Numbers({b"": _END, b" ": _BEGIN})  # no word is empty or a space
         sequences, lengths = [], []
@@ -71,9 +91,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.r_[[_END, _BEGIN], 2 + np.argsort(-counts[2:], kind="stable")]
         renumbered = np.empty(len(order), np.int64)
         renumbered[order] = np.arange(len(order))
-        digests = b"".join(map(xxhash.xxh3_128_digest, numbers))
-        hashes = np.frombuffer(digests, "V16")[order].tobytes()
-        words = b"".join(pack(renumbered[s]) for s in sequences)
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, numbers)), np.uint8).reshape(-1, 16)
+        hashes = digests[order, :HASH_BYTES].tobytes()
+        words = squeeze(b"".join(pack(renumbered[s]) for s in sequences))
         yield pa.record_batch(
             {
                 "block": pa.array([task << 32 | n], pa.int64()),
@@ -93,116 +113,131 @@ class _Block:
     def __init__(self, row: dict, bits: int, buckets: int):
         self.ids, self.held_out = row["ids"], np.array(row["held_out"], bool)
         lengths = unpack(row["lengths"])
-        self.hashes = np.frombuffer(row["hashes"], np.uint64).reshape(-1, 2)
-        words = unpack(row["words"]).astype(np.int32)
+        self.raw_hashes = np.frombuffer(row["hashes"], f"V{HASH_BYTES}")
+        short = _hashes(row["hashes"])[0]
+        words = _unsqueezed([row["words"]]).astype(np.int32)
         self.sizes = lengths + 1
         ends = np.cumsum(self.sizes) - 1
         self.tokens = np.full(len(words) + len(lengths), _END, np.int32)
         body = np.ones(len(self.tokens), bool)
         body[ends] = False
         self.tokens[body] = words
+        del words, body
         self.starts = ends - self.sizes + 1
         contexts = np.empty_like(self.tokens)
         contexts[1:] = self.tokens[:-1]
         contexts[self.starts] = _BEGIN
         learned = ~np.repeat(self.held_out, self.sizes)
-        size = np.int64(len(self.hashes))
-        pairs, self.pair = np.unique(contexts * size + self.tokens, return_inverse=True)
-        self.before, self.after = pairs // size, pairs % size
+        size = np.int64(len(short))
+        pairs, self.pair = _numbered(contexts * size + self.tokens)
+        self.before, self.after = (pairs // size).astype(np.int32), (pairs % size).astype(np.int32)
         # a document's first token has no pair before it
-        self.inner = np.flatnonzero(contexts != _BEGIN)
-        triples, triple = np.unique(self.pair[self.inner - 1] * size + self.tokens[self.inner], return_inverse=True)
-        self.triple = np.full(len(self.tokens), -1, np.int64)
-        self.triple[self.inner] = triple
-        self.history, self.last = triples // size, triples % size
-        short = self.hashes[:, 0]
+        inner = np.flatnonzero(contexts != _BEGIN)
+        del contexts
+        triples, triple = _numbered(self.pair[inner - 1] * size + self.tokens[inner])
+        self.triple = np.full(len(self.tokens), -1, np.int32)
+        self.triple[inner] = triple
+        self.history, self.last = (triples // size).astype(np.int32), (triples % size).astype(np.int32)
+        unigrams = np.bincount(self.tokens[learned], minlength=len(short))
+        unigrams[_BEGIN] = (~self.held_out).sum()  # a context, never a token
+        self.tallies = unigrams, np.concatenate((np.bincount(self.pair[learned], minlength=len(pairs)), np.bincount(triple[learned[inner]], minlength=len(triples))))
+        del pairs, triples, triple, inner
         two = _mix(short[self.before], short[self.after])
         grams = np.concatenate((two, _mix(two[self.history] + np.uint64(3), short[self.last]))) >> np.uint64(64 - bits)
-        unigrams = np.bincount(self.tokens[learned], minlength=len(self.hashes))
-        unigrams[_BEGIN] = (~self.held_out).sum()  # a context, never a token
-        self.tallies = unigrams, np.concatenate((np.bincount(self.pair[learned], minlength=len(pairs)), np.bincount(triple[learned[self.inner]], minlength=len(triples))))
         # both kinds sorted by hash, which is by bucket too
-        self.order = np.argsort(self.hashes[:, 1], kind="stable"), np.argsort(grams, kind="stable")
-        self.grams = self.hashes[self.order[0]], grams[self.order[1]]
+        self.order = np.argsort(short, kind="stable"), np.argsort(grams, kind="stable")
+        self.grams = grams[self.order[1]]
         scale = np.uint64(buckets)
-        self.bucket = ((self.grams[0][:, 1] >> np.uint64(32)) * scale >> np.uint64(32)).astype(np.int64), ((self.grams[1] >> np.uint64(bits - 32)) * scale >> np.uint64(32)).astype(np.int64)
+        dealt = [(x * scale >> np.uint64(32)).astype(np.int32) for x in (short[self.order[0]] >> np.uint64(32), self.grams >> np.uint64(bits - 32))]
+        #: The buckets that have something, and where they begin in either order, and the ends.
+        self.buckets = np.unique(np.concatenate([np.unique(x) for x in dealt]))
+        self.cuts = [np.append(np.searchsorted(x, self.buckets), len(x)) for x in dealt]
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the number of each key."""
+    every, at = np.unique(keys, return_inverse=True)
+    return every, at.astype(np.int32)
+
 
-    def cuts(self) -> Iterator[tuple[int, slice, slice]]:
-        """The buckets that have something, and where it is in either order."""
-        for b in np.unique(np.concatenate(self.bucket)).tolist():
-            yield b, *(slice(*np.searchsorted(x, (b, b + 1))) for x in self.bucket)
+def _slices(data: bytes, cuts: np.ndarray, width: int) -> list[bytes]:
+    at = (cuts * width).tolist()
+    return [data[a:z] for a, z in zip(at, at[1:], strict=False)]
 
 
 def _tally(bits: int, buckets: int):
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = _squeezer()
         for row in rows_of(batches):
             block = _Block(row, bits, buckets)
+            one, more = block.cuts
             counts = [c[o] for c, o in zip(block.tallies, block.order, strict=True)]
-            for b, one, more in block.cuts():
-                steps = np.diff(block.grams[1][more], prepend=np.uint64(0))
-                yield pa.record_batch(
-                    {
-                        "block": pa.array([row["block"]], pa.int64()),
-                        "digest": pa.array([row["digest"]], pa.int64()),
-                        "bucket": pa.array([b], pa.int32()),
-                        "words": pa.array([block.grams[0][one].tobytes()], pa.binary()),
-                        "word_counts": pa.array([pack(counts[0][one])], pa.binary()),
-                        "begin": pa.array([_place(block.order[0][one])], pa.int32()),
-                        "low": pa.array([steps.astype(np.uint32).tobytes()], pa.binary()),
-                        "high": pa.array([pack(steps >> np.uint64(32))], pa.binary()),
-                        "counts": pa.array([pack(counts[1][more])], pa.binary()),
-                    }
-                )
+            steps = np.diff(block.grams, prepend=np.uint64(0))
+            heads = more[:-1][np.diff(more) > 0]
+            steps[heads] = block.grams[heads]
+            begin = np.full(len(block.buckets), -1)
+            place = int(np.flatnonzero(block.order[0] == _BEGIN)[0])
+            at = int(np.searchsorted(one, place, "right")) - 1
+            begin[at] = place - one[at]
+            n = len(block.buckets)
+            columns = {
+                "block": pa.array([row["block"]] * n, pa.int64()),
+                "digest": pa.array([row["digest"]] * n, pa.int64()),
+                "bucket": pa.array(block.buckets, pa.int32()),
+                "words": pa.array(_slices(block.raw_hashes[block.order[0]].tobytes(), one, HASH_BYTES), pa.binary()),
+                "word_counts": pa.array([squeeze(x) for x in pack_parts(counts[0], one)], pa.binary()),
+                "begin": pa.array(begin, pa.int32()),
+                "low": pa.array(_slices(steps.astype(np.uint32).tobytes(), more, 4), pa.binary()),
+                "high": pa.array([squeeze(x) for x in pack_parts(steps >> np.uint64(32), more)], pa.binary()),
+                "counts": pa.array([squeeze(x) for x in pack_parts(counts[1], more)], pa.binary()),
+            }
+            del block, counts, steps
+            whole = pa.record_batch(columns)
+            for k in range(0, n, 500):
+                yield whole.slice(k, 500)
 
     return tally
 
 
-def _place(order: np.ndarray) -> int:
-    """Where the mark of a beginning stands among words, or -1."""
-    at = np.flatnonzero(order == _BEGIN)
-    return int(at[0]) if len(at) else -1
-
-
-def _added(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The total count of each key, at its places."""
-    every, at = np.unique(keys, return_inverse=True)
-    return np.bincount(at, counts, len(every)).astype(np.int64)[at]
-
-
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Totals of the n-grams of each bucket, for each of its blocks; the first row of a bucket has its tokens and distinct words.
 
     The rows of a partition come sorted by bucket, so one bucket is held at a time.
     """
-    for rows in runs(rows_of(batches), "bucket"):
-        words = np.concatenate([np.frombuffer(r["words"], np.uint64).reshape(-1, 2) for r in rows])
-        order = np.lexsort((words[:, 0], words[:, 1]))
-        new = np.r_[True, (words[order][1:] != words[order][:-1]).any(axis=1)] if len(order) else np.empty(0, bool)
+    squeeze = _squeezer()
+    for rows in runs((r for batch in batches for r in batch.to_pylist()), "bucket"):
+        column = lambda c: [r[c] for r in rows]  # noqa: B023, E731
+        high, low = _hashes(b"".join(column("words")))
+        order = np.lexsort((low, high))
+        new = np.r_[True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])] if len(order) else np.empty(0, bool)
         name = np.empty(len(order), np.int64)
         name[order] = np.cumsum(new) - 1
-        sizes = [len(r["words"]) // 16 for r in rows]
-        ends = np.cumsum(sizes)
-        one = np.concatenate([unpack(r["word_counts"]) for r in rows])
-        total = np.bincount(name, one, int(new.sum())).astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum([len(w) // HASH_BYTES for w in column("words")])))
+        total = np.bincount(name, _unsqueezed(column("word_counts")), int(new.sum())).astype(np.int64)
         token = np.ones(len(total), bool)
-        token[[name[e - n + r["begin"]] for r, e, n in zip(rows, ends, sizes, strict=True) if r["begin"] >= 0]] = False
-        grams = [np.cumsum(np.frombuffer(r["low"], np.uint32).astype(np.uint64) + (unpack(r["high"]).astype(np.uint64) << np.uint64(32)), dtype=np.uint64) for r in rows]
-        more = _added(np.concatenate(grams), np.concatenate([unpack(r["counts"]) for r in rows]))
-        stops = np.cumsum([len(g) for g in grams])
+        token[[name[e + b] for e, b in zip(ends.tolist(), column("begin"), strict=False) if b >= 0]] = False
+        stops = np.concatenate(([0], np.cumsum([len(x) // 4 for x in column("low")])))
+        steps = np.frombuffer(b"".join(column("low")), np.uint32).astype(np.uint64) + (_unsqueezed(column("high")).astype(np.uint64) << np.uint64(32))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(steps, dtype=np.uint64)))
+        grams = sums[1:] - np.repeat(sums[stops[:-1]], np.diff(stops))
+        every, at = np.unique(grams, return_inverse=True)
+        more = np.bincount(at, _unsqueezed(column("counts")), len(every)).astype(np.int64)
         if max(total.max(initial=0), more.max(initial=0)) >= 1 << 32:
             raise OverflowError("an n-gram occurs over 2**32 times")
-        for k, r in enumerate(rows):
-            yield pa.record_batch(
-                {
-                    "block": pa.array([r["block"]], pa.int64()),
-                    "digest": pa.array([r["digest"]], pa.int64()),
-                    "bucket": pa.array([r["bucket"]], pa.int32()),
-                    "word_totals": pa.array([pack(total[name[ends[k] - sizes[k] : ends[k]]])], pa.binary()),
-                    "totals": pa.array([pack(more[stops[k] - len(grams[k]) : stops[k]])], pa.binary()),
-                    "tokens": pa.array([0 if k else int(total[token].sum())], pa.int64()),
-                    "distinct": pa.array([0 if k else int((total[token] > 0).sum())], pa.int64()),
-                }
-            )
+        first = np.arange(len(rows)) == 0
+        whole = pa.record_batch(
+            {
+                "block": pa.array(column("block"), pa.int64()),
+                "digest": pa.array(column("digest"), pa.int64()),
+                "bucket": pa.array(column("bucket"), pa.int32()),
+                "word_totals": pa.array([squeeze(x) for x in pack_parts(total[name], ends)], pa.binary()),
+                "totals": pa.array([squeeze(x) for x in pack_parts(more[at], stops)], pa.binary()),
+                "tokens": pa.array(np.where(first, total[token].sum(), 0), pa.int64()),
+                "distinct": pa.array(np.where(first, (total[token] > 0).sum(), 0), pa.int64()),
+            }
+        )
+        for k in range(0, len(rows), 500):
+            yield whole.slice(k, 500)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +263,8 @@ class Automaton:
         # the pair of a triple's last two words
         self.root, self.arc = np.log10(unigram), np.log10(bigram)
         self.seen, self.seen_long = pairs > 0, triples > 0
-        place = np.searchsorted(before * len(words) + after, after[history] * len(words) + last)
+        size = np.int64(len(words))
+        place = np.searchsorted(before * size + after, after[history] * size + last)
         self.arc_long = np.log10((triples + strength * bigram[place]) / (pairs[history] + strength))
         self.first = 1 + len(words)
         #: Where failure arcs lead, and what they weigh.
@@ -293,16 +329,16 @@ def _score(strength: float, bits: int, buckets: int):
             kind = batch.schema.field("ids").type.value_type
             for row in rows_of([batch]):
                 block = _Block(row, bits, buckets)
-                counts = [np.full(len(o), -1, np.int64) for o in block.order]
-                found = {p["bucket"]: p for p in row["found"] or ()}
-                for b, *places in block.cuts():
-                    part = found.pop(b, None)
-                    if part is None or part["digest"] != row["digest"]:
-                        raise RuntimeError("a block and its counts are of different runs; the stage has to run again")
-                    for c, o, place, totals in zip(counts, block.order, places, (part["word_totals"], part["totals"]), strict=True):
-                        c[o[place]] = unpack(totals)
-                if found:
-                    raise RuntimeError("a block has counts of another one; the stage has to run again")
+                parts = sorted(row["found"] or (), key=lambda p: p["bucket"])
+                if [p["bucket"] for p in parts] != block.buckets.tolist() or any(p["digest"] != row["digest"] for p in parts):
+                    raise RuntimeError("a block and its counts are of different runs; the stage has to run again")
+                counts = []
+                for order, column in zip(block.order, ("word_totals", "totals"), strict=True):
+                    c = np.empty(len(order), np.int64)
+                    c[order] = _unsqueezed([p[column] for p in parts])
+                    counts.append(c)
+                del parts
+                row["found"] = None
                 words, longer = counts
                 n, v = int(row["sums"]["n"]), int(row["sums"]["v"])
                 machine = Automaton((words, longer[: len(block.before)], longer[len(block.before) :]), block.before, block.after, block.history, block.last, n, v, strength)

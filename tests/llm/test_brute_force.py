@@ -414,6 +414,8 @@ def test_lm(spark, small, documents):
 
 
 def test_the_automaton_follows_chains_of_failures(monkeypatch):
+    import zstandard
+
     from dupelens.llm import lm
     from dupelens.llm.common import pack
 
@@ -421,7 +423,7 @@ def test_the_automaton_follows_chains_of_failures(monkeypatch):
     rng = np.random.default_rng(3)
     sizes = [0, 1, 2, 5, 40, 100, 7, 13, 14]
     texts = [rng.integers(2, 8, n) for n in sizes]
-    row = {"ids": list(range(9)), "held_out": [k % 2 == 0 for k in range(9)], "lengths": pack(np.array(sizes)), "words": b"".join(pack(t) for t in texts), "hashes": rng.bytes(16 * 8)}
+    row = {"ids": list(range(9)), "held_out": [k % 2 == 0 for k in range(9)], "lengths": pack(np.array(sizes)), "words": zstandard.compress(b"".join(pack(t) for t in texts)), "hashes": rng.bytes(lm.HASH_BYTES * 8)}
     block = lm._Block(row, 64, 16)
     words, longer = block.tallies
     pairs, triples = longer[: len(block.before)], longer[len(block.before) :]
