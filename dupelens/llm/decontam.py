@@ -1,21 +1,34 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, with DataFrame functions only.
 
 A test item counts as found in a document if the document has at least `threshold` of the item's distinct word shingles.
-Items are partitioned by the logarithm of their number of shingles. The bottom sketch of an item, in its partition, is
-the `r` shingles of the lowest hashes, where r is one more than the shingles that may be missing; a document that
-contains enough of the item must hold one of them, so no contained item is lost however long the document is. Documents
-are probed with their own low hashes, up to the highest in any sketch. Candidates are verified by the shingles
-themselves.
+Items are partitioned by the logarithm of their number of shingles. The bottom sketch of an item is the `r` shingles of
+the lowest hashes, where r is one more than the shingles that may be missing; a document that contains enough of the item
+must hold one of them, so no contained item is lost however long the document is. Each partition has a highest hash and a
+least number of shingles: a hash of a document is looked up in a partition only below the one, and only if the document
+is long enough for its items. A table of slots tells by a hash which partitions may have it in a sketch, and documents
+without a hit are done.
+
+What is left is verified where it stands: the shingles that may be an item's are joined, as text, with the items, and
+counted. Texts are not moved.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sketch entries, and bytes of item texts, up to which the items' side is broadcast; beyond them joins are shuffled.
+from .common import use_shared_folder
+
+#: Shingles of all items, and bytes of item texts, up to which the items' side is broadcast; beyond them joins are shuffled.
 BROADCAST_ENTRIES = 500_000
 BROADCAST_BYTES = 16 << 20
+#: Contaminated rows up to which their hashes are broadcast to take them out.
+BROADCAST_ROWS = 1_000_000
+#: Slots for each shingle of the items, and the most slots.
+SLOTS, MOST_SLOTS = 16, 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -52,8 +65,40 @@ def clean(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     name = "_row_hash"
     while any(c.lower() == name for c in documents.columns):
         name += "_"
-    found = contaminated(documents, benchmark, key, text, **options).select(F.col("row").alias(f"{name}found")).distinct()
-    return documents.withColumn(name, row_hash(key, text)).join(found, F.col(name) == F.col(f"{name}found"), "left_anti").drop(name)
+    use_shared_folder(documents.sparkSession)
+    found = contaminated(documents, benchmark, key, text, **options).select(F.col("row").alias(f"{name}found")).distinct().checkpoint()
+    side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found.hint("merge")
+    return documents.withColumn(name, row_hash(key, text)).join(side, F.col(name) == F.col(f"{name}found"), "left_anti").drop(name)
+
+
+def item_shingles(benchmark: DataFrame, item: str, item_text: str, words: int, threshold: float) -> DataFrame:
+    """A row for each shingle of an item: item (a hash of id and text), item_id, n (shingles of the item), need (how many make it found), partition, h, s, and low, whether it is in the bottom sketch."""
+    every = _windows(words_of(F.col("t")), words, lambda w: F.struct(F.xxhash64(w).alias("h"), F.array_join(w, " ").alias("s")))
+    items = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("t")).distinct()
+    items = items.select("item_id", F.xxhash64("item_id", "t").alias("item"), F.array_distinct(every).alias("own")).where(F.size("own") > 0)
+    items = items.withColumn("n", F.size("own")).withColumn("need", F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int"))
+    # with n shingles of which `need` must be present, any n - need + 1 of them include one that is
+    highest = F.element_at(F.slice(F.array_sort(F.array_distinct("own.h")), F.lit(1), F.col("n") - F.col("need") + 1), -1)
+    items = items.select("item", "item_id", "n", "need", F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("partition"), highest.alias("highest"), F.explode("own").alias("x"))
+    return items.select("item", "item_id", "n", "need", "partition", "x.h", "x.s", (F.col("x.h") <= F.col("highest")).alias("low"))
+
+
+def _slot(h: Column, slots: int) -> Column:
+    return F.pmod(h, F.lit(slots)).cast("int")
+
+
+def _tables(items: DataFrame, slots: int) -> tuple[bytes, list]:
+    """A byte for each slot, and partition, highest sketched hash and least `need` of each partition.
+
+    The byte is 0 if no shingle is in the slot and 1 if none of a sketch is, p + 2 if one of partition p is, and 255 if
+    several partitions have one. Both are of bounded size.
+    """
+    code = F.when(F.count_distinct(F.when(F.col("low"), F.col("partition"))) > 1, 255).otherwise(F.coalesce(F.max(F.when(F.col("low"), F.col("partition"))) + 2, F.lit(1)))
+    marks = items.groupBy(_slot(F.col("h"), slots).alias("slot")).agg(code.cast("int").alias("code"))
+    filled = items.sparkSession.range(slots).join(F.broadcast(marks), F.col("id") == F.col("slot"), "left").select("id", F.lpad(F.hex(F.coalesce("code", F.lit(0))), 2, "0").alias("code"))
+    listed = filled.agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "code"))), lambda x: x["code"]), "")).alias("b")).first()["b"]
+    parts = items.groupBy("partition").agg(F.max(F.when(F.col("low"), F.col("h"))).alias("high"), F.min("need").alias("need")).collect()
+    return bytes(listed), parts
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -63,26 +108,41 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     shingle, its whole sequence. Items that repeat id and text count once; documents that repeat give their rows
     repeatedly. Null ids are kept. Either table may be empty; other columns are ignored.
     """
-    items = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("t")).distinct()
-    items = items.select("item_id", F.xxhash64("item_id", "t").alias("item"), F.length("t").alias("size"), shingles(words_of(F.col("t")), words).alias("own")).where(F.size("own") > 0)
-    items = items.withColumn("partition", F.floor(F.log2(F.size("own").cast("double"))).cast("int"))
-    # with n shingles of which ceil(threshold * n) must be present, any r = n - ceil(threshold * n) + 1 include one
-    need = F.ceil(F.size("own") * F.lit(threshold) - F.lit(1e-9)).cast("int")
-    hashes = F.array_sort(F.array_distinct(shingle_hashes(words_of(F.col("t")), words)))
-    sketches = benchmark.select(F.col(item).alias("item_id"), F.col(item_text).alias("t")).distinct().select(F.xxhash64("item_id", "t").alias("item"), hashes.alias("own")).where(F.size("own") > 0)
-    sketches = sketches.select("item", F.floor(F.log2(F.size("own").cast("double"))).cast("int").alias("partition"), F.explode(F.slice(F.col("own"), F.lit(1), F.size("own") - need + 1)).alias("low"))
-    bounds = sketches.agg(F.count("*").alias("n"), F.max("low").alias("high")).first()
-    small = bounds["n"] <= BROADCAST_ENTRIES and (items.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()["b"]) * words <= BROADCAST_BYTES
-    side = F.broadcast if small else (lambda x: x.hint("merge"))
-
-    source = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
-    row = row_hash("doc_id", "t").alias("row")
-    probes = source.select(row, words_of(F.col("t")).alias("w")).select("row", F.explode(shingle_hashes(F.col("w"), words)).alias("h")).where(F.col("h") <= F.lit(bounds["high"] if bounds["high"] is not None else -(2**63)))
-    candidates = probes.join(side(sketches), F.col("h") == F.col("low")).select("row", "item").distinct()
-
-    # exact containment in the candidate documents
-    held = candidates.withColumnRenamed("row", "r").join(side(items.select("item", "item_id", "own")), "item")
-    rows = source.select("doc_id", "t", row).join(held, F.col("row") == F.col("r"))
-    found = rows.withColumn("n_found", F.size(F.array_intersect(F.col("own"), shingles(words_of(F.col("t")), words))))
-    found = found.select("doc_id", "item_id", F.size("own").alias("n_shingles"), "n_found", (F.col("n_found") / F.size("own")).alias("containment"), "row")
-    return found.where(F.col("n_found") >= F.ceil(F.col("n_shingles") * F.lit(threshold) - F.lit(1e-9)))
+    use_shared_folder(documents.sparkSession)
+    items = item_shingles(benchmark, item, item_text, words, threshold).checkpoint()
+    total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("s")), F.lit(0)).alias("b")).first()
+    small = total["n"] <= BROADCAST_ENTRIES and total["b"] <= BROADCAST_BYTES * words
+    rows = documents.select(F.col(key).alias("doc_id"), row_hash(key, text).alias("row"), words_of(F.col(text)).alias("w"))
+    own = lambda w: F.struct(F.xxhash64(w).alias("h"), F.array_join(w, " ").alias("s"))
+    if small:
+        slots = 1 << min(MOST_SLOTS.bit_length() - 1, max(10, (SLOTS * total["n"]).bit_length()))
+        listed, parts = _tables(items, slots)
+        byte = lambda n: F.lit(bytearray([n]))
+        table = F.lit(bytearray(listed))
+        mark = lambda h: F.substring(table, _slot(h, slots) + 1, F.lit(1))
+
+        def sketched(hashes: Column) -> Column:
+            """Whether a hash is one of a sketch in a partition that the document is long enough for."""
+            reach = [(byte(p["partition"] + 2), F.lit(p["high"]), F.size(hashes) >= p["need"]) for p in parts]
+            within = lambda h, m: reduce(or_, [((m == code) | (m == byte(255))) & (h <= high) & long for code, high, long in reach], F.lit(False))
+            return F.exists(hashes, lambda h: F.when(mark(h) > byte(1), within(h, mark(h))).otherwise(F.lit(False)))
+
+        rows = rows.where(F.transform(F.array(shingle_hashes(F.col("w"), words)), sketched)[0])
+        mine = _windows(F.col("w"), words, lambda w: F.when(mark(F.xxhash64(w)) > byte(0), own(w)))
+        mine = F.filter(mine, lambda x: x.isNotNull())
+    else:
+        # hashes alone find the documents that hold a sketched one; only these are moved
+        low = items.where("low").select(F.col("h").alias("lh")).distinct()
+        highest = low.agg(F.coalesce(F.max("lh"), F.lit(-(1 << 63)))).first()[0]
+        probes = rows.select("row", F.explode(F.filter(shingle_hashes(F.col("w"), words), lambda h: h <= F.lit(highest))).alias("ph"))
+        near = probes.join(low.hint("merge"), F.col("ph") == F.col("lh"), "left_semi").select(F.col("row").alias("r")).distinct()
+        rows = rows.join(near, F.col("row") == F.col("r"), "left_semi")
+        mine = _windows(F.col("w"), words, own)
+    side = F.broadcast(items) if small else items.hint("merge")
+    shown = rows.select("doc_id", "row", F.explode(F.array_distinct(mine)).alias("x")).select("doc_id", "row", F.col("x.h").alias("dh"), F.col("x.s").alias("ds"))
+    hits = shown.join(side, (F.col("dh") == F.col("h")) & (F.col("ds") == F.col("s")))
+    # rows that repeat come as often as they occur: so many times does each shingle of theirs
+    counted = hits.groupBy("row", "doc_id", "item", "item_id", "n", "need", "s").agg(F.count("*").alias("copies"), F.max("low").alias("low"))
+    counted = counted.groupBy("row", "doc_id", "item", "item_id", "n", "need").agg(F.count("*").cast("int").alias("n_found"), F.max("copies").cast("int").alias("copies"), F.max("low").alias("low"))
+    found = counted.where("low and n_found >= need").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return found.select("doc_id", "item_id", F.col("n").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("n")).alias("containment"), "row")

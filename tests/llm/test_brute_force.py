@@ -451,9 +451,13 @@ def test_the_automaton_follows_chains_of_failures(monkeypatch):
     assert chains[1] and chains[2] and got == pytest.approx(np.array(want), rel=1e-12)
 
 
-def test_contamination(spark, small, documents):
+@pytest.mark.parametrize("entries", [decontam.BROADCAST_ENTRIES, 0])
+def test_contamination(spark, small, documents, monkeypatch, entries):
     import regex
 
+    monkeypatch.setattr(decontam, "BROADCAST_ENTRIES", entries)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", entries)
+
     def shingles(t):
         w = regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
         return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -467,6 +471,13 @@ def test_contamination(spark, small, documents):
     want = {(d, k) for d, t in texts.items() for s in [shingles(t)] for k, o in own.items() if len(o & s) >= 0.8 * len(o) - 1e-9}
     got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
     assert got == want and (90001, items.item_id[0]) in got and (90002, items.item_id[0]) not in got
+    benchmark = spark.read.parquet(f"{small}/benchmark.parquet")
+    assert {r["doc_id"] for r in decontam.clean(df, benchmark).collect()} == set(texts) - {d for d, _ in want}
+    # items of one to four shingles, and of hundreds; rows that repeat
+    sized = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(n))) for k, n in enumerate((1, 3, 5, 6, 8, 30, 600))], "item_id long, text string")
+    held = sized.selectExpr("item_id as doc_id", "concat('before ', text, ' after') as text")
+    found = sorted((r["doc_id"], r["item_id"], r["n_found"] == r["n_shingles"]) for r in decontam.contaminated(held.union(held), sized).collect())
+    assert found == sorted([(k, k, True) for k in (2, 3, 4, 5, 6)] * 2)
 
 
 def test_recall_of_neighbours(spark, small):
