@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.porter import stemmed
 from ..functions.text import process_html, tokens
 from .index import materialise
 
@@ -69,8 +70,8 @@ def build_corpus(questions: DataFrame, answers: DataFrame, html: bool = True) ->
 
 
 def tokenize(corpus: DataFrame, stop_words: list[str] | None = None) -> DataFrame:
-    """The corpus with its parts as token arrays."""
-    cut = (lambda c: tokens(F.col(c))) if stop_words is None else (lambda c: tokens(F.col(c), stop_words))
+    """The corpus with its parts as arrays of stemmed tokens."""
+    cut = (lambda c: stemmed(tokens(F.col(c)))) if stop_words is None else (lambda c: stemmed(tokens(F.col(c), stop_words)))
     df = corpus.select("id", "corpus_index", "n_answers", *[cut(c).alias(c) for c in ("title", "body", "tags", "answer")])
     df = df.withColumn("title_body", F.concat("title", "body")).withColumn("title_body_tags", F.concat("title_body", "tags"))
     return df.withColumn("title_body_tags_answer", F.concat("title_body_tags", "answer"))

@@ -10,6 +10,8 @@ from .corpus import dense_index
 SEED = 42
 NOISE_SHARE = 0.2
 TEST_SHARE = 0.2
+#: Rows of a sample that one task may merge.
+SMALL_SAMPLE = 50_000
 
 
 def lot(key: str | Column, seed: int = SEED) -> Column:
@@ -19,10 +21,16 @@ def lot(key: str | Column, seed: int = SEED) -> Column:
 
 
 def sample(rows: DataFrame, n: int, key: str = "id", seed: int = SEED, clip: bool = False) -> DataFrame:
-    """n rows without replacement. Fewer rows are an error unless clip is set."""
+    """n rows without replacement, by the key, which is unique. Fewer rows are an error unless clip is set.
+
+    A small sample is the top of the lots; a large one is cut off their numbered order, so that no task merges it.
+    """
     if not clip and (there := rows.count()) < n:
         raise ValueError(f"{n} rows asked for, {there} there")
-    return rows.orderBy(lot(key, seed), key).limit(n)
+    if n <= SMALL_SAMPLE:
+        return rows.orderBy(lot(key, seed), key).limit(n)
+    drawn = F.concat_ws(":", lot(key, seed), F.col(key).cast("string"))
+    return dense_index(rows.withColumn("_lot", drawn), "_lot", "_n").where(F.col("_n") < n).drop("_lot", "_n")
 
 
 def half_even(x: float) -> int:

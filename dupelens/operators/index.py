@@ -6,18 +6,37 @@ A postings table is read several times by a similarity join, so callers write it
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BM25_K1, BM25_B, BM25_EPSILON = 0.05, 0.03, 0.25
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """df, computed once, in the folder of spark.checkpoint.dir; where none is set, in a temporary one."""
-    context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where none is set, a temporary one in local mode, and an error on a cluster."""
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return path
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """df, computed once, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -26,6 +45,12 @@ def term_freq(tokenized: DataFrame, part: str, key: str = "id") -> DataFrame:
     return tokenized.select(F.col(key).alias("id"), F.explode(part).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
+def words_of_terms(tf: DataFrame) -> DataFrame:
+    """id, term, tf by the rule of TF-IDF: terms are the runs of two or more word characters in the tokens, in lower case."""
+    words = F.explode(F.regexp_extract_all(F.lower("term"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)))
+    return tf.select("id", words.alias("term"), "tf").groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+
+
 def doc_freq(tf: DataFrame) -> DataFrame:
     """term, df."""
     return tf.groupBy("term").agg(F.count("*").alias("df"))

@@ -96,7 +96,7 @@ def vector_pairs(pairs: DataFrame, vectors: DataFrame, measure: Callable[[Column
 #: Sparse measures by name: from term frequencies and the number of documents to a table of weights, and from it to scores.
 SPARSE: dict[str, tuple[Callable, Callable]] = {
     "jaccard": (lambda tf, n: tf, jaccard_scores),
-    "tfidf": (index.tfidf, tfidf_scores),
+    "tfidf": (lambda tf, n: index.tfidf(index.words_of_terms(tf), n), tfidf_scores),
     "bm25": (lambda tf, n: index.bm25(tf, index.lengths_of(tf), n), bm25_scores),
 }
 DENSE: dict[str, Callable[[Column, Column], Column]] = {"topic": cosine, "topic_jsd": jensen_shannon, "doc2vec": cosine, "dense": cosine}

@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
-from ..functions.text import HTML_RULES, PUNCTUATION, SPACE, STOP_WORDS, STRIP_RULES
-from ..operators.index import BM25_B, BM25_EPSILON, BM25_K1
+# Written for DuckDB from the study's rules, apart from the engine's own expressions.
+
+BM25_K1, BM25_B, BM25_EPSILON = 0.05, 0.03, 0.25
+
+# The default stop words, by their first letters.
+STOP = """about above after again against all also and any are because been before being below between both but
+can cannot could did does doing down during each even every few for from further had has have having her here hers him his how
+into its itself just made make many may more most much must myself neither never nor not now off once one only other our ours
+out over own per perhaps please rather same seem several she should since some still such than that the their theirs them then
+there these they this those through thus too under until upon very via was well were what when where which while who whom whose
+why will with within without would yet you your yours"""
+
+# The suffixes of the stemming algorithm's second to fourth steps.
+STEP_2 = "ational ate, tional tion, enci ence, anci ance, izer ize, bli ble, alli al, entli ent, eli e, ousli ous, ization ize, ation ate, ator ate, alism al, iveness ive, fulness ful, ousness ous, aliti al, iviti ive, biliti ble, logi log"
+STEP_3 = "icate ic, ative , alize al, iciti ic, ical ic, ful , ness "
+STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
 
 PART = "title_body_tags_answer"
 TOP = 20
@@ -14,23 +28,69 @@ def _quoted(text: str) -> str:
 
 
 def _tokens(expr: str) -> str:
-    """Tokens of a text, as functions.text.tokens gives them."""
-    plain = f"regexp_replace(lower({expr}), '<([^>]+)>', '', 'g')"
-    plain = f"regexp_replace({plain}, {_quoted(PUNCTUATION)}, ' ', 'g')"
-    plain = f"regexp_replace(regexp_replace({plain}, '[0-9]+', '', 'g'), {_quoted(SPACE)}, ' ', 'g')"
-    stop = ", ".join(map(_quoted, STOP_WORDS))
+    """Words of a text: lower case, tags off, punctuation to spaces, digits off, no stop words, three letters at least."""
+    plain = f"regexp_replace(lower({expr}), '<[^>]+>', '', 'g')"
+    plain = f"regexp_replace({plain}, '[[:punct:]]', ' ', 'g')"
+    plain = f"regexp_replace(regexp_replace({plain}, '[0-9]', '', 'g'), '[[:space:]]+', ' ', 'g')"
+    stop = ", ".join(map(_quoted, STOP.split()))
     return f"list_filter(string_split({plain}, ' '), lambda t: length(t) >= 3 AND t NOT IN ({stop}))"
 
 
 def _html(expr: str) -> str:
-    """Text of HTML, as functions.text.process_html gives it."""
-    expr = f"lower({expr})"
-    for pattern, by in (*HTML_RULES, *STRIP_RULES):
-        pattern = pattern.replace("(?sU)", "(?s)").replace(r"[\x08\s]", r"[\x08\s]")
+    """Text of HTML: code, links and images by words, then no comments, scripts, styles and tags, then entities."""
+    expr = f"replace(lower({expr}), chr(10), ' ')"
+    for pattern, by in (
+        ("(?s)<code>.*?</code>", " codesnippet "), ("(?s)<a.*?https?://.*?[\\x08\\s]?>", " url "), ("(?s)https?://.*?([\\x08\\s]|\\z)", " url "), ("(?s)<img.*?>", " img "),
+        ("(?s)<!--.*?-->", ""), ("(?s)<script[^>]*>.*?</script>", ""), ("(?s)<style[^>]*>.*?</style>", ""), ("<[a-z/!][^>]*>", ""),
+    ):
         expr = f"regexp_replace({expr}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        expr = f"replace({expr}, {_quoted(name)}, {_quoted(char)})"
     return expr
 
 
+def _shape(word: str) -> str:
+    """V for vowels and C for consonants; y is a vowel after a consonant."""
+    shape = f"regexp_replace({word}, '[aeiou]', 'V', 'g')"
+    shape = f"regexp_replace({shape}, '([^Vy])y', '\\1V', 'g')"
+    shape = f"regexp_replace(regexp_replace({shape}, '^y', 'C'), 'Vy', 'VC', 'g')"
+    shape = f"regexp_replace(regexp_replace({shape}, 'Cy', 'CV', 'g'), 'Vy', 'VC', 'g')"
+    return f"regexp_replace({shape}, '[^V]', 'C', 'g')"
+
+
+def _many(word: str, least: int = 1) -> str:
+    """Whether vowels are followed by consonants so many times."""
+    return f"regexp_matches({_shape(word)}, '{'V+C+' * least}')"
+
+
+def _short_end(word: str) -> str:
+    return f"({_shape(word)} LIKE '%CVC' AND {word} NOT SIMILAR TO '.*[wxy]')"
+
+
+def _suffixes(name: str, before: str, table: str) -> dict[str, str]:
+    """A step that swaps the longest suffix if enough is left before it."""
+    pairs = [x.strip(" \n").split(" ") for x in table.split(",")]
+    swaps = " ".join(f"WHEN {_quoted(x)} THEN {_quoted(y[0] if y else '')}" for x, *y in pairs)
+    cut = f"SELECT word, w, regexp_extract(w, '({'|'.join(x for x, *_ in pairs)})$') AS s FROM {before}"
+    return {name: f"SELECT word, CASE WHEN s <> '' AND {_many('left(w, length(w) - length(s))')} THEN left(w, length(w) - length(s)) || CASE s {swaps} END ELSE w END AS w FROM ({cut})"}
+
+
+_CUT = "left(w, length(w) - length(s))"
+#: word, stem of the distinct words, step by step.
+STEMS = {
+    "vocabulary": "SELECT DISTINCT unnest(words) AS word FROM worded",
+    "step_1a": "SELECT word, CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, length(w) - 1) ELSE w END AS w FROM (SELECT word, word AS w FROM vocabulary)",
+    "step_1b": f"SELECT word, CASE WHEN s = '' THEN w WHEN s = 'eed' THEN CASE WHEN {_many(_CUT)} THEN left(w, length(w) - 1) ELSE w END WHEN {_shape(_CUT)} LIKE '%V%' THEN {_CUT} ELSE w END AS w, s IN ('ed', 'ing') AND {_shape(_CUT)} LIKE '%V%' AS cut FROM (SELECT word, w, regexp_extract(w, '(eed|ed|ing)$') AS s FROM step_1a)",
+    "step_1c": f"SELECT word, CASE WHEN NOT cut THEN w WHEN w SIMILAR TO '.*(at|bl|iz)' THEN w || 'e' WHEN length(w) > 1 AND right(w, 1) = left(right(w, 2), 1) AND {_shape('w')} LIKE '%C' THEN CASE WHEN right(w, 1) IN ('l', 's', 'z') THEN w ELSE left(w, length(w) - 1) END WHEN {_shape('w')} SIMILAR TO 'C*V+C+V*' AND {_short_end('w')} THEN w || 'e' ELSE w END AS w FROM step_1b",
+    "step_1d": f"SELECT word, CASE WHEN w LIKE '%y' AND {_shape('left(w, length(w) - 1)')} LIKE '%V%' THEN left(w, length(w) - 1) || 'i' ELSE w END AS w FROM step_1c",
+    **_suffixes("step_2", "step_1d", STEP_2),
+    **_suffixes("step_3", "step_2", STEP_3),
+    "step_4": f"SELECT word, CASE WHEN s <> '' AND {_many(_CUT, 2)} AND (s <> 'ion' OR {_CUT} SIMILAR TO '.*[st]') THEN {_CUT} ELSE w END AS w FROM (SELECT word, w, regexp_extract(w, '({'|'.join(STEP_4.split())})$') AS s FROM step_3)",
+    "step_5": f"SELECT word, CASE WHEN w LIKE '%e' AND ({_many('left(w, length(w) - 1)', 2)} OR ({_many('left(w, length(w) - 1)')} AND NOT {_short_end('left(w, length(w) - 1)')})) THEN left(w, length(w) - 1) ELSE w END AS w FROM step_4",
+    "stems": f"SELECT word, CASE WHEN w LIKE '%ll' AND {_many('w', 2)} THEN left(w, length(w) - 1) ELSE w END AS stem FROM step_5",
+}
+
+
 def _lot(expr: str, seed: int = 42) -> str:
     return f"md5(CAST({expr} AS VARCHAR) || ':{seed}')"
 
@@ -45,11 +105,17 @@ CTES = {
     "comp": "SELECT id FROM questions WHERE n_answers > 0 UNION SELECT id FROM mains",
     "best": "SELECT id, question_id FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY accepted DESC, top DESC, earliest DESC, id) AS r FROM (SELECT *, score = max(score) OVER (PARTITION BY question_id) AS top, post_date = min(post_date) OVER (PARTITION BY question_id) AS earliest FROM answers)) WHERE r = 1",
     "corpus": "SELECT q.*, coalesce(a.body, '') AS answer FROM questions q LEFT JOIN (SELECT x.question_id, x.body FROM answers x JOIN best b ON b.id = x.id) a ON a.question_id = q.id",
-    "tokenized": f"SELECT id, {_tokens("title || ' ' || body || ' ' || tags || ' ' || answer")} AS toks FROM corpus",
+    "worded": f"SELECT id, {_tokens("title || ' ' || body || ' ' || tags || ' ' || answer")} AS words FROM corpus",
+    **STEMS,
+    "placed": "SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM worded",
+    "stemmed": "SELECT id, list(stem ORDER BY pos) AS toks FROM placed JOIN stems USING (word) GROUP BY 1",
+    "tokenized": "SELECT id, coalesce(toks, []) AS toks FROM worded LEFT JOIN stemmed USING (id)",
     "tf": "SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(toks) AS term FROM tokenized) GROUP BY 1, 2",
     "df": "SELECT term, count(*) AS df FROM tf GROUP BY 1",
     "n_docs": "SELECT count(*) AS n FROM tokenized",
-    "raw": "SELECT tf.id, tf.term, tf.tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS x FROM tf JOIN df USING (term), n_docs",
+    "wtf": "SELECT id, term, sum(tf) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(term), '[\\p{L}\\p{N}_]{2,}')) AS term, tf FROM tf) GROUP BY 1, 2",
+    "wdf": "SELECT term, count(*) AS df FROM wtf GROUP BY 1",
+    "raw": "SELECT wtf.id, wtf.term, wtf.tf * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS x FROM wtf JOIN wdf USING (term), n_docs",
     "tfidf": "SELECT raw.id, term, x / norm AS w FROM raw JOIN (SELECT id, sqrt(sum(x * x)) AS norm FROM raw GROUP BY 1) USING (id)",
     "idf0": "SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, n_docs",
     "idf": f"SELECT term, df, CASE WHEN idf < 0 THEN {BM25_EPSILON} * (SELECT avg(idf) FROM idf0) ELSE idf END AS idf FROM idf0",
@@ -179,6 +245,7 @@ ORACLE_SQL = {
     "stratified_sample": sql(f"SELECT id FROM questions WHERE id NOT IN (SELECT id FROM free_q) UNION ALL SELECT id FROM (SELECT id, row_number() OVER (ORDER BY {_lot('id')}, id) AS r FROM free_q) WHERE r <= (SELECT count(*) // 2 FROM questions) - (SELECT count(*) FROM questions WHERE id NOT IN (SELECT id FROM free_q))"),
     "html_to_text": f"SELECT page_id, {_html('html')} AS text FROM pages",
     "tokenize_counts": sql("SELECT id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(len(list_distinct(toks)) AS INTEGER) AS n_terms, md5(array_to_string(toks, ' ')) AS tokens_md5 FROM tokenized"),
+    "stemmed_terms": sql("SELECT stem AS term, count(*) AS n, count(DISTINCT id) AS docs FROM placed JOIN stems USING (word) GROUP BY 1"),
     "term_freq": sql("SELECT id, term, tf FROM tf"),
     "doc_freq": sql("SELECT term, df FROM df"),
     "tfidf_weights": sql("SELECT id, term, round(w, 6) AS w FROM tfidf"),

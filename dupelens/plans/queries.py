@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +14,18 @@ TOP = 20
 STUDY_TAGS = ["fr", "de", "src3", "SRC7"]
 
 
-def _tokenized(spark: SparkSession, d: str, part: str = PART) -> DataFrame:
-    """id and the tokens of one part. The texts of documents hold no HTML, so none is taken off."""
+def _words(spark: SparkSession, d: str, part: str = PART) -> DataFrame:
+    """id and the words of one part. The texts of documents hold no HTML, so none is taken off."""
     joined = corpus.with_best_answer(tables.questions(spark, d), tables.answers(spark, d))
     merged = corpus.merged_parts(joined)
     return merged.select("id", text.tokens(F.col(part)).alias(part))
 
 
+def _tokenized(spark: SparkSession, d: str, part: str = PART) -> DataFrame:
+    """id and the stemmed tokens of one part."""
+    return _words(spark, d, part).select("id", porter.stemmed(F.col(part)).alias(part))
+
+
 def _world(spark: SparkSession, d: str):
     """questions, pairs, duplicates and comparison questions."""
     q, p = tables.questions(spark, d), tables.dup_pairs(spark, d)
@@ -131,7 +134,7 @@ def tokenize_counts(spark, d):
 
 
 def stemmed_terms(spark, d):
-    tf = index.term_freq(_tokenized(spark, d), PART)
+    tf = index.term_freq(_words(spark, d), PART)
     return porter.with_stems(tf).groupBy("term").agg(F.sum("tf").alias("n"), F.count_distinct("id").alias("docs"))
 
 
@@ -368,8 +371,7 @@ def rf_tuning(spark, d):
 
 def xml_questions(spark, d):
     """The questions written as a dump and read again."""
-    index.materialise(spark.range(1))  # settles the shared folder
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/posts-{uuid.uuid4().hex}"
+    folder = index.scratch(spark, "posts")
     q = tables.questions(spark, d).withColumn("body", F.translate("body", "\n", " "))
     xml.write_posts(q, folder)
     back = xml.read_questions(spark, folder)
