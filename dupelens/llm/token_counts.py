@@ -1,26 +1,31 @@
 """Token counts without a shuffle: a map-side lookup in two tiers.
 
-Tier one is a broadcast hash table of pre-token lengths. It holds the pre-tokens that are whole entries of the
-vocabulary, which are the frequent ones by the way such vocabularies are made; its size is that of the vocabulary
-file, at most `table_entries`. Tier two encodes what the table misses, once for each worker, in a cache that is emptied
-when it reaches `cache_entries`. Pre-tokens are never shuffled. Neither tier changes a count.
+Tier one is a broadcast hash table of the lengths of frequent pre-tokens: those that occur most in a bounded sample of
+documents, and those that are whole entries of the vocabulary; it has `TABLE_ENTRIES` of each at most. Tier two encodes what
+the table misses, once for each worker, in a cache that is kept from task to task and emptied when it reaches
+`CACHE_ENTRIES`. No pre-token of a counted document is shuffled, and neither tier changes a count.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import blocks, bounded_batches, lean, texts_of
 
-#: The largest vocabulary whose lengths are broadcast.
+#: Entries of the table from either source; a larger vocabulary is refused.
 TABLE_ENTRIES = 300_000
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
+#: Distinct documents whose pre-tokens are counted for the table, about.
+SAMPLE_DOCUMENTS = 5_000
 
 
 def _alphabet() -> dict[str, int]:
@@ -30,7 +35,7 @@ def _alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def frequent_lengths(vocabulary_json: str, pattern: str) -> dict[str, int]:
+def whole_entries(vocabulary_json: str, pattern: str) -> dict[str, int]:
     """Lengths (1) of the vocabulary's entries that are whole pre-tokens."""
     data = json.loads(vocabulary_json)
     if len(data["model"]["vocab"]) > TABLE_ENTRIES:
@@ -48,6 +53,35 @@ def frequent_lengths(vocabulary_json: str, pattern: str) -> dict[str, int]:
     return found
 
 
+def frequent_pre_tokens(documents: DataFrame, pattern: str, key: str, text: str, sample: int = SAMPLE_DOCUMENTS) -> list[str]:
+    """The pre-tokens that occur most in about `sample` of the documents, and at least twice, by falling count."""
+    share = min(1.0, sample / max(documents.count(), 1))
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    chosen = rows.where(F.pmod(F.xxhash64("k", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("text").distinct()
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
+        for block in blocks(batches, "text"):
+            counts = Counter()
+            for t in texts_of(block, "text"):
+                counts.update(find(t))
+            yield pa.record_batch({"word": pa.array(counts.keys(), pa.string()), "n": pa.array(counts.values(), pa.int64())})
+
+    counted = chosen.mapInArrow(lean(tally), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(TABLE_ENTRIES).collect()]
+
+
+#: The counter that a worker keeps from task to task, by what it is made of.
+_kept: dict[str, TwoTier] = {}
+
+
+def kept_counter(name: str, parts: tuple) -> TwoTier:
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = TwoTier(*parts)
+    return _kept[name]
+
+
 class TwoTier:
     """Counts tokens of texts in a worker."""
 
@@ -79,6 +113,9 @@ class TwoTier:
         known = table.get
         return [n + sum([known(w) or cache[w] for w in words]) for n, words in zip(extra, pieces, strict=True)]
 
+    def lengths(self, words: list[str]) -> dict[str, int]:
+        return dict(zip(words, map(len, self.encoder.encode_batch_fast(words, add_special_tokens=False)), strict=True)) if words else {}
+
 
 def token_counts(documents: DataFrame, vocabulary_path: str, pattern: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each document.
@@ -90,12 +127,16 @@ def token_counts(documents: DataFrame, vocabulary_path: str, pattern: str, limit
     bounded_batches(spark)
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = f.read()
-    shared = spark.sparkContext.broadcast((vocabulary, pattern, frequent_lengths(vocabulary, pattern)))
+    table = whole_entries(vocabulary, pattern)
+    frequent = frequent_pre_tokens(documents, pattern, key, text)
+    table |= TwoTier(vocabulary, pattern, table).lengths([w for w in frequent if w not in table])
+    name = hashlib.sha256(json.dumps([vocabulary, pattern, frequent]).encode()).hexdigest()
+    shared = spark.sparkContext.broadcast((vocabulary, pattern, table))
     source = documents.select(documents[key].alias("doc_id"), documents[text].alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TwoTier(*shared.value)
+        counter = kept_counter(name, shared.value)
         for block in blocks(batches, "text", 4 << 20):
             texts = texts_of(block, "text")
             n = counter.counts(texts)
