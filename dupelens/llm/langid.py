@@ -81,8 +81,8 @@ def _grams(texts: list[str], letters: _Letters, buckets: int) -> tuple[np.ndarra
 def train_language_model(documents: DataFrame, use: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCUMENTS, buckets: int = BUCKETS, smoothing: float = 0.5) -> LanguageModel:
     """The model of the rows for which `use` holds and whose text and lang are not null.
 
-    Of more than `sample` such rows, those with the lowest hashes of the key are taken, about `sample` of them. Without
-    any labelled row the model has no language and predicts `und`.
+    Of more than `sample` such rows, those with the lowest hashes of key and text are taken, about `sample` of them; rows
+    that repeat count once. Without any labelled row the model has no language and predicts `und`.
     """
     spark = documents.sparkSession
     bounded_batches(spark)
@@ -95,7 +95,8 @@ def train_language_model(documents: DataFrame, use: Column, key: str = "doc_id",
         return LanguageModel((), np.zeros((buckets, 0), np.float32), np.zeros(0))
     share = sample / sum(r["count"] for r in by_language)
     if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+        labelled = labelled.where(F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    labelled = labelled.distinct()
     row_of = {x: k for k, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_batches, lean, texts_of
+from .common import blocks, bounded_batches, lean, texts_of, use_shared_folder
 
 #: Labelled documents that the classifier is fitted on, about; more are thinned by a hash of their key.
 SAMPLE_DOCUMENTS = 40_000
-#: Documents of the training sample that a word must be in to have a weight.
+#: Documents of the training sample that a word must be in to have a weight; more where over MOST_WORDS words would have one.
 LEAST_DOCUMENTS = 3
+#: Words and beginnings that may have weights, which are broadcast.
+MOST_WORDS = 1_000_000
 #: Mass of the Dirichlet prior of a word, in documents.
 PRIOR = 10.0
 #: Lengths of beginnings, and what marks them in the table.
@@ -175,17 +177,21 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train_toxicity_model(documents: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", text: str = "text", toxic: str = "toxic", sample: int = SAMPLE_DOCUMENTS, significance: float = 0.05) -> ToxicityModel:
     """The model of the labelled documents for whose key `use` holds.
 
-    A key with several labels counts as toxic if any is 1; null labels, null texts and null keys are ignored. Four
+    A key with several labels counts as toxic if any is 1; null labels, null texts and null keys are ignored, and rows
+    that repeat key and text count once. Four
     fifths of the sample give the weights, the rest the extreme-value law and the curve. Without labels of both kinds
     the weights are empty and the score is the share of toxic labels.
     """
     bounded_batches(documents.sparkSession)
+    use_shared_folder(documents.sparkSession)
     marks = labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull() & use).groupBy(F.col(key).alias("k")).agg(F.max(F.col(toxic).cast("int")).alias("y"))
     n = marks.count()
     if n > sample:
         marks = marks.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(sample / n * 1_000_000) + 1)
     part = F.pmod(F.xxhash64("k", F.lit(7)), F.lit(5))
-    labelled = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(marks), F.col("key") == F.col("k")).select("text", "y", part.alias("part"))
+    labelled = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(marks), F.col("key") == F.col("k"))
+    # the sample is written once, for five passes read it
+    labelled = labelled.select("key", "text", "y", part.alias("part")).distinct().drop("key").checkpoint()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies, sizes = (Counter(), Counter()), [0, 0]
@@ -197,7 +203,16 @@ def train_toxicity_model(documents: DataFrame, labels: DataFrame, use: Column, k
         yield pa.record_batch({"word": pa.array(["", *words], pa.string()), "n0": pa.array([sizes[0], *(tallies[0][w] for w in words)], pa.int64()), "n1": pa.array([sizes[1], *(tallies[1][w] for w in words)], pa.int64())})
 
     counted = labelled.where("part != 0").select("text", "y").mapInArrow(lean(count), "word string, n0 long, n1 long")
-    table = counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(f"word = '' or n0 + n1 >= {LEAST_DOCUMENTS}").toPandas()
+    sums = counted.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(f"word = '' or n0 + n1 >= {LEAST_DOCUMENTS}").checkpoint()
+    # how many words are in so many documents, from which the least number follows
+    sizes = sorted(((r["n"], r["count"]) for r in sums.where("word != ''").groupBy(F.least(F.col("n0") + F.col("n1"), F.lit(10_000)).alias("n")).count().collect()), reverse=True)
+    least, words = LEAST_DOCUMENTS, 0
+    for n, c in sizes:
+        words += c
+        if words > MOST_WORDS:
+            least = n + 1
+            break
+    table = sums.where(f"word = '' or n0 + n1 >= {least}").toPandas()
     totals = table[table.word == ""]
     all0, all1 = (int(totals[c].sum()) for c in ("n0", "n1"))
     if not all0 or not all1:

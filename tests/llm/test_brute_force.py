@@ -281,6 +281,79 @@ def test_language_on_held_out_documents(spark, documents):
     assert (held.lang == held.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def plain_grams(text):
+    """Buckets of the 1- to 3-grams of letters, a blank standing for what is no letter, at the ends only."""
+    from dupelens.llm.langid import BUCKETS
+
+    points = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()} "]
+    out = []
+    for n in (1, 2, 3):
+        for k in range(len(points) - n + 1):
+            gram = points[k : k + n]
+            if 32 in gram[1:-1] or all(p == 32 for p in gram):
+                continue
+            h = n
+            for p in gram:
+                h = (h ^ p) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 29
+            out.append((h >> 20) % BUCKETS)
+    return out
+
+
+def test_language_beside_a_plain_version(spark, small, documents):
+    from dupelens.llm.langid import BUCKETS
+
+    learned = documents[[fold(k, 4) != 2 for k in documents.doc_id]].dropna(subset=["lang"]).drop_duplicates(["doc_id", "lang", "text"])
+    counts = {x: Counter() for x in sorted(set(learned.lang))}
+    for x, t in zip(learned.lang, learned.text, strict=True):
+        counts[x].update(plain_grams(t))
+    totals = {x: sum(c.values()) + 0.5 * BUCKETS for x, c in counts.items()}
+    prior = {x: math.log(n / len(learned)) for x, n in learned.lang.value_counts().items()}
+    for r in queries.op4_langid(spark, small).collect():
+        grams = Counter(plain_grams(documents.text[documents.doc_id == r["doc_id"]].iloc[0]))
+        logits = {x: (prior[x] + sum(n * math.log((c[g] + 0.5) / totals[x]) for g, n in grams.items())) / math.sqrt(max(sum(grams.values()), 1)) for x, c in counts.items()}
+        best = max(logits, key=logits.get)
+        if not any(c.isalpha() for c in documents.text[documents.doc_id == r["doc_id"]].iloc[0]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(1 / sum(math.exp(v - logits[best]) for v in logits.values()), abs=1e-3)
+
+
+def test_toxicity_beside_a_plain_version(spark, small, documents):
+    """Each text's words weighed one by one, its segments found by the definition, and the curve applied."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train_toxicity_model(docs, labels, F.lit(True))
+    texts = dict(zip(documents.doc_id, documents.text, strict=True))
+
+    def weight(word, before):
+        found = model.weights.get(word)
+        for n in (6, 5, 4):
+            if found is None and len(word) > n:
+                found = model.weights.get(word[:n] + "*")
+        found = found or 0.0
+        return (0.0 if found > 0 and word in before else found) - model.drift
+
+    checked = 0
+    for r in toxicity.score_toxicity(docs, model).collect():
+        words = re.findall(r"[^\W\d_]+", texts[r["doc_id"]].lower())
+        if len(words) > 150:
+            continue
+        x = [weight(w, words[max(0, k - 8) : k]) for k, w in enumerate(words)]
+        best = max((sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)), default=0.0)
+        chance = lambda s: model.scale * max(len(x), 1) * math.exp(-model.rate * s)  # noqa: B023, E731
+        best = max(best, 0.0)
+        least = chance(best)
+        strength = -math.log(max(least, 1e-60))
+        passages = [(a, b, chance(s)) for a, b, s in toxicity.maximal_segments(np.array(x)) if chance(s) < model.significance] if best > 0 and least < model.significance else []
+        z = [1.0, max(strength, 0.0), min(strength, 0.0) if best > 0 else -5.0, math.log1p(sum(-math.log(max(e, 1e-60)) for *_, e in passages))]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(z, model.curve, strict=True)))), abs=1e-9)
+        assert len(r["passages"]) == len(passages)
+        checked += 1
+    assert checked > 50
+
+
 def test_fingerprints(documents):
     for t in documents.text[:40]:
         w = t.encode().lower().split()

@@ -4,6 +4,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from dupelens.llm import ann, bpe, decontam, langid, lm, pii, repeats, simhash, token_counts, toxicity
 
 # columns that clash with names that operators use inside
@@ -137,3 +138,13 @@ def test_neighbours(spark):
     assert ann.nearest(v.where("false"), F.lit(True)).count() == 0
     two = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.nearest(two, F.lit(True)).collect()] in ([(0, 1), (1, 0)], [(1, 0), (0, 1)])
+
+
+def test_pipeline(spark, small, docs, empty):
+    rows = docs.select("*", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    for begin, left in ((rows, ["4", "4", "5", "8", "9", "None"]), (rows.where("false"), [])):
+        d = begin
+        for _, stage in corpus_pipeline.STAGES:
+            d = stage(spark, d, small).checkpoint()
+        assert sorted(str(r["doc_id"]) for r in d.collect()) == left
+        assert set(d.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"}
