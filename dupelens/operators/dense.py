@@ -32,7 +32,7 @@ def _jensen_shannon(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 #: By the same names as similarity.DENSE.
-MEASURES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"topic": _cosine, "topic_jsd": _jensen_shannon, "doc2vec": _cosine, "dense": _cosine}
+MEASURES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"topic": _cosine, "topic_jsd": _jensen_shannon, "doc2vec": _cosine, "bertoverflow": _cosine, "mpnet": _cosine, "dense": _cosine}
 
 
 def _whole(ids: DataFrame, key: str, vectors: DataFrame) -> DataFrame:
@@ -65,6 +65,19 @@ def _matrices(batches: Iterator[pa.RecordBatch], measure: str, digits: int) -> I
             yield x, x["ids"], scores
 
 
+def scores(vectors: DataFrame, measure: str, dups: DataFrame, comp: DataFrame) -> DataFrame:
+    """dup_id, main_id, score of all duplicates and comparison questions but themselves: as many rows as that, so ranks and the best are made without it."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, ids, found in _matrices(batches, measure, 15):
+            for k, row in enumerate(found):
+                some = row > -np.inf
+                yield pa.RecordBatch.from_pydict({"dup_id": np.full(some.sum(), x["dup_id"][k]), "main_id": ids[some], "score": row[some]})
+
+    left = dups.select(F.col("id").cast("long").alias("dup_id"))
+    return _crossed(left, comp, vectors, ("dup_id",)).mapInArrow(every, "dup_id long, main_id long, score double")
+
+
 def pair_ranks(vectors: DataFrame, measure: str, pairs: DataFrame, comp: DataFrame, digits: int = 6) -> DataFrame:
     """dup_id, main_id, score, rank as ranking.pair_ranks gives them, among all comparison questions; vectors has id and v."""
     inside = comp.select(F.col("id").alias("k"))

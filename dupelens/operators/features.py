@@ -10,14 +10,11 @@ from pyspark.sql import functions as F
 from . import similarity
 
 
-def feature_tables(tokenized: DataFrame, candidates: DataFrame, measures: tuple[str, ...], parts: tuple[str, ...]) -> list[DataFrame]:
-    """For each measure dup_id, candidate_id and {part}_{measure}_sim for each part."""
+def feature_table(tokenized: DataFrame, candidates: DataFrame, measures: tuple[str, ...], parts: tuple[str, ...]) -> DataFrame:
+    """dup_id, candidate_id and {part}_{measure}_sim for each part and measure."""
     pairs = candidates.select("dup_id", F.col("candidate_id").alias("main_id")).distinct()
-    tables = dict.fromkeys(measures, pairs)
-    for part in parts:
-        for m, weights in zip(measures, similarity.represent(tokenized, part, *measures), strict=True):
-            tables[m] = similarity.score_pairs(weights, m, tables[m]).withColumnRenamed("score", f"{part}_{m}_sim")
-    return [t.withColumnRenamed("main_id", "candidate_id") for t in tables.values()]
+    postings = {(part, m): w for part in parts for m, w in zip(measures, similarity.represent(tokenized, part, *measures), strict=True)}
+    return similarity.score_features(pairs, postings).withColumnRenamed("main_id", "candidate_id")
 
 
 def merge_features(candidates: DataFrame, *tables: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Similarity of questions, as joins over terms or expressions over vectors.
 
 score_all() gives (dup_id, main_id, score) for every duplicate and comparison question that share a term; what shares
-none scores 0 and is left to the callers' arithmetic, so that no dense matrix is built. score_pairs() is for given pairs.
+none scores 0 and is left to the callers' arithmetic, so that no dense matrix is built. score_features() is for given pairs.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ SPARSE: dict[str, tuple[Callable, Callable]] = {
     "tfidf": (lambda tf, n: index.tfidf(index.words_of_terms(tf), n), tfidf_scores),
     "bm25": (lambda tf, n: index.bm25(tf, index.lengths_of(tf), n), bm25_scores),
 }
-DENSE: dict[str, Callable[[Column, Column], Column]] = {"topic": cosine, "topic_jsd": jensen_shannon, "doc2vec": cosine, "dense": cosine}
+DENSE: dict[str, Callable[[Column, Column], Column]] = {"topic": cosine, "topic_jsd": jensen_shannon, "doc2vec": cosine, "bertoverflow": cosine, "mpnet": cosine, "dense": cosine}
 
 
 def represent(tokenized: DataFrame, part: str, *measures: str) -> list[DataFrame]:
@@ -109,23 +109,45 @@ def represent(tokenized: DataFrame, part: str, *measures: str) -> list[DataFrame
 
 
 def score_all(weights: DataFrame, measure: str, dups: DataFrame, comp: DataFrame) -> DataFrame:
-    return SPARSE[measure][1](weights, dups, comp)
-
-
-def score_pairs(weights: DataFrame, measure: str, pairs: DataFrame) -> DataFrame:
-    """The pairs (dup_id, main_id, ...) with `score`, 0 where no term is shared. Only postings of the pairs' questions are joined."""
-    left = weights.join(pairs.select("dup_id", "main_id"), weights["id"] == pairs["dup_id"]).drop("id")
-    right = weights.select(F.col("id").alias("i2"), F.col("term").alias("t"), *[F.col(c).alias(f"{c}_2") for c in weights.columns if c not in ("id", "term")])
-    shared = left.join(right, (F.col("main_id") == F.col("i2")) & (F.col("term") == F.col("t")))
-    if measure == "jaccard":
-        sizes = weights.groupBy(F.col("id").alias("s")).agg(F.count("*").alias("n"))
-        counted = shared.groupBy("dup_id", "main_id").agg(F.count("*").alias("c")).join(sizes, F.col("dup_id") == F.col("s")).drop("s").withColumnRenamed("n", "n1").join(sizes, F.col("main_id") == F.col("s"))
-        found = counted.select("dup_id", "main_id", (F.col("c") / (F.col("n1") + F.col("n") - F.col("c"))).alias("score"))
-    else:
-        product = F.col("w") * F.col("w_2") if measure == "tfidf" else F.col("tf") * F.col("w_2")
-        found = shared.groupBy("dup_id", "main_id").agg(F.sum(product).alias("score"))
-    found = found.select(F.col("dup_id").alias("d"), F.col("main_id").alias("m"), "score")
-    return pairs.join(found, (F.col("dup_id") == F.col("d")) & (F.col("main_id") == F.col("m")), "left").drop("d", "m").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """dup_id, main_id, score of all duplicates and comparison questions: those that share a term, or all of them for vectors (id, v)."""
+    if measure in SPARSE:
+        return SPARSE[measure][1](weights, dups, comp)
+    from . import dense
+
+    return dense.scores(weights, measure, dups, comp)
+
+
+def _factors(measure: str) -> tuple[Column, Column]:
+    """What a shared term adds to the score of a pair, as factors of the left and the right posting."""
+    one = F.lit(1.0)
+    return {"jaccard": (one, one), "tfidf": (F.col("w"), F.col("w")), "bm25": (F.col("tf").cast("double"), F.col("w"))}[measure]
+
+
+def score_features(pairs: DataFrame, postings: dict[tuple[str, str], DataFrame]) -> DataFrame:
+    """The pairs (dup_id, main_id) with a column {part}_{measure}_sim for each (part, measure) of the postings, 0 where no term is shared.
+
+    The postings of all parts and measures go through one join and one aggregate; only those of the pairs' questions do.
+    """
+    names = list(postings)
+    tagged = None
+    for k, (name, weights) in enumerate(postings.items()):
+        x, y = _factors(name[1])
+        rows = weights.select(F.lit(k).alias("tag"), "id", "term", x.alias("x"), y.alias("y"))
+        tagged = rows if tagged is None else tagged.unionByName(rows)
+    distinct = pairs.select("dup_id", "main_id").distinct()
+    left = tagged.select("tag", F.col("id").alias("i1"), "term", "x").join(distinct, F.col("i1") == F.col("dup_id")).drop("i1")
+    right = tagged.select(F.col("tag").alias("g"), F.col("id").alias("i2"), F.col("term").alias("t"), "y").join(distinct.select(F.col("main_id").alias("m")).distinct(), F.col("i2") == F.col("m"), "left_semi")
+    shared = left.join(right, (F.col("main_id") == F.col("i2")) & (F.col("tag") == F.col("g")) & (F.col("term") == F.col("t")))
+    sums = shared.groupBy(F.col("dup_id").alias("d"), F.col("main_id").alias("m")).agg(*[F.sum(F.when(F.col("tag") == k, F.col("x") * F.col("y"))).alias(f"s{k}") for k in range(len(names))])
+    out = pairs.join(sums, (F.col("dup_id") == F.col("d")) & (F.col("main_id") == F.col("m")), "left").drop("d", "m")
+    counted = [k for k, (_, measure) in enumerate(names) if measure == "jaccard"]
+    if counted:
+        sizes = tagged.where(F.col("tag").isin(counted)).groupBy("id").agg(*[F.count(F.when(F.col("tag") == k, 1)).alias(f"n{k}") for k in counted])
+        for end, key in (("a", "dup_id"), ("b", "main_id")):
+            side = sizes.select(F.col("id").alias("i"), *[F.col(f"n{k}").alias(f"{end}{k}") for k in counted])
+            out = out.join(side, F.col(key) == F.col("i"), "left").drop("i")
+    score = lambda k: F.col(f"s{k}") / (F.col(f"a{k}") + F.col(f"b{k}") - F.col(f"s{k}")) if k in counted else F.col(f"s{k}")
+    return out.select(*pairs.columns, *[F.coalesce(score(k), F.lit(0.0)).alias(f"{part}_{measure}_sim") for k, (part, measure) in enumerate(names)])
 
 
 def bm25_query(weights: DataFrame, query: list[str]) -> DataFrame:

@@ -311,5 +311,15 @@ ORACLE_SQL = {
         **_TEST,
     ),
     "rank_outliers": sql("SELECT feature, dup_id, main_id, round(l, 6) AS log10_rank, l < quantile_cont(l, 0.25) OVER w - 1.5 * (quantile_cont(l, 0.75) OVER w - quantile_cont(l, 0.25) OVER w) AS outlier FROM (SELECT *, log10(rank) AS l FROM all_r) WINDOW w AS (PARTITION BY feature)", **_ALL_RANKS),
+    "xml_answers": sql("SELECT id, question_id, score, md5(replace(body, chr(10), ' ')) AS body_md5, CAST(post_date AS BIGINT) AS post_date, id IN (SELECT min(id) FROM answers WHERE accepted AND question_id IN (SELECT id FROM questions) GROUP BY question_id) AS accepted FROM answers"),
+    "xml_dup_pairs": sql("SELECT dup_id, main_id FROM pairs WHERE dup_id IN (SELECT id FROM tagged) AND main_id IN (SELECT id FROM tagged)", tagged="SELECT id FROM questions WHERE list_has_any(string_split(lower(tags), ','), ['en', 'fr'])"),
+    "tag_subset": sql(
+        "SELECT 'question_texts' AS artefact, count(*) AS n FROM tagged UNION ALL SELECT 'answer_texts', count(*) FROM answers WHERE question_id IN (SELECT id FROM tagged) UNION ALL SELECT 'dup_pairs', count(*) FROM pairs WHERE dup_id IN (SELECT id FROM tagged) AND main_id IN (SELECT id FROM tagged)",
+        tagged="SELECT id FROM questions WHERE list_has_any(string_split(lower(tags), ','), ['fr', 'de', 'src3', 'src7'])",
+    ),
+    "encoder_pairs": sql(
+        "SELECT dup_id, main_id, round(CASE WHEN list_sum(list_transform(x, lambda v: v * v)) * list_sum(list_transform(y, lambda v: v * v)) = 0 THEN 0.0 ELSE list_cosine_similarity(x, y) END, 5) AS score FROM (SELECT q.id AS dup_id, f.main_id, q.v AS x, g.v AS y FROM lettered q JOIN (SELECT tags, min(id) AS main_id FROM questions GROUP BY 1) f USING (tags) JOIN lettered g ON g.id = f.main_id WHERE q.id <> f.main_id)",
+        lettered="SELECT id, tags, [" + ", ".join(f"CAST(length(body) - length(replace(body, '{chr(97 + k)}', '')) AS DOUBLE)" for k in range(26)) + "] AS v FROM questions",
+    ),
     "xml_questions": sql("SELECT id, n_answers, title, md5(replace(body, chr(10), ' ')) AS body_md5, tags FROM questions"),
 }

@@ -17,6 +17,8 @@ class Settings:
 
     measures: tuple[str, ...] = ("jaccard", "tfidf", "bm25")
     dense: tuple[str, ...] = ()
+    #: Encoders of raw texts by measure (bertoverflow, mpnet): each builds a function of texts in a worker.
+    encoders: dict = field(default_factory=dict)
     parts: tuple[str, ...] = corpus.PARTS
     retrieval: tuple[str, str] = ("tfidf", "title_body_tags_answer")
     n_candidates: tuple[int, ...] = (1500,)
@@ -88,13 +90,20 @@ class Study:
     def representations(self, ds: str) -> None:
         """What each measure compares, for each part."""
         tokenized = self.read("corpus_tokenized", dataset=ds)
-        makers = {"topic": ml.topics, "doc2vec": ml.document_vectors}
+        texts = self.read("corpus", dataset=ds)
+        save = lambda m, part: lambda model: model.write().overwrite().save(self.catalog.path("feature_model", dataset=ds, model=m, col=part))
+        makers = {"topic": ml.topics, "topic_jsd": ml.topics, "doc2vec": ml.document_vectors}
         for part in self.settings.parts:
             tf, n = index.materialise(index.term_freq(tokenized, part)), tokenized.count()
             for m in self.settings.measures:
                 self.write(similarity.SPARSE[m][0](tf, n), "embedding", dataset=ds, model=m, col=part)
             for m in self.settings.dense:
-                self.write(makers[m](tokenized, part), "embedding", dataset=ds, model=m, col=part)
+                self.write(makers[m](tokenized, part, keep=save(m, part)), "embedding", dataset=ds, model=m, col=part)
+            for m, encoder in self.settings.encoders.items():
+                self.write(ml.encoded(texts, part, encoder), "embedding", dataset=ds, model=m, col=part)
+
+    def _dense(self) -> tuple[str, ...]:
+        return (*self.settings.dense, *self.settings.encoders)
 
     def _weights(self, ds: str, measure: str, part: str) -> DataFrame:
         return self.read("embedding", dataset=ds, model=measure, col=part)
@@ -102,7 +111,7 @@ class Study:
     def ranks(self, ds: str) -> DataFrame:
         p, comp, dups = (self.read(x, dataset=ds) for x in ("dup_pairs", "comparison_question_ids", "duplicate_question_ids"))
         rates = None
-        for m in (*self.settings.measures, *self.settings.dense):
+        for m in (*self.settings.measures, *self._dense()):
             for part in self.settings.parts:
                 w = self._weights(ds, m, part)
                 ranked = ranking.pair_ranks(similarity.score_all(w, m, dups, comp), p, comp) if m in similarity.SPARSE else dense.pair_ranks(w, m, p, comp)
@@ -130,12 +139,13 @@ class Study:
         s, n = self.settings, max(self.settings.n_candidates)
         pairs = self.read("candidate_pairs", dataset=ds).select("dup_id", F.col("candidate_id").alias("main_id")).distinct()
         made = []
-        for m in (*s.measures, *s.dense):
+        if s.measures:
+            table = similarity.score_features(pairs, {(part, m): self._weights(ds, m, part) for part in s.parts for m in s.measures})
+            made.append(self.write(table.withColumnRenamed("main_id", "candidate_id"), "feature", dataset=ds, feature="-".join(s.measures)))
+        for m in self._dense():
             table = pairs
             for part in s.parts:
-                w = self._weights(ds, m, part)
-                scored = similarity.score_pairs(w, m, table) if m in similarity.SPARSE else similarity.vector_pairs(table, w, similarity.DENSE[m])
-                table = scored.withColumnRenamed("score", f"{part}_{m}_sim")
+                table = similarity.vector_pairs(table, self._weights(ds, m, part), similarity.DENSE[m]).withColumnRenamed("score", f"{part}_{m}_sim")
             made.append(self.write(table.withColumnRenamed("main_id", "candidate_id"), "feature", dataset=ds, feature=m))
         for name, kind, more in (("train_candidate_pairs", "train_set", {"perc": s.undersampling}), ("test_candidate_pairs", "test_set", {})):
             some = self.read(name, dataset=ds, n=n, **more)

@@ -280,7 +280,7 @@ def cv_folds(spark, d):
 
 def _features(spark, d, train: bool):
     cands = index.materialise(_labelled(spark, d, train))
-    return cands, features.merge_features(cands, *features.feature_tables(_tokenized(spark, d), cands, ("jaccard", "tfidf", "bm25"), (PART,)))
+    return cands, features.merge_features(cands, features.feature_table(_tokenized(spark, d), cands, ("jaccard", "tfidf", "bm25"), (PART,)))
 
 
 def feature_matrix(spark, d):
@@ -378,12 +378,57 @@ def xml_questions(spark, d):
     return back.select(F.col("id").cast("long").alias("id"), F.col("n_answers").cast("long").alias("n_answers"), "title", F.md5("body").alias("body_md5"), "tags")
 
 
+def xml_answers(spark, d):
+    """Questions and answers written as dumps and read again; a question accepts the first of its accepted answers."""
+    folder = index.scratch(spark, "posts")
+    a = tables.answers(spark, d).withColumn("body", F.translate("body", "\n", " "))
+    chosen = a.where("accepted").groupBy("question_id").agg(F.min("id").alias("accepted_id"))
+    q = tables.questions(spark, d).withColumn("body", F.lit("")).join(chosen, F.col("id") == F.col("question_id"), "left").drop("question_id")
+    xml.write_posts(q, f"{folder}/questions")
+    xml.write_answers(a, f"{folder}/answers")
+    back = xml.read_answers(spark, f"{folder}/*")
+    return back.select(F.col("id").cast("long").alias("id"), F.col("question_id").cast("long").alias("question_id"), F.col("score").cast("long").alias("score"), F.md5("body").alias("body_md5"), F.col("post_date").cast("long").alias("post_date"), "accepted")
+
+
+def xml_dup_pairs(spark, d):
+    """The links of known pairs, and as many of another type, written as a dump and read again within the questions of one language."""
+    folder = index.scratch(spark, "links")
+    xml.write_links(tables.dup_pairs(spark, d), folder)
+    some = corpus.with_any_tag(tables.questions(spark, d), ["en", "fr"]).select(F.col("id").cast("string").alias("id"))
+    back = xml.read_dup_pairs(spark, folder, some)
+    return back.select(F.col("dup_id").cast("long").alias("dup_id"), F.col("main_id").cast("long").alias("main_id"))
+
+
+def _letter_counts():
+    """A stand-in for a transformer: counts of the letters a to z."""
+    return lambda texts: [[float(t.count(chr(97 + k))) for k in range(26)] for t in texts]
+
+
+def encoder_pairs(spark, d):
+    """Questions beside the first of their tags, compared by an encoder of whole raw texts."""
+    q = tables.questions(spark, d)
+    vectors = ml.encoded(q, "body", _letter_counts)
+    firsts = q.groupBy("tags").agg(F.min("id").alias("main_id"))
+    pairs = q.select(F.col("id").alias("dup_id"), "tags").join(firsts, "tags").where("dup_id != main_id").select("dup_id", "main_id")
+    return similarity.vector_pairs(pairs, vectors, similarity.DENSE["mpnet"]).withColumn("score", F.round("score", 5))
+
+
+def tag_subset(spark, d):
+    """Questions, answers and pairs of the data set of some tags, counted."""
+    q = corpus.with_any_tag(tables.questions(spark, d), STUDY_TAGS)
+    kept = q.select(F.col("id").alias("k"))
+    a = tables.answers(spark, d).join(kept, F.col("question_id") == F.col("k"), "left_semi")
+    p = ids.within(tables.dup_pairs(spark, d), q)
+    counts = [x.agg(F.lit(n).alias("artefact"), F.count("*").alias("n")) for n, x in (("question_texts", q), ("answer_texts", a), ("dup_pairs", p))]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tag_filter, best_answer, answered_without_best, bm25_neighbours, question_with_answer, corpus_index, corpus_faults, dup_pairs, duplicate_ids, main_ids, answered_ids, comparison_ids, pairs_both_in_set, questions_in_pairs, noise_sample, train_test_split, stratified_sample,
         html_to_text, html_to_text_parsed, tokenize_counts, stemmed_terms, term_freq, doc_freq, tfidf_weights, bm25_idf, bm25_weights, bm25_query, dense_cosine_pairs, dense_cosine_topk, dense_pair_ranks, jsd_pairs, pair_ranks, recall_rates, recall_by_feature,
         train_candidates, test_candidates, limited_candidates, undersampled, merged_candidates, cv_folds, feature_matrix, feature_faults, ranked_recall_by_score, misclassified, misclassified_counts, similarity_summary, dataset_sizes, cross_dataset_summary, candidate_summary, rank_outliers,
-        lda_topics, doc2vec_approx, rf_predict, rf_tuning, xml_questions,
+        lda_topics, doc2vec_approx, rf_predict, rf_tuning, xml_questions, xml_answers, xml_dup_pairs, encoder_pairs, tag_subset,
     )
 } | {"jaccard_pairs": _pairs_query("jaccard"), "tfidf_pairs": _pairs_query("tfidf"), "bm25_pairs": _pairs_query("bm25"), "tfidf_topk": _topk_query("tfidf"), "bm25_most_similar": _topk_query("bm25")}

@@ -39,8 +39,23 @@ def read_dup_pairs(spark: SparkSession, path: str, questions: DataFrame | None =
     return pairs
 
 
+def _write(rows: DataFrame, path: str, root: str) -> None:
+    rows.write.mode("overwrite").format("xml").option("rootTag", root).option("rowTag", "row").save(path)
+
+
 def write_posts(questions: DataFrame, path: str) -> None:
-    """Questions as a dump of posts."""
+    """Questions as a dump of posts; accepted_id, where there is one, is the answer that a question accepts."""
     tags = F.concat(F.lit("<"), F.replace("tags", F.lit(","), F.lit("><")), F.lit(">"))
-    rows = questions.select(F.col("id").cast("string").alias("_Id"), F.lit("1").alias("_PostTypeId"), F.col("n_answers").cast("int").alias("_AnswerCount"), F.col("title").alias("_Title"), F.col("body").alias("_Body"), tags.alias("_Tags"))
-    rows.write.mode("overwrite").format("xml").option("rootTag", "posts").option("rowTag", "row").save(path)
+    accepted = [F.col("accepted_id").cast("string").alias("_AcceptedAnswerId")] if "accepted_id" in questions.columns else []
+    _write(questions.select(F.col("id").cast("string").alias("_Id"), F.lit("1").alias("_PostTypeId"), *accepted, F.col("n_answers").cast("int").alias("_AnswerCount"), F.col("title").alias("_Title"), F.col("body").alias("_Body"), tags.alias("_Tags")), path, "posts")
+
+
+def write_answers(answers: DataFrame, path: str) -> None:
+    """Answers as a dump of posts."""
+    _write(answers.select(F.col("id").cast("string").alias("_Id"), F.lit("2").alias("_PostTypeId"), F.col("question_id").cast("string").alias("_ParentId"), F.col("score").cast("int").alias("_Score"), F.col("post_date").cast("string").alias("_CreationDate"), F.col("body").alias("_Body")), path, "posts")
+
+
+def write_links(pairs: DataFrame, path: str) -> None:
+    """Pairs as a dump of links: of type 3 as they are, and of type 1 the other way round."""
+    both = pairs.select("dup_id", "main_id", F.lit("3").alias("kind")).union(pairs.select("main_id", "dup_id", F.lit("1")))
+    _write(both.select(F.concat_ws("-", "dup_id", "main_id").alias("_Id"), F.col("dup_id").cast("string").alias("_PostId"), F.col("main_id").cast("string").alias("_RelatedPostId"), F.col("kind").alias("_LinkTypeId")), path, "postlinks")
