@@ -15,7 +15,7 @@ counted. Texts are not moved.
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +27,8 @@ BROADCAST_ENTRIES = 500_000
 BROADCAST_BYTES = 16 << 20
 #: Contaminated rows up to which their hashes are broadcast to take them out.
 BROADCAST_ROWS = 1_000_000
-#: Slots for each shingle of the items, and the most slots.
-SLOTS, MOST_SLOTS = 16, 1 << 20
+#: Slots for each shingle of the items, and the most slots. A shingle has two of them, so few documents without an item pass.
+SLOTS, MOST_SLOTS = 64, 1 << 22
 
 
 def words_of(text: Column) -> Column:
@@ -83,8 +83,8 @@ def item_shingles(benchmark: DataFrame, item: str, item_text: str, words: int, t
     return items.select("item", "item_id", "n", "need", "partition", "x.h", "x.s", (F.col("x.h") <= F.col("highest")).alias("low"))
 
 
-def _slot(h: Column, slots: int) -> Column:
-    return F.pmod(h, F.lit(slots)).cast("int")
+def _slots(h: Column, slots: int) -> tuple[Column, Column]:
+    return F.pmod(h, F.lit(slots)).cast("int"), F.pmod(F.shiftright(h, 32), F.lit(slots)).cast("int")
 
 
 def _tables(items: DataFrame, slots: int) -> tuple[bytes, list]:
@@ -94,7 +94,7 @@ def _tables(items: DataFrame, slots: int) -> tuple[bytes, list]:
     several partitions have one. Both are of bounded size.
     """
     code = F.when(F.count_distinct(F.when(F.col("low"), F.col("partition"))) > 1, 255).otherwise(F.coalesce(F.max(F.when(F.col("low"), F.col("partition"))) + 2, F.lit(1)))
-    marks = items.groupBy(_slot(F.col("h"), slots).alias("slot")).agg(code.cast("int").alias("code"))
+    marks = items.select("low", "partition", F.explode(F.array(*_slots(F.col("h"), slots))).alias("slot")).groupBy("slot").agg(code.cast("int").alias("code"))
     filled = items.sparkSession.range(slots).join(F.broadcast(marks), F.col("id") == F.col("slot"), "left").select("id", F.lpad(F.hex(F.coalesce("code", F.lit(0))), 2, "0").alias("code"))
     listed = filled.agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "code"))), lambda x: x["code"]), "")).alias("b")).first()["b"]
     parts = items.groupBy("partition").agg(F.max(F.when(F.col("low"), F.col("h"))).alias("high"), F.min("need").alias("need")).collect()
@@ -119,16 +119,17 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
         listed, parts = _tables(items, slots)
         byte = lambda n: F.lit(bytearray([n]))
         table = F.lit(bytearray(listed))
-        mark = lambda h: F.substring(table, _slot(h, slots) + 1, F.lit(1))
+        marks = lambda h: [F.substring(table, slot + 1, F.lit(1)) for slot in _slots(h, slots)]
+        beyond = lambda h, n: reduce(lambda rest, m: F.when(m > byte(n), rest).otherwise(F.lit(False)), marks(h), F.lit(True))
 
         def sketched(hashes: Column) -> Column:
             """Whether a hash is one of a sketch in a partition that the document is long enough for."""
             reach = [(byte(p["partition"] + 2), F.lit(p["high"]), F.size(hashes) >= p["need"]) for p in parts]
             within = lambda h, m: reduce(or_, [((m == code) | (m == byte(255))) & (h <= high) & long for code, high, long in reach], F.lit(False))
-            return F.exists(hashes, lambda h: F.when(mark(h) > byte(1), within(h, mark(h))).otherwise(F.lit(False)))
+            return F.exists(hashes, lambda h: F.when(beyond(h, 1), reduce(and_, [within(h, m) for m in marks(h)])).otherwise(F.lit(False)))
 
         rows = rows.where(F.transform(F.array(shingle_hashes(F.col("w"), words)), sketched)[0])
-        mine = _windows(F.col("w"), words, lambda w: F.when(mark(F.xxhash64(w)) > byte(0), own(w)))
+        mine = _windows(F.col("w"), words, lambda w: F.when(beyond(F.xxhash64(w), 0), own(w)))
         mine = F.filter(mine, lambda x: x.isNotNull())
     else:
         # hashes alone find the documents that hold a sketched one; only these are moved
