@@ -1,10 +1,13 @@
 """SimHash near-duplicates by a segment-popcount embedding.
 
 A fingerprint is mapped to the bit counts of its 32 two-bit segments. The Manhattan distance of two such vectors is never
-above the Hamming distance of the fingerprints, so links lie within it. The vector is cut into `radius // 2 + 1` groups
-of segments; of two vectors within the radius, one group is within distance 1. Each group is a grid whose cells are its
-bit-count vectors: a fingerprint lives in its own cell and reaches the cells one count up, so every link meets in some
-cell. Pairs that meet are held against the Manhattan bound over coarser segments and then verified exactly.
+above the Hamming distance of the fingerprints, so links lie within it. The segments are dealt to groups, and grids are
+made of so many groups that two vectors within the radius are within distance 2 in one grid: for radius 4, each two of
+three groups, of 21 or 22 segments. The cells of a grid are its bit-count vectors. A fingerprint lives in its own cell
+(home) and reaches those one count up and one count down; two vectors at distance 0 share their home, at distance 1 the
+home of one is one up from the other, and at distance 2 they meet one up from both or one up from one and one down from
+the other. Pairs that meet are held against the Manhattan bound over coarser segments and then verified exactly. Of N
+independent fingerprints, about N * N / 700,000 pairs meet.
 
 Only distinct fingerprints take part, as the nodes of the graph of links, and a worker puts out the links that join two
 sets it had not joined yet, so thousands of copies do not become all their pairs.
@@ -78,38 +81,40 @@ def _counts(prints: np.ndarray) -> np.ndarray:
     return prints - ((prints >> np.uint64(1)) & np.uint64(0x5555555555555555))
 
 
-def _groups(radius: int) -> list[list[int]]:
-    """Segments dealt to groups, such that one group differs by 1 at most."""
-    n = radius // 2 + 1
+def _grids(radius: int) -> list[list[int]]:
+    """The segments of each grid, such that two vectors within the radius are within distance 2 in one of them."""
+    if radius <= 2:
+        return [list(range(32))]
+    if radius <= 4:  # of three distances that add up to 4 at most, two add up to 2 at most
+        return [[s for s in range(32) if s % 3 != g] for g in range(3)]
+    n = radius // 3 + 1
     return [list(range(g, 32, n)) for g in range(n)]
 
 
+#: What a row is in its cell: at home, one count up in segment kind - 1, or one count down. The rows of a cell come in this order.
+_HOME, _DOWN = 0, 64
+
+
 def _place(radius: int):
-    """Cells of each fingerprint: its own in each group (home), and those one count up (reached)."""
+    """The cells of each fingerprint in each grid, named by a hash."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 20_000):
-                part = batch.slice(first, 20_000)
+            for first in range(0, batch.num_rows, 10_000):
+                part = batch.slice(first, 10_000)
                 counts = _counts(part.column("fp").to_numpy().view(np.uint64))
-                for g, segments in enumerate(_groups(radius)):
-                    mask = np.uint64(sum(3 << 2 * s for s in segments))
-                    home = counts & mask
-                    # the lowest bits of a foreign segment tell the groups' grids apart
-                    tag = np.uint64(g) << np.uint64(2 * (0 if g else 1))
-                    cells, who = [home], [np.arange(len(home))]
+                for g, segments in enumerate(_grids(radius)):
+                    home = counts & np.uint64(sum(3 << 2 * s for s in segments))
+                    cells, kinds, who = [home], [np.zeros(len(home), np.int8)], [np.arange(len(home))]
                     for s in segments:
-                        can = np.flatnonzero(((home >> np.uint64(2 * s)) & np.uint64(3)) < 2)
-                        cells.append(home[can] + (np.uint64(1) << np.uint64(2 * s)))
-                        who.append(can)
-                    at = np.concatenate(who)
-                    yield pa.record_batch(
-                        {
-                            "cell": pa.array((np.concatenate(cells) | tag).view(np.int64), pa.int64()),
-                            "reached": pa.array(np.arange(len(at)) >= len(home), pa.bool_()),
-                            "fp": part.column("fp").take(pa.array(at)),
-                        }
-                    )
+                        one, here = np.uint64(1) << np.uint64(2 * s), (home >> np.uint64(2 * s)) & np.uint64(3)
+                        for can, kind in ((np.flatnonzero(here < 2), 1 + s), (np.flatnonzero(here > 0), _DOWN)):
+                            cells.append(home[can] - one if kind == _DOWN else home[can] + one)
+                            kinds.append(np.full(len(can), kind, np.int8))
+                            who.append(can)
+                    names = (np.concatenate(cells) + np.uint64(g + 1)) * np.uint64(0x9E3779B97F4A7C15)
+                    names = (names ^ (names >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                    yield pa.record_batch({"cell": pa.array(names.view(np.int64), pa.int64()), "kind": pa.array(np.concatenate(kinds), pa.int8()), "fp": part.column("fp").take(pa.array(np.concatenate(who)))})
 
     return place
 
@@ -149,20 +154,24 @@ def _verify(fp: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int, fo
 
 
 def _meet(radius: int):
-    """Links among the fingerprints of each cell; the rows of a partition come sorted by cell, homes first."""
+    """Links among the fingerprints of each cell; the rows of a partition come sorted by cell and kind."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = _Forest()
 
-        def links(cell, reached, fp) -> Iterator[pa.RecordBatch]:
+        def links(cell, kind, fp) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-            sizes = np.diff(np.r_[starts, len(cell)])
-            homes = np.add.reduceat((~reached).astype(np.int64), starts)
-            group = np.repeat(np.arange(len(starts)), sizes)
+            ends = np.r_[starts[1:], len(cell)]
+            group = np.repeat(np.arange(len(starts)), ends - starts)
             own = np.arange(len(cell))
-            # a reaching row meets all homes of the cell; a home meets the homes after it
-            begin = np.where(reached, starts[group], own + 1)
-            count = np.maximum(starts[group] + homes[group] - begin, 0)
+            # a home meets the homes after it and all that reach up; one up in a segment meets those up in later segments and
+            # those one down. Two that are up in one segment are equal there, so they share their home.
+            runs = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1])])
+            after = np.repeat(np.r_[runs[1:], len(cell)], np.diff(np.r_[runs, len(cell)]))
+            begin = np.where(kind == _HOME, own + 1, after)
+            up_to = starts + np.add.reduceat((kind < _DOWN).astype(np.int64), starts)
+            stop_at = np.where(kind == _HOME, up_to[group], ends[group])
+            count = np.where(kind == _DOWN, 0, np.maximum(stop_at - begin, 0))
             edges, row = [], 0
             total = np.cumsum(count)
             while row < len(cell):
@@ -181,7 +190,7 @@ def _meet(radius: int):
 
         held = None
         for batch in batches:
-            new = [batch.column("cell").to_numpy(), batch.column("reached").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy().view(np.uint64)]
+            new = [batch.column("cell").to_numpy(), batch.column("kind").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)]
             rows = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(rows[0]):
                 continue
@@ -198,8 +207,8 @@ def _meet(radius: int):
 def near_links(prints: DataFrame, radius: int = 4) -> DataFrame:
     """a, b: links between the distinct fingerprints (column fp) that connect all within the radius."""
     bounded_batches(prints.sparkSession, 50_000)
-    placed = prints.select("fp").mapInArrow(lean(_place(radius)), "cell long, reached boolean, fp long")
-    return placed.repartition("cell").sortWithinPartitions("cell", "reached").mapInArrow(lean(_meet(radius)), "a long, b long")
+    placed = prints.select("fp").mapInArrow(lean(_place(radius)), "cell long, kind byte, fp long")
+    return placed.repartition("cell").sortWithinPartitions("cell", "kind").mapInArrow(lean(_meet(radius)), "a long, b long")
 
 
 def _components(prints: DataFrame, radius: int) -> DataFrame:

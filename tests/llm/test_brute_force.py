@@ -375,7 +375,8 @@ def components_of(values, links):
     return {v: root(v) for v in values}
 
 
-def test_near_links_lose_none(spark):
+@pytest.mark.parametrize("radius", [4, 1, 2, 3, 6])
+def test_near_links_lose_none(spark, radius):
     rng = random.Random(4)
     prints = set()
     while len(prints) < 600:
@@ -386,9 +387,9 @@ def test_near_links_lose_none(spark):
                 base ^= 1 << rng.randrange(64)
     prints = sorted(prints | {0, 2**64 - 1, 1, 15, 31})
     signed = [p - 2**64 if p >> 63 else p for p in prints]
-    want = components_of(signed, [(signed[i], signed[j]) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4])
+    want = components_of(signed, [(signed[i], signed[j]) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= radius])
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    got = {r["node"]: r["root"] for r in components.connected_components(simhash.near_links(df)).collect()}
+    got = {r["node"]: r["root"] for r in components.connected_components(simhash.near_links(df, radius)).collect()}
     assert all(got.get(k, k) == v for k, v in want.items())
 
 
