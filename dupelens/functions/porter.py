@@ -5,11 +5,12 @@ from __future__ import annotations
 import functools
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: Words whose stems a worker remembers.
 REMEMBERED = 500_000
@@ -100,6 +101,22 @@ def _array_stems(tokens: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), stems.take(flat.indices), mask=tokens.is_null())
 
 
+@F.arrow_udf(ArrayType(StructType([StructField("term", StringType()), StructField("tf", LongType())])))
+def _array_counts(tokens: pa.Array) -> pa.Array:
+    flat = tokens.flatten().dictionary_encode()
+    sizes = np.array([len(x) if x.is_valid else 0 for x in tokens], np.int64)
+    width = max(len(flat.dictionary), 1)
+    keys, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    ends = np.concatenate(([0], np.cumsum(np.bincount(keys // width, minlength=len(sizes)))))
+    pairs = pa.StructArray.from_arrays([flat.dictionary.take(pa.array(keys % width)), pa.array(counts, pa.int64())], ["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs, mask=tokens.is_null())
+
+
+def term_counts(tokens: Column) -> Column:
+    """The distinct tokens of an array with their counts, as (term, tf): counted where the document is, not shuffled by term."""
+    return _array_counts(tokens)
+
+
 def stemmed(tokens: Column) -> Column:
     """The tokens of an array as stems. A batch's distinct words are stemmed once, and workers remember stems; nothing is shuffled."""
     return _array_stems(tokens)

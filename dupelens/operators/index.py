@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.porter import term_counts
+
 BM25_K1, BM25_B, BM25_EPSILON = 0.05, 0.03, 0.25
 
 
@@ -41,8 +43,8 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def term_freq(tokenized: DataFrame, part: str, key: str = "id") -> DataFrame:
-    """id, term, tf."""
-    return tokenized.select(F.col(key).alias("id"), F.explode(part).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """id, term, tf. A document is one row, so its terms are counted without an exchange."""
+    return tokenized.select(F.col(key).alias("id"), F.explode(term_counts(F.col(part))).alias("x")).select("id", "x.term", "x.tf")
 
 
 def words_of_terms(tf: DataFrame) -> DataFrame:
