@@ -44,7 +44,7 @@ def _html(expr: str) -> str:
         ("(?s)<!--.*?-->", ""), ("(?s)<script[^>]*>.*?</script>", ""), ("(?s)<style[^>]*>.*?</style>", ""), ("<[a-z/!][^>]*>", ""),
     ):
         expr = f"regexp_replace({expr}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         expr = f"replace({expr}, {_quoted(name)}, {_quoted(char)})"
     return expr
 

@@ -1,3 +1,5 @@
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from dupelens.functions import html, porter, text
@@ -24,6 +26,15 @@ def test_scripts_comments_and_entities(spark):
         assert one(spark, f, source) == "ab & <c>"
 
 
+def test_entities(spark):
+    source = "&eacute;&Eacute; &hellip;&mdash; &#233;&#xe9; &amp;lt; &#38;gt; &lt;&nosuch; &nbsp;x &#0; &#x1f600; &amp"
+    assert one(spark, text.process_html, source) == "éé …— éé &lt; &gt; <&nosuch;  x &#0; 😀 &amp"
+    every = ["&" + name.lower() for name in html5 if name.endswith(";")]
+    wanted = {e: {c for n, c in html5.items() if "&" + n.lower() == e} for e in every}
+    got = one(spark, text.decode_entities, "\x03".join(every)).split("\x03")
+    assert all(g in wanted[e] or e == "&nbsp;" for e, g in zip(every, got, strict=True))
+
+
 def test_nulls_stay_null(spark):
     for f in (text.process_html, html.html_text, text.tokens):
         assert one(spark, f, None) is None
