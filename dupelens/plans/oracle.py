@@ -244,6 +244,7 @@ ORACLE_SQL = {
     "train_test_split": sql("SELECT id, part FROM split"),
     "stratified_sample": sql(f"SELECT id FROM questions WHERE id NOT IN (SELECT id FROM free_q) UNION ALL SELECT id FROM (SELECT id, row_number() OVER (ORDER BY {_lot('id')}, id) AS r FROM free_q) WHERE r <= (SELECT count(*) // 2 FROM questions) - (SELECT count(*) FROM questions WHERE id NOT IN (SELECT id FROM free_q))"),
     "html_to_text": f"SELECT page_id, {_html('html')} AS text FROM pages",
+    "html_to_text_parsed": f"SELECT page_id, {_html('html')} AS text FROM pages",
     "tokenize_counts": sql("SELECT id, CAST(len(toks) AS INTEGER) AS n_tokens, CAST(len(list_distinct(toks)) AS INTEGER) AS n_terms, md5(array_to_string(toks, ' ')) AS tokens_md5 FROM tokenized"),
     "stemmed_terms": sql("SELECT stem AS term, count(*) AS n, count(DISTINCT id) AS docs FROM placed JOIN stems USING (word) GROUP BY 1"),
     "term_freq": sql("SELECT id, term, tf FROM tf"),

@@ -41,6 +41,10 @@ class Study:
     def read(self, artefact: str, **parts) -> DataFrame:
         return self.spark.read.parquet(self.catalog.path(artefact, **parts))
 
+    def read_all(self, artefact: str, datasets: list[str]) -> DataFrame:
+        """The artefact of several data sets as one table, with its partition columns."""
+        return self.spark.read.option("basePath", self.catalog.path(artefact)).parquet(*[self.catalog.path(artefact, dataset=d) for d in datasets])
+
     def write(self, df: DataFrame, artefact: str, **parts) -> DataFrame:
         path = self.catalog.path(artefact, **parts)
         df.write.mode("overwrite").parquet(path)

@@ -1,3 +1,5 @@
+from pyspark.ml.feature import Word2VecModel
+
 from dupelens.plans.pipeline import Settings, Study
 from dupelens.sources import tables
 
@@ -17,6 +19,23 @@ def test_study_from_texts_to_evaluation(spark, small, tmp_path):
     assert "top_ranked_url" in study.read("misclassified_duplicates", dataset="all").columns
 
 
+def letters():
+    return lambda texts: [[float(t.count(c)) for c in "aeinorst"] for t in texts]
+
+
+def test_study_with_encoders_and_models(spark, small, tmp_path):
+    study = Study(spark, str(tmp_path), Settings(measures=("bm25",), dense=("doc2vec",), encoders={"mpnet": letters}, parts=("title",), retrieval=("bm25", "title"), n_candidates=(10,), undersampling=0.25, forest={"numTrees": 2, "maxDepth": 2}, search_iterations=1, folds=2))
+    study.ingest("all", tables.questions(spark, small), tables.answers(spark, small), tables.dup_pairs(spark, small))
+    study.sample("all", "some", 60, 3)
+    assert study.read_all("question_texts", ["all", "some"]).groupBy("dataset").count().count() == 2
+    for stage in (study.preprocess, study.id_sets, study.representations, study.ranks, study.candidates, study.features):
+        stage("all")
+    assert {r["feature"] for r in study.read("all_pair_ranks", dataset="all").collect()} == {"bm25", "doc2vec", "mpnet"}
+    wide = study.read("test_set", dataset="all", n=10)
+    assert {"title_bm25_sim", "title_doc2vec_sim", "title_mpnet_sim"} <= set(wide.columns)
+    assert Word2VecModel.load(study.catalog.path("feature_model", dataset="all", model="doc2vec", col="title")).getVectorSize() == 30
+
+
 def test_dense_measures_are_ranked(spark, tmp_path):
     study = Study(spark, str(tmp_path), Settings(measures=(), dense=("doc2vec",), parts=("title",)))
     for name, rows, schema in (

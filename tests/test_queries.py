@@ -7,7 +7,7 @@ import pytest
 from dupelens.plans import registry
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
-#: Models are fitted in these; test_operators covers them on small data.
+#: Models are fitted in these. test_operators has topics and the search on small data; rf_predict is below.
 SLOW = {"lda_topics", "rf_predict", "rf_tuning"}
 
 
@@ -35,8 +35,11 @@ def test_query(spark, small, name):
     assert all(same(x, y) for a, b in zip(mine, sorted(theirs, key=key), strict=True) for x, y in zip(a, b, strict=True))
 
 
-def test_models_have_rows(spark, small):
-    assert registry.QUERIES["rf_predict"](spark, small).count() > 0
+def test_predictions_tell_duplicates(spark, small):
+    found = registry.QUERIES["rf_predict"](spark, small).toPandas()
+    tested = registry.QUERIES["test_candidates"](spark, small).select("dup_id", "candidate_id", "is_dup").toPandas()
+    assert len(found) == len(tested) and len(found.merge(tested)) == len(tested)
+    assert found.pred.between(0, 1).all() and found.pred[found.is_dup].mean() > 0.5 > found.pred[~found.is_dup].mean()
 
 
 def test_entry(spark):
