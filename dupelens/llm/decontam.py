@@ -27,8 +27,9 @@ BROADCAST_ENTRIES = 500_000
 BROADCAST_BYTES = 16 << 20
 #: Contaminated rows up to which their hashes are broadcast to take them out.
 BROADCAST_ROWS = 1_000_000
-#: Slots for each shingle of the items, and the most slots. A shingle has two of them, so few documents without an item pass.
-SLOTS, MOST_SLOTS = 64, 1 << 22
+#: Slots for each shingle of the items, and the most slots: the table is part of the plan. A shingle has two slots, so few
+#: documents without an item pass.
+SLOTS, MOST_SLOTS = 16, 1 << 19
 
 
 def words_of(text: Column) -> Column:
@@ -118,19 +119,25 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
         slots = 1 << min(MOST_SLOTS.bit_length() - 1, max(10, (SLOTS * total["n"]).bit_length()))
         listed, parts = _tables(items, slots)
         byte = lambda n: F.lit(bytearray([n]))
-        table = F.lit(bytearray(listed))
-        marks = lambda h: [F.substring(table, slot + 1, F.lit(1)) for slot in _slots(h, slots)]
-        beyond = lambda h, n: reduce(lambda rest, m: F.when(m > byte(n), rest).otherwise(F.lit(False)), marks(h), F.lit(True))
+        reach = lambda size: [(byte(p["partition"] + 2), F.lit(p["high"]), size >= p["need"]) for p in parts]
 
-        def sketched(hashes: Column) -> Column:
+        def looked_up(use) -> Column:
+            """use(marks), where marks(h) are the bytes of a hash's two slots. The table stands in the plan once."""
+            return F.transform(F.array(F.lit(bytearray(listed))), lambda table: use(lambda h: [F.substring(table, slot + 1, F.lit(1)) for slot in _slots(h, slots)]))[0]
+
+        def beyond(marks, h: Column, n: int, then: Column) -> Column:
+            """`then` where both bytes are above n, looked up one after the other."""
+            one, two = marks(h)
+            return F.when(one > byte(n), F.when(two > byte(n), then).otherwise(F.lit(False))).otherwise(F.lit(False))
+
+        def sketched(marks, hashes: Column) -> Column:
             """Whether a hash is one of a sketch in a partition that the document is long enough for."""
-            reach = [(byte(p["partition"] + 2), F.lit(p["high"]), F.size(hashes) >= p["need"]) for p in parts]
-            within = lambda h, m: reduce(or_, [((m == code) | (m == byte(255))) & (h <= high) & long for code, high, long in reach], F.lit(False))
-            return F.exists(hashes, lambda h: F.when(beyond(h, 1), reduce(and_, [within(h, m) for m in marks(h)])).otherwise(F.lit(False)))
+            within = lambda h, m: reduce(or_, [((m == code) | (m == byte(255))) & (h <= high) & long for code, high, long in reach(F.size(hashes))], F.lit(False))
+            return F.exists(hashes, lambda h: beyond(marks, h, 1, reduce(and_, [within(h, m) for m in marks(h)])))
 
-        rows = rows.where(F.transform(F.array(shingle_hashes(F.col("w"), words)), sketched)[0])
-        mine = _windows(F.col("w"), words, lambda w: F.when(beyond(F.xxhash64(w), 0), own(w)))
-        mine = F.filter(mine, lambda x: x.isNotNull())
+        found = looked_up(lambda marks: F.transform(F.array(shingle_hashes(F.col("w"), words)), lambda hashes: sketched(marks, hashes))[0])
+        rows = rows.where(found)
+        mine = looked_up(lambda marks: F.filter(_windows(F.col("w"), words, lambda w: F.when(beyond(marks, F.xxhash64(w), 0, F.lit(True)), own(w))), lambda x: x.isNotNull()))
     else:
         # hashes alone find the documents that hold a sketched one; only these are moved
         low = items.where("low").select(F.col("h").alias("lh")).distinct()
