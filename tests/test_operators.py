@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from dupelens.functions import porter
 from dupelens.operators import candidates, corpus, dense, features, ids, index, ml, ranking, reports, similarity
 
 
@@ -110,6 +111,41 @@ def test_sampling_needs_enough_rows(spark):
     assert ids.sample(spark.range(3), 4, clip=True).count() == 3
 
 
+def test_large_samples_are_those_of_small_ones(spark, monkeypatch):
+    ids_ = spark.range(500).repartition(5)
+    one = rows(ids.sample(ids_, 137, seed=3))
+    monkeypatch.setattr(ids, "SMALL_SAMPLE", 0)
+    assert rows(ids.sample(ids_, 137, seed=3)) == one and len(one) == 137
+    assert ids.sample(ids_, 900, clip=True).count() == 500
+
+
+def test_terms_are_counted_in_their_documents(spark):
+    docs = [(1, ["b", "a", "b", "x’y_z"]), (2, []), (3, None), (4, ["a"])]
+    tokenized = spark.createDataFrame(docs, "id long, toks array<string>").repartition(2)
+    tf = index.term_freq(tokenized, "toks")
+    assert rows(tf) == [(1, "a", 1), (1, "b", 2), (1, "x’y_z", 1), (4, "a", 1)]
+    # runs of two or more word characters
+    assert rows(index.words_of_terms(tf)) == [(1, "y_z", 1)]
+    stems = tokenized.select("id", porter.stemmed(F.array_append("toks", "games")).alias("s"))
+    assert rows(stems)[1:] == [(2, ["game"]), (3, None), (4, ["a", "game"])]
+
+
+def test_features_of_pairs_come_from_shared_terms(spark):
+    tokenized, tf = tf_of(spark, [(1, ["a", "b", "b"]), (2, ["b", "c"]), (3, ["d"])])
+    w = {"jaccard": tf, "tfidf": index.tfidf(tf, 3), "bm25": index.bm25(tf, index.lengths(tokenized, "toks"), 3)}
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 1)], "dup_id long, main_id long")
+    got = {(r["dup_id"], r["main_id"]): r for r in similarity.score_features(pairs, {("p", m): x for m, x in w.items()}).collect()}
+    for m, weights in w.items():
+        every = {(r["dup_id"], r["main_id"]): r["score"] for r in similarity.score_all(weights, m, tokenized.select("id"), tokenized.select("id")).collect()}
+        assert all(got[k][f"p_{m}_sim"] == pytest.approx(every.get(k, 0.0)) for k in got)
+
+
+def test_score_all_serves_vectors(spark):
+    v = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(5)], "id long, v array<double>")
+    got = similarity.score_all(v, "mpnet", v.where("id < 2").select("id"), v.select("id"))
+    assert got.count() == 8 and all(-1 <= r["score"] <= 1 for r in got.collect())
+
+
 def test_the_two_recall_rates_have_their_own_denominators(spark):
     pred = spark.createDataFrame([(1, 10, True, 0.9), (1, 11, False, 0.5), (2, 12, False, 0.5)], "dup_id long, candidate_id long, is_dup boolean, pred double")
     assert ranking.recall_by_score(pred, "pred", ks=(1,)).first()[0] == 0.5
