@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 from . import similarity
 
 
-def feature_table(tokenized: DataFrame, candidates: DataFrame, measures: tuple[str, ...], parts: tuple[str, ...]) -> DataFrame:
-    """dup_id, candidate_id and {part}_{measure}_sim for each part and measure."""
+def feature_table(candidates: DataFrame, postings: dict[tuple[str, str], DataFrame]) -> DataFrame:
+    """dup_id, candidate_id and {part}_{measure}_sim for each (part, measure) of the postings."""
     pairs = candidates.select("dup_id", F.col("candidate_id").alias("main_id")).distinct()
-    postings = {(part, m): w for part in parts for m, w in zip(measures, similarity.represent(tokenized, part, *measures), strict=True)}
     return similarity.score_features(pairs, postings).withColumnRenamed("main_id", "candidate_id")
 
 

@@ -238,7 +238,7 @@ def recall_by_feature(spark, d):
     return ranking.recall_rates(_all_ranks(spark, d), "feature")
 
 
-def _labelled(spark, d, train: bool):
+def _labelled(spark, d, train: bool, weights=None):
     """Candidates with labels: of train duplicates and noise among comparison questions less the test ones, or of test duplicates among all."""
     q, p, dups, comp = _world(spark, d)
     parts = ids.split(dups)
@@ -249,7 +249,7 @@ def _labelled(spark, d, train: bool):
         comp = comp.join(test.select(F.col("id").alias("t")), F.col("id") == F.col("t"), "left_anti")
     else:
         dups = test
-    scores = similarity.score_all(_weights(spark, d, "tfidf"), "tfidf", dups, comp)
+    scores = similarity.score_all(_weights(spark, d, "tfidf") if weights is None else weights, "tfidf", dups, comp)
     labelled = candidates.with_dup_labels(candidates.top_candidates(scores, dups, comp, TOP), p)
     return candidates.with_noise_labels(labelled, noise) if train else labelled.withColumn("is_noise", F.lit(False))
 
@@ -279,8 +279,10 @@ def cv_folds(spark, d):
 
 
 def _features(spark, d, train: bool):
-    cands = index.materialise(_labelled(spark, d, train))
-    return cands, features.merge_features(cands, features.feature_table(_tokenized(spark, d), cands, ("jaccard", "tfidf", "bm25"), (PART,)))
+    measures = ("jaccard", "tfidf", "bm25")
+    postings = dict(zip(measures, similarity.represent(_tokenized(spark, d), PART, *measures), strict=True))
+    cands = index.materialise(_labelled(spark, d, train, postings["tfidf"]))
+    return cands, features.merge_features(cands, features.feature_table(cands, {(PART, m): w for m, w in postings.items()}))
 
 
 def feature_matrix(spark, d):
