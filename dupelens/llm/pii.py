@@ -2,11 +2,11 @@
 
 Base rules give the spans that always stay. High-recall generators propose further spans, which may overlap each other
 and the base ones. Boosted trees judge the proposals by format and context. They learn what the base rules miss: base
-spans of a bounded sample of documents are rewritten, in their own contexts, into forms that only the generators reach
-(positive) and into numbers of the same look that are nothing of the kind (negative); proposals that occur in the sample
-beside the base spans are negative too. The threshold of each kind is calibrated on proposals that took no part in the
-fit. The trees are written out as column expressions, so documents are judged row by row: no span is shuffled, and no key
-can be hot.
+spans of all documents are rewritten, in their own contexts, into forms that only the generators reach (positive) and into
+numbers of the same look that are nothing of the kind (negative); proposals that occur in the documents beside the base
+spans are negative too. Proposals of equal features are one weighted row, so the trees see all of them. A third of the
+texts is kept out of the fit, and the threshold of each kind is calibrated on all proposals there. The trees are written
+out as column expressions, so documents are judged row by row: no span is shuffled, and no key can be hot.
 
 Spans of a text are gathered in parts of PART, so that the work stays in proportion to their number: no array or text is
 copied for each span.
@@ -14,6 +14,7 @@ copied for each span.
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import use_shared_folder
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct texts that the trees are fitted on, about; more documents are thinned by a hash of their text.
-SAMPLE_DOCUMENTS = 20_000
+#: Weighted rows that a task of the fit holds, about.
+FIT_ROWS = 50_000
 #: Share of right proposals that a threshold has to reach on the calibration part.
 PRECISION = 0.98
 #: Share of the proposals that occur in the calibration part by themselves which a threshold may let pass.
@@ -58,6 +59,7 @@ AROUND = 24
 
 
 SPAN = "struct<s: int, e: int, m: string, before: string, after: string>"
+PLACES = "array<struct<s: int, e: int, spans: array<struct<s: int, e: int>>>>"
 
 
 def _bound(value: Column, use) -> Column:
@@ -225,45 +227,59 @@ def _proposed(text: Column, label) -> Column:
 
 
 def _judged(documents: DataFrame, text: str) -> DataFrame:
-    """A row for each proposal that is learned from: of, part, own (whether it occurs in a document as it is), label and features."""
+    """The proposals that are learned from, as weighted rows: of, part, own (whether it occurs in a document as it is), label, features and n.
+
+    n is the number of such proposals. A text that repeats counts once: rows of its copies agree in the text's digest and
+    their places, and only these are shuffled, never the text.
+    """
     t = F.col("t")
-    source = documents.select(F.col(text).alias("t")).where("t is not null and t rlike '[0-9@]|\\\\(at\\\\)|\\\\[at\\\\]'").distinct()
-    source = source.select("t", F.pmod(F.xxhash64("t", F.lit(3)), F.lit(3)).alias("part"))
+    source = documents.select(F.col(text).alias("t")).where("t is not null and t rlike '[0-9@]|\\\\(at\\\\)|\\\\[at\\\\]'")
     named = lambda k: lambda x: F.struct(F.lit(k).alias("kind"), *[x[f].alias(f) for f in ("s", "e", "m", "before", "after")])
     base = F.concat(*[F.transform(c, named(k)) for k, c in base_spans(t).items()])
-    based = source.select("t", "part", base.alias("base"))
-    natural = based.select("t", "part", _parted_spans(F.col("base")).alias("parts"))
-    natural = natural.select("part", F.lit(True).alias("own"), F.explode(_proposed(t, lambda k, x: F.when(~_meets(F.col("parts"), x), 0.0))).alias("x"))
-
-    forms = based.select("part", F.explode("base").alias("b")).select("part", "b.*").select("part", "before", "after", F.explode(_rewritten(F.col("kind"), F.col("m"))).alias("f"))
-    forms = forms.select("part", "f.*", F.length("before").alias("s"), (F.length("before") + F.length("f.form")).alias("e"), F.concat("before", "f.form", "after").alias("t"))
-    place = F.struct("s", "e")
-    whole = lambda x: (F.abs(x["s"] - F.col("s")) <= 1) & (F.abs(x["e"] - F.col("e")) <= 1)
-    label = lambda k, x: F.when(_overlaps(x, place), F.when((F.col("of") == k) & whole(x), F.col("right")).otherwise(0.0))
-    made = forms.select("part", F.lit(False).alias("own"), F.explode(_proposed(t, label)).alias("x"))
-    return natural.unionByName(made).select("part", "own", "x.*")
-
-
-def train_pii_model(documents: DataFrame, text: str = "text", sample: int = SAMPLE_DOCUMENTS, trees: int = 16, depth: int = 4, precision: float = PRECISION) -> dict:
+    based = source.select("t", F.md5(t.cast("binary")).alias("digest"), F.pmod(F.xxhash64("t", F.lit(3)), F.lit(3)).alias("part"), base.alias("base"))
+
+    # what proposals are looked for in: the text with its base spans, and each form in its context with its own place
+    places = _parted_spans(F.transform("base", lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"))))
+    piece = lambda t, parts, of, right, s, e: F.struct(t.alias("t"), parts.cast(PLACES).alias("parts"), of.cast("string").alias("of"), right.cast("double").alias("right"), s.cast("int").alias("s"), e.cast("int").alias("e"))
+    none = F.lit(None)
+    form = lambda b: lambda f: piece(F.concat(b["before"], f["form"], b["after"]), none, f["of"], f["right"], F.length(b["before"]), F.length(b["before"]) + F.length(f["form"]))
+    forms = F.flatten(F.transform("base", lambda b: F.transform(_rewritten(b["kind"], b["m"]), form(b))))
+    # the outer explode: for the inner one, the optimizer would work the whole array out a second time, to see if it is empty
+    pieces = based.select("digest", "part", F.posexplode_outer(F.concat(F.array(piece(t, places, none, none, none, none)), forms)).alias("i", "p"))
+
+    own, place = F.col("p.of").isNull(), F.struct(F.col("p.s").alias("s"), F.col("p.e").alias("e"))
+    whole = lambda x: (F.abs(x["s"] - place["s"]) <= 1) & (F.abs(x["e"] - place["e"]) <= 1)
+    beside = lambda x: F.when(~_meets(F.col("p.parts"), x), 0.0)
+    made = lambda k, x: F.when(_overlaps(x, place), F.when((F.col("p.of") == k) & whole(x), F.col("p.right")).otherwise(0.0))
+    label = lambda k, x: F.when(own, beside(x)).otherwise(made(k, x))
+    each = pieces.select("digest", "part", own.alias("own"), "i", F.posexplode_outer(_proposed(F.col("p.t"), label)).alias("j", "x")).where("x is not null")
+    once = each.select("digest", "part", "own", "i", "j", "x.*").distinct()
+    return once.groupBy("of", "part", "own", "label", *FEATURES).agg(F.count("*").alias("n"))
+
+
+def train_pii_model(documents: DataFrame, text: str = "text", trees: int = 16, depth: int = 4, precision: float = PRECISION) -> dict:
     """trees (weight and printout), the threshold of each kind, and measured: proposals above it and right ones in the calibration part.
 
-    A kind without a threshold gets no spans added. Documents beyond the sample are thinned by the hash of their text,
-    and a text that repeats counts once. Without proposals of both labels there are no trees, and the base rules stand
-    alone.
+    A kind without a threshold gets no spans added. All documents are learned from: the proposals of two thirds of the
+    texts give the trees, those of the rest the thresholds. A text that repeats counts once. Without proposals of both
+    labels there are no trees, and the base rules stand alone.
     """
     use_shared_folder(documents.sparkSession)
-    n = documents.count()
-    share = min(1.0, sample / max(n, 1))
-    chosen = documents if share == 1.0 else documents.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    rows = _judged(chosen, text).checkpoint()
-    labels = {r["label"] for r in rows.where("part != 0").groupBy("label").count().collect()}
-    if labels != {0.0, 1.0}:
+    rows = _judged(documents, text).checkpoint()
+    learned = rows.where("part != 0").groupBy("label", *FEATURES).agg(F.sum("n").cast("double").alias("weight"))
+    labels = {r["label"]: r["count"] for r in learned.groupBy("label").count().collect()}
+    if set(labels) != {0.0, 1.0}:
         return {"trees": [], "thresholds": {}, "measured": {}}
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows.where("part != 0"))
-    fitted = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11, maxBins=32).fit(vectors)
+    n = sum(labels.values())
+    # in a fixed order: splits of equal gain are told apart by the rounding of sums
+    learned = learned.coalesce(1 + n // FIT_ROWS).sortWithinPartitions(*FEATURES, "label")
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(learned)
+    # the library looks for splits in a sample of max(10,000, bins squared) rows, so that many bins make it look at all of them
+    bins = max(32, math.isqrt(n) + 1)
+    fitted = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=11, maxBins=bins).fit(vectors)
     model = {"trees": _printed(fitted), "thresholds": {}, "measured": {}}
-    judged = rows.where("part = 0").select("of", "own", "label", F.floor(probability(model, [F.col(f) for f in FEATURES]) * 50).cast("int").alias("step"))
-    seen = judged.groupBy("of", "own", "step").agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()
+    judged = rows.where("part = 0").select("of", "own", "label", "n", F.floor(probability(model, [F.col(f) for f in FEATURES]) * 50).cast("int").alias("step"))
+    seen = judged.groupBy("of", "own", "step").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("right")).collect()
     for k in KINDS:
         mine = [r for r in seen if r["of"] == k]
         own = sum(r["n"] for r in mine if r["own"])

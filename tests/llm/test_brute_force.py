@@ -167,6 +167,16 @@ def test_pii_adds_what_the_rules_miss(spark, small, documents, pii_model):
     assert all(got[k] == plain_found(t, pii_model) for k, t in enumerate(texts))
 
 
+def test_pii_learns_from_all_documents(spark, documents, pii_model):
+    from pyspark.sql import functions as F
+
+    right = {k: v["all_right"] for k, v in pii_model["measured"].items()}
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    others = spark.range(400_000).select(F.lit("no number").alias("text"))
+    model = pii.train_pii_model(rows.union(rows).union(others))
+    assert {k: v["all_right"] for k, v in model["measured"].items()} == right and set(right) == set(pii.KINDS)
+
+
 def test_pii_beside_plain_versions(spark, documents, pii_model):
     rng = random.Random(9)
     pieces = [x for v in HIDDEN.values() for x in v] + NOTHING + ["a@b.co", "+1 (988) 555-2485", "8.8.8.8", "4111111111111111", " ", "é🎉", "(", ".", "-", " at ", "tel "]
