@@ -622,3 +622,15 @@ def test_regions_hold_neighbouring_cells():
     spans = [set(range(f, f + c)) for f, c in zip(first, count, strict=True)]
     assert not spans[4] & set().union(*spans[:4], *spans[5:]) and not spans[8] & set().union(*spans[:8], spans[9])
     assert first[0] == first[1] == first[2] and first[5] == first[6]
+
+
+def test_pipeline_learns_personal_data_from_all_documents(spark, pii_model, monkeypatch):
+    from pyspark.sql import functions as F
+
+    models, train = [], pii.train_pii_model
+    monkeypatch.setattr(pii, "train_pii_model", lambda docs: models.append(train(docs)) or models[-1])
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    others = spark.range(400_000).select(F.col("id") + 1_000_000, F.lit("no number"), F.lit("en"), F.lit(""), F.lit(9))
+    redacted = corpus_pipeline.redact(spark, rows.union(others), "")
+    right = lambda model: {k: v["all_right"] for k, v in model["measured"].items()}
+    assert [right(m) for m in models] == [right(pii_model)] and redacted.where("text != 'no number'").count() == rows.count()
