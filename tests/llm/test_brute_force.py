@@ -634,3 +634,17 @@ def test_pipeline_learns_personal_data_from_all_documents(spark, pii_model, monk
     redacted = corpus_pipeline.redact(spark, rows.union(others), "")
     right = lambda model: {k: v["all_right"] for k, v in model["measured"].items()}
     assert [right(m) for m in models] == [right(pii_model)] and redacted.where("text != 'no number'").count() == rows.count()
+
+
+def test_pipeline_fits_and_calibrates_on_all_documents(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    weights, fit = [], pii.GBTClassifier.fit
+    models, train = [], pii.train_pii_model
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, df: weights.append(df.agg(F.sum("weight")).first()[0]) or fit(self, df))
+    monkeypatch.setattr(pii, "train_pii_model", lambda docs: models.append(train(docs)) or models[-1])
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    corpus_pipeline.redact(spark, rows, "")
+    judged = pii._judged(rows, "text").groupBy("of").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right")).collect()
+    assert {k: v["all_right"] for k, v in models[0]["measured"].items()} == {r["of"]: r["right"] for r in judged}
+    assert weights[0] == sum(r["n"] for r in judged) and sum(weights[1:]) == (pii.PARTS - 1) * weights[0]
