@@ -10,7 +10,7 @@ LINKS = "_Id string, _PostId string, _RelatedPostId string, _LinkTypeId string"
 
 
 def _rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.format("xml").option("rowTag", "row").schema(schema).load(path)
+    return spark.read.format("xml").option("rowTag", "row").option("ignoreSurroundingSpaces", False).schema(schema).load(path)
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:

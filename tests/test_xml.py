@@ -27,6 +27,14 @@ def test_dumps_are_read(spark, tmp_path):
     assert [tuple(r) for r in xml.read_dup_pairs(spark, str(tmp_path / "links.xml"), questions).collect()] == [("2", "1")]
 
 
+def test_spaces_around_a_text_stay(spark, tmp_path):
+    texts = [" lead", "trail ", "\ttab", "  ", "", "a\r", "null", "x />y <row> & \" z"]
+    rows = spark.createDataFrame([(k, 0, t, t, "en,src1") for k, t in enumerate(texts)], "id long, n_answers long, title string, body string, tags string")
+    xml.write_posts(rows, str(tmp_path / "posts"))
+    back = {int(r["id"]): (r["title"], r["body"]) for r in xml.read_questions(spark, str(tmp_path / "posts")).collect()}
+    assert back == {k: (t, t) for k, t in enumerate(texts)}
+
+
 def test_catalog():
     c = catalog.Catalog("/data")
     assert c.path("embedding", dataset="a", model="tfidf") == "/data/embedding/dataset=a/model=tfidf"
