@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates, corpus, dense, features, ids, index, ml, ranking, reports, similarity
+from ..operators import candidates, corpus, dense, features, ids, index, ml, ranking, reports, similarity, sparse
 from ..sources.catalog import Catalog
 
 
@@ -100,7 +100,7 @@ class Study:
         for part in self.settings.parts:
             tf, n = index.materialise(index.term_freq(tokenized, part)), tokenized.count()
             for m in self.settings.measures:
-                self.write(similarity.SPARSE[m][0](tf, n), "embedding", dataset=ds, model=m, col=part)
+                self.write(similarity.SPARSE[m](tf, n), "embedding", dataset=ds, model=m, col=part)
             for m in self.settings.dense:
                 self.write(makers[m](tokenized, part, keep=save(m, part)), "embedding", dataset=ds, model=m, col=part)
             for m, encoder in self.settings.encoders.items():
@@ -118,7 +118,7 @@ class Study:
         for m in (*self.settings.measures, *self._dense()):
             for part in self.settings.parts:
                 w = self._weights(ds, m, part)
-                ranked = ranking.pair_ranks(similarity.score_all(w, m, dups, comp), p, comp) if m in similarity.SPARSE else dense.pair_ranks(w, m, p, comp)
+                ranked = sparse.pair_ranks(w, m, p, comp) if m in similarity.SPARSE else dense.pair_ranks(w, m, p, comp)
                 ranked = self.write(ranked, "pair_ranks", dataset=ds, feature=m, col=part)
                 row = ranking.recall_rates(ranked).select(F.lit(m).alias("feature"), F.lit(part).alias("col"), "*")
                 rates = row if rates is None else rates.unionByName(row)
@@ -131,10 +131,10 @@ class Study:
         w = self._weights(ds, measure, part)
         learners = train.unionByName(noise)
         rest = comp.join(test.select(F.col("id").alias("t")), F.col("id") == F.col("t"), "left_anti")
-        trained = candidates.top_candidates(similarity.score_all(w, measure, learners, rest), learners, rest, n)
+        trained = candidates.top_candidates(similarity.score_best(w, measure, learners, rest, n), learners, rest, n)
         trained = self.write(candidates.with_noise_labels(candidates.with_dup_labels(trained, p), noise), "train_candidate_pairs", dataset=ds, n=n, perc=1)
         trained = self.write(candidates.undersample_if_rare(trained, s.undersampling, s.seed), "train_candidate_pairs", dataset=ds, n=n, perc=s.undersampling)
-        tested = candidates.top_candidates(similarity.score_all(w, measure, test, comp), test, comp, n)
+        tested = candidates.top_candidates(similarity.score_best(w, measure, test, comp, n), test, comp, n)
         tested = self.write(candidates.with_dup_labels(tested, p).withColumn("is_noise", F.lit(False)), "test_candidate_pairs", dataset=ds, n=n)
         self.write(candidates.merged(trained, tested), "candidate_pairs", dataset=ds)
 

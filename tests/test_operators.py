@@ -1,10 +1,11 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from dupelens.functions import porter
-from dupelens.operators import candidates, corpus, dense, features, ids, index, ml, ranking, reports, similarity
+from dupelens.operators import candidates, corpus, dense, features, ids, index, ml, ranking, reports, similarity, sparse
 
 
 def rows(df):
@@ -208,3 +209,29 @@ def test_document_vectors_take_25_passes(spark):
     tokenized = spark.createDataFrame([(k, [f"w{(k + j) % 7}" for j in range(12)]) for k in range(20)], "id long, toks array<string>")
     found, named, one = (dict(rows(ml.document_vectors(tokenized, "toks", size=4, **more))) for more in ({}, {"iterations": 25}, {"iterations": 1}))
     assert found == named != one
+
+
+@pytest.mark.parametrize("measure", ["jaccard", "tfidf", "bm25"])
+def test_blocks_of_postings_give_what_every_pair_does(spark, measure, monkeypatch):
+    """Many small blocks, frequent and rare terms, ties, negative and zero weights, questions without a term, duplicates among the comparison questions."""
+    draw = random.Random(7)
+    docs = {k: {w: draw.choice([-0.25, 0.0, 0.5, 1.0]) if measure == "bm25" else draw.choice([0.25, 0.5, 1.0]) for w in draw.choices("abcdefghijklmnop", [2.0**-j for j in range(16)], k=draw.randrange(0, 7))} for k in range(90)}
+    weights = spark.createDataFrame([(k, w, 1 + (k + ord(w)) % 3, x) for k, terms in docs.items() for w, x in terms.items()], "id long, term string, tf long, w double")
+    dups, comp = [k for k in docs if k % 2], [k for k in docs if k % 3]
+    side = {"jaccard": lambda k, w: (1.0, 1.0), "tfidf": lambda k, w: (docs[k][w],) * 2, "bm25": lambda k, w: (1.0 + (k + ord(w)) % 3, docs[k][w])}[measure]
+    every = {}
+    for a in dups:
+        for b in comp:
+            if a != b and (common := docs[a].keys() & docs[b].keys()):
+                s = sum(side(a, w)[0] * side(b, w)[1] for w in common)
+                every[a, b] = s / (len(docs[a]) + len(docs[b]) - s) if measure == "jaccard" else s
+    monkeypatch.setattr(sparse, "BLOCK", 20)
+    monkeypatch.setattr(sparse, "POSTINGS", 60)
+    left, right = (spark.createDataFrame([(k,) for k in x], "id long") for x in (dups, comp))
+    got = {(r["dup_id"], r["main_id"]): r["score"] for r in similarity.score_all(weights, measure, left, right).collect()}
+    assert got.keys() == every.keys() and all(got[k] == pytest.approx(v) for k, v in every.items())
+    table = spark.createDataFrame([(*k, v) for k, v in every.items()], "dup_id long, main_id long, score double")
+    assert rows(candidates.top_candidates(similarity.score_best(weights, measure, left, right, 5), left, right, 5)) == rows(candidates.top_candidates(table, left, right, 5))
+    pairs = spark.createDataFrame([(a, b) for a in dups for b in comp[a % 5 :: 9]] + [(1, 1), (3, 999)], "dup_id long, main_id long")
+    mine, theirs = rows(sparse.pair_ranks(weights, measure, pairs, right)), rows(ranking.pair_ranks(table, pairs, right))
+    assert len(mine) > 300 and mine == [(a, b, pytest.approx(s), r) for a, b, s, r in theirs]
