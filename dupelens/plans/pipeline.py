@@ -113,7 +113,7 @@ class Study:
         return self.read("embedding", dataset=ds, model=measure, col=part)
 
     def ranks(self, ds: str) -> DataFrame:
-        p, comp, dups = (self.read(x, dataset=ds) for x in ("dup_pairs", "comparison_question_ids", "duplicate_question_ids"))
+        p, comp = (self.read(x, dataset=ds) for x in ("dup_pairs", "comparison_question_ids"))
         rates = None
         for m in (*self.settings.measures, *self._dense()):
             for part in self.settings.parts:
