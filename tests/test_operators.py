@@ -235,3 +235,33 @@ def test_blocks_of_postings_give_what_every_pair_does(spark, measure, monkeypatc
     pairs = spark.createDataFrame([(a, b) for a in dups for b in comp[a % 5 :: 9]] + [(1, 1), (3, 999)], "dup_id long, main_id long")
     mine, theirs = rows(sparse.pair_ranks(weights, measure, pairs, right)), rows(ranking.pair_ranks(table, pairs, right))
     assert len(mine) > 300 and mine == [(a, b, pytest.approx(s), r) for a, b, s, r in theirs]
+
+
+def test_only_compared_documents_have_rows_and_are_not_shuffled(spark):
+    tokenized, tf = tf_of(spark, [(1, ["a_b", "b_b", "b_b"]), (2, ["b_b", "c_c"]), (3, ["d_d", "b_b"]), (4, []), (5, None)])
+    some = tokenized.where("id < 3")
+    made = dict(zip(("jaccard", "tfidf", "bm25"), similarity.represent(tokenized, "toks", "jaccard", "tfidf", "bm25", some=some), strict=True))
+    want = {"jaccard": tf, "tfidf": index.tfidf(index.words_of_terms(tf), 5), "bm25": index.bm25(tf, index.lengths(tokenized, "toks"), 5)}
+    for measure, documents in made.items():
+        assert documents.count() == 2
+        got, every = index.postings(documents), want[measure].where("id < 3")
+        assert [pytest.approx(x) if isinstance(x, float) else x for r in rows(every.select(*got.columns)) for x in r] == [x for r in rows(got) for x in r]
+        plan = sparse.documents(documents, some, sparse.factors(measure)[0])._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
+
+
+def test_neighbours_and_features_in_small_blocks_are_those_of_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "BLOCK", 5)
+    monkeypatch.setattr(sparse, "PRODUCTS", 7)
+    draw = random.Random(3)
+    tokenized, tf = tf_of(spark, [(k, draw.choices(["aa", "bb", "cc", "dd", "ee", "ff", "gg"], [64, 32, 16, 8, 4, 2, 1], k=draw.randrange(0, 6))) for k in range(40)])
+    w = index.bm25(tf, index.lengths(tokenized, "toks"), 40)
+    ids_ = tokenized.where("id % 4 = 1").select("id")
+    every = {(r["dup_id"], r["main_id"]): r["score"] for r in similarity.score_all(w, "bm25", tokenized.select("id"), tokenized.select("id")).collect()}
+    got = similarity.most_similar(tokenized, "toks", ids_, 3).collect()
+    for d in range(1, 40, 4):
+        best = sorted((-round(s, 6), m) for (a, m), s in every.items() if a == d)[:3]
+        assert [(pytest.approx(r["score"]), r["main_id"]) for r in sorted(got, key=lambda r: r["rk"]) if r["dup_id"] == d] == [(-s, m) for s, m in best]
+    pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(a % 3, 40, 3)] + [(1, 99)], "dup_id long, main_id long")
+    found = similarity.score_features(pairs, {("p", "bm25"): w}).where("dup_id != main_id").collect()
+    assert len(found) > 400 and all(r["p_bm25_sim"] == pytest.approx(every.get((r["dup_id"], r["main_id"]), 0.0)) for r in found)
