@@ -265,3 +265,16 @@ def test_neighbours_and_features_in_small_blocks_are_those_of_every_pair(spark,
     pairs = spark.createDataFrame([(a, b) for a in range(40) for b in range(a % 3, 40, 3)] + [(1, 99)], "dup_id long, main_id long")
     found = similarity.score_features(pairs, {("p", "bm25"): w}).where("dup_id != main_id").collect()
     assert len(found) > 400 and all(r["p_bm25_sim"] == pytest.approx(every.get((r["dup_id"], r["main_id"]), 0.0)) for r in found)
+
+
+def test_nothing_shuffled_is_left_when_a_table_is_stored(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    there, setting = files(), spark.conf.get(index.CLEANUP)
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert index.stored(counted).count() == 7 and rows(index.stored(counted)) == rows(counted)
+    one = files()
+    index.stored(counted)
+    assert spark.conf.get(index.CLEANUP) == setting and files() <= one
+    index.stored(spark.range(1000).repartition(3))
+    assert files() <= one | there
